@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.linalg import decision, dot_lit
 
 
 def set_summary(ratings: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -17,32 +16,54 @@ def set_summary(ratings: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def error_trace(holdout: DataFrame, versions, x: str = "x", y: str = "y",
-                chunk: int = 64, digits: int = 6) -> DataFrame:
+                max_weights: int = 4_000_000, digits: int = 6) -> DataFrame:
     """Misclassification rate of each model version on a fixed hold-out.
 
     ``versions`` is a list of ``(version, weights)``.  No versions x rows pairs are
-    materialised: each job scans the (cached) hold-out once and evaluates up to
-    ``chunk`` versions as separate sum expressions with the weights as plan
-    literals.  Work is inherently versions x hold-out rows.
+    materialised: the weight matrix of a chunk of versions is broadcast (at most
+    ``max_weights`` numbers per chunk, so the broadcast has a fixed bound), every
+    hold-out partition scores all of them at once with one matrix product per
+    Arrow batch, and emits one partial error count per version; a native
+    ``groupBy(version).sum`` combines the partials.  Work is inherently
+    versions x hold-out rows; data passes once per chunk.
     """
+    import numpy as np
+    import pandas as pd
+
     spark = holdout.sparkSession
-    hold = holdout.select(x, y).persist()
-    out = []
-    try:
-        for start in range(0, len(versions), chunk):
-            part = versions[start:start + chunk]
-            aggs = [F.count(F.lit(1)).alias("n")]
-            for i, (_, w) in enumerate(part):
-                miss = decision(dot_lit(F.col(x), list(w))) != F.col(y)
-                aggs.append(F.sum(miss.cast("long")).alias(f"e{i}"))
-            r = hold.agg(*aggs).first()
-            for i, (ver, _) in enumerate(part):
-                n, e = int(r["n"]), int(r[f"e{i}"] or 0)
-                out.append((int(ver), n, e, round(e / n, digits) if n else None))
-    finally:
-        hold.unpersist()
-    return spark.createDataFrame(
-        out, "version long, n_test long, n_err long, error_rate double")
+    if not versions:
+        return spark.createDataFrame([], "version long, n_test long, n_err long, error_rate double")
+    dim = len(versions[0][1])
+    per_chunk = max(1, max_weights // max(dim, 1))
+    hold = holdout.select(x, y)
+    parts = []
+    for start in range(0, len(versions), per_chunk):
+        chunk = versions[start:start + per_chunk]
+        ids = np.array([int(v) for v, _ in chunk], dtype=np.int64)
+        bw = spark.sparkContext.broadcast(np.array([list(w) for _, w in chunk], dtype=float))
+
+        def score(batches, bw=bw, ids=ids):
+            W = bw.value
+            miss = np.zeros(len(ids), dtype=np.int64)
+            n = 0
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                X = np.stack(pdf[x].to_numpy())
+                yy = pdf[y].to_numpy(dtype=float)
+                pred = np.where(X @ W.T > 0, 1.0, -1.0)
+                miss += (pred != yy[:, None]).sum(axis=0)
+                n += len(pdf)
+            yield pd.DataFrame({"version": ids, "n_err": miss, "n_test": np.full(len(ids), n)})
+
+        parts.append(hold.mapInPandas(score, "version long, n_err long, n_test long"))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    agg = allp.groupBy("version").agg(F.sum("n_test").alias("n_test"),
+                                      F.sum("n_err").alias("n_err"))
+    return agg.select("version", "n_test", "n_err",
+                      F.round(F.col("n_err") / F.col("n_test"), digits).alias("error_rate"))
 
 
 def running_total(per_interval: DataFrame, interval: str, count_col: str,
