@@ -24,6 +24,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.session import shuffle_partitions
 
@@ -39,13 +40,25 @@ def ordinal_with_count(df: DataFrame, order_cols, out: str = "ordinal", offset:
         lo = 0 if lo is None else lo
         return df.withColumn(out, F.col(cols[0]) - F.lit(lo) + F.lit(offset)), int(n)
     p = num_buckets or shuffle_partitions(spark)
-    keyed = df.withColumn("_okey", F.col(cols[0]).cast("double"))
+    first_type = df.schema[cols[0]].dataType
+    if not isinstance(first_type, T.NumericType | T.DateType | T.TimestampType
+                      | T.TimestampNTZType):
+        raise TypeError(f"the leading order column must be numeric or temporal, got {first_type}")
+    key = F.col(cols[0])
+    if isinstance(first_type, T.DateType):
+        key = F.unix_date(key)
+    elif isinstance(first_type, T.TimestampType | T.TimestampNTZType):
+        key = F.unix_micros(key.cast("timestamp"))
+    keyed = df.withColumn("_okey", key.cast("double"))
     splits: list[float] = []
     if p > 1:
         qs = keyed.approxQuantile("_okey", [i / p for i in range(1, p)], 1.0 / (4 * p))
         splits = sorted({q for q in qs if q is not None and not math.isnan(q)})
-    bucketed = Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol="_okey",
-                          outputCol="_bucket", handleInvalid="keep").transform(keyed)
+    if splits:
+        bucketed = Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol="_okey",
+                              outputCol="_bucket", handleInvalid="keep").transform(keyed)
+    else:
+        bucketed = keyed.withColumn("_bucket", F.lit(0.0))
     counts = sorted((r["_bucket"], r["count"])
                     for r in bucketed.groupBy("_bucket").count().collect())
     offsets, run = [], offset

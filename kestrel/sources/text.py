@@ -32,8 +32,12 @@ def read_points_csv(spark: SparkSession, path: str, d: int,
                         parse_point_fields(F.col("value"), d, mode="file").alias("p"))
     good, bad = _split_rejects(parsed, ["_file", "_mid", F.col("p.y").alias("y"),
                                         F.col("p.x").alias("x")])
-    good = with_ordinal(good, ["_file", "_mid"], out="seq").drop("_file", "_mid")
-    good = good.select("seq", "y", "x")
+    # files in name order, lines in file order: rank the (few) file names, then
+    # number rows by (file rank, position)
+    files = sorted(r["_file"] for r in raw.select("_file").distinct().collect())
+    ranks = spark.createDataFrame(list(enumerate(files)), "_frank long, _file string")
+    good = good.join(F.broadcast(ranks), "_file")
+    good = with_ordinal(good, ["_frank", "_mid"], out="seq").select("seq", "y", "x")
     if with_rejects:
         return good, bad.select("value", F.col("p.reject").alias("reject"))
     return good
