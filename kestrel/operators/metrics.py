@@ -79,16 +79,32 @@ def rmse_fixed_n(predictions: DataFrame, truth: DataFrame, n_test: int,
                  label: str = "rating") -> DataFrame:
     """RMSE with the reference's denominator (all test rows, Q10).
 
-    predictions join truth on (user, item) as an inner equi-join; duplicate pairs
-    multiply (Q11).  Also reports the RMSE over the scored rows only.
+    Semantics are those of an inner equi-join of predictions and truth on
+    (user, item) where duplicate pairs multiply (Q11): a pair with ``k_p``
+    predictions and ``k_r`` truths contributes ``k_p * k_r`` squared errors.  Those
+    pairs are never materialised: each side is first reduced to one row per key
+    (count, sum, sum of squares; partial aggregation map-side), and
+
+        sum_i sum_j (p_i - r_j)^2 = k_r * S_pp - 2 * S_p * S_r + k_p * S_rr
+
+    so a hot (user, item) pair costs one row, not ``k^2``.  Also reports the RMSE
+    over the scored rows only.
     """
-    j = predictions.select(*keys, F.col(pred).alias("_p")).join(
-        truth.select(*keys, F.col(label).alias("_r")), list(keys), "inner")
-    sq = (F.col("_p") - F.col("_r")) * (F.col("_p") - F.col("_r"))
-    agg = j.agg(F.sum(sq).alias("sse"), F.count(F.lit(1)).alias("n_joined"))
+    keys = list(keys)
+    p = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("kp"),
+                                       F.sum(pred).alias("sp"),
+                                       F.sum(F.col(pred) * F.col(pred)).alias("spp"))
+    r = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("kr"),
+                                 F.sum(label).alias("sr"),
+                                 F.sum(F.col(label) * F.col(label)).alias("srr"))
+    j = p.join(r, keys, "inner")
+    sse_key = (F.col("kr") * F.col("spp") - F.lit(2.0) * F.col("sp") * F.col("sr")
+               + F.col("kp") * F.col("srr"))
+    agg = j.agg(F.sum(sse_key).alias("sse"),
+                F.sum(F.col("kp") * F.col("kr")).alias("n_joined"))
+    sse = F.greatest(F.coalesce(F.col("sse"), F.lit(0.0)), F.lit(0.0))
     return agg.select(
-        F.round(F.sqrt(F.coalesce(F.col("sse"), F.lit(0.0)) / F.lit(float(n_test))), 6)
-        .alias("rmse_ref"),
-        F.round(F.sqrt(F.col("sse") / F.col("n_joined")), 6).alias("rmse_scored"),
-        F.col("n_joined"),
+        F.round(F.sqrt(sse / F.lit(float(n_test))), 6).alias("rmse_ref"),
+        F.round(F.sqrt(sse / F.col("n_joined")), 6).alias("rmse_scored"),
+        F.coalesce(F.col("n_joined"), F.lit(0)).cast("long").alias("n_joined"),
         F.lit(n_test).cast("long").alias("n_test"))

@@ -33,7 +33,9 @@ ORDERS = ("train_then_predict", "predict_then_train")
 class StreamingGLM:
     def __init__(self, store: ModelStore, rule, dim: int, w0=None, window: int | None = None,
                  order: str = "train_then_predict", order_col: str = "seq",
-                 predictions_path: str | None = None, rejects_path: str | None = None):
+                 predictions_path: str | None = None, rejects_path: str | None = None,
+                 holdout: DataFrame | None = None, metrics_path: str | None = None,
+                 show_predictions: int = 0, seed: int = 42):
         if order not in ORDERS:
             raise ValueError(f"order must be one of {ORDERS}")
         self.store, self.rule, self.dim = store, rule, dim
@@ -41,6 +43,9 @@ class StreamingGLM:
         self.w0 = None if w0 is None else np.asarray(w0, dtype=float)
         self.predictions_path = predictions_path
         self.rejects_path = rejects_path
+        self.holdout, self.metrics_path = holdout, metrics_path
+        self.show_predictions = show_predictions
+        self.seed = seed
 
     # ---- state -------------------------------------------------------------
     def _state(self):
@@ -66,7 +71,12 @@ class StreamingGLM:
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         if self.store.committed(batch_id):
             return  # replayed micro-batch: already applied
-        batch = batch.filter(F.col("reject").isNull()) if "reject" in batch.columns else batch
+        if "reject" in batch.columns:
+            if self.rejects_path is not None:
+                (batch.filter(F.col("reject").isNotNull())
+                 .withColumn("batch_id", F.lit(batch_id).cast("long"))
+                 .write.mode("append").parquet(self.rejects_path))
+            batch = batch.filter(F.col("reject").isNull())
         batch = batch.persist()
         try:
             version, w, n_seen, open_n, open_sums = self._state()
@@ -78,28 +88,58 @@ class StreamingGLM:
             batch.unpersist()
 
     def _predict(self, batch: DataFrame, w, batch_id: int) -> None:
-        if self.predictions_path is None:
+        if self.predictions_path is None and not self.show_predictions:
             return
-        (batch.select(F.lit(batch_id).cast("long").alias("batch_id"), self.order_col,
-                      dot_lit(F.col("x"), list(w)).alias("prediction"))
-         .write.mode("append").parquet(self.predictions_path))
+        preds = batch.select(F.lit(batch_id).cast("long").alias("batch_id"), self.order_col,
+                             dot_lit(F.col("x"), list(w)).alias("prediction"))
+        if self.predictions_path is not None:
+            preds.write.mode("append").parquet(self.predictions_path)
+        if self.show_predictions:
+            preds.show(self.show_predictions)   # S1: first elements of the batch
+
+    def _report(self, rows, batch_id: int) -> None:
+        """Hold-out error of every version this batch produced."""
+        if self.holdout is None or self.metrics_path is None or not rows:
+            return
+        from kestrel.operators.metrics import error_trace
+        new = [(r[1], r[6]) for r in rows if r[4]]
+        if not new:
+            return
+        (error_trace(self.holdout, new).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("append").parquet(self.metrics_path))
 
     def _micro_batch(self, batch, batch_id, version, w, n_seen):
         keys = ["source_rank"] if "source_rank" in batch.columns else []
-        g = gram(batch.withColumn("_one", F.lit(0)), ["_one"] + keys, self.dim)
         rows, p = [], self.dim + 1
         w_before = w.copy()
-        for r in iter_sorted(g, ["_one"] + keys):
-            G, c, _ = unpack(np.asarray(r["s"], dtype=float), p)
-            w = self.rule.apply(w, G, c, float(r["n"]))
-            version += 1
-            n_seen += int(r["n"])
-            rows.append((self.store.model_id, version, batch_id, batch_id, int(r["n"]), n_seen,
-                         w.copy(), 0, None))
+        one = batch.withColumn("_one", F.lit(0))
+        fraction = getattr(self.rule, "fraction", 1.0)
+        if fraction < 1.0 and not keys:
+            # M7: per-iteration mini-batch Grams of this micro-batch, one pass
+            from kestrel.operators.fold import fold_sampled_grams
+            from kestrel.operators.gram import sampled_gram
+            n = batch.count()
+            g = sampled_gram(one, ["_one"], self.dim, self.rule.iterations, fraction,
+                             self.order_col, self.seed + batch_id)
+            for _, _, w_new in fold_sampled_grams(g, self.rule, w, "_one"):
+                w = w_new
+                version += 1
+                n_seen += n
+                rows.append((self.store.model_id, version, batch_id, batch_id, n, n_seen,
+                             w.copy(), 0, None))
+        else:
+            for r in iter_sorted(gram(one, ["_one"] + keys, self.dim), ["_one"] + keys):
+                G, c, _ = unpack(np.asarray(r["s"], dtype=float), p)
+                w = self.rule.apply(w, G, c, float(r["n"]))
+                version += 1
+                n_seen += int(r["n"])
+                rows.append((self.store.model_id, version, batch_id, batch_id, int(r["n"]),
+                             n_seen, w.copy(), 0, None))
         if not rows:
             return  # empty batch: keep the model, write no version (Q16)
         self._predict(batch, w_before if self.order == "predict_then_train" else w, batch_id)
         self.store.append(rows)
+        self._report(rows, batch_id)
 
     def _count_windows(self, batch, batch_id, version, w, n_seen, open_n, open_sums):
         B, p = self.window, self.dim + 1
@@ -135,6 +175,7 @@ class StreamingGLM:
             out.append([self.store.model_id, version, batch_id, None, 0, total, w.copy(),
                         last_block_n, last_block_sums])
         self.store.append(tuple(r) for r in out)
+        self._report([tuple(r) for r in out], batch_id)
 
     # ---- wiring --------------------------------------------------------------
     def train_on(self, stream: DataFrame, checkpoint_location: str,
@@ -152,16 +193,18 @@ class StreamingGLM:
 
 
 def predict_on(stream: DataFrame, store: ModelStore, sink_path: str, checkpoint_location: str,
-               order_col: str = "seq", available_now: bool = False):
+               order_col: str = "seq", available_now: bool = False, show: int = 0):
     """T5: score a (different) stream with the model current at each of its batches."""
     def score(batch: DataFrame, batch_id: int) -> None:
         row = store.latest_row()
         if row is None:
             raise ValueError("initial weights must be set before prediction")
-        (batch.select(F.lit(batch_id).cast("long").alias("batch_id"), order_col,
-                      dot_lit(F.col("x"), list(row["weights"])).alias("prediction"),
-                      F.lit(row["version"]).cast("long").alias("version"))
-         .write.mode("append").parquet(sink_path))
+        preds = batch.select(F.lit(batch_id).cast("long").alias("batch_id"), order_col,
+                             dot_lit(F.col("x"), list(row["weights"])).alias("prediction"),
+                             F.lit(row["version"]).cast("long").alias("version"))
+        preds.write.mode("append").parquet(sink_path)
+        if show:
+            preds.show(show)
 
     writer = (stream.writeStream.foreachBatch(score)
               .option("checkpointLocation", checkpoint_location))

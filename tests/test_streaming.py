@@ -133,3 +133,32 @@ def test_streaming_als_retrains_on_history(spark, scratch):
     assert m[0]["n_new"] == later.count()
     assert m[0]["n_total"] == initial.count() + later.count()
     assert m[0]["rmse_ref"] > 0
+
+
+def test_builder_trains_and_predicts_on_streams(spark, scratch):
+    from kestrel.streaming.builder import streaming_linear_regression
+    stream, _ = _replayed(spark, scratch, 300)
+    model = streaming_linear_regression(spark).set_step_size(0.1).set_num_iterations(5)
+    with pytest.raises(ValueError):
+        model.latest_model()
+    model.set_initial_weights([0.0, 0.0, 0.0])
+    q = model.train_on(stream, f"{scratch}/ck1", available_now=True)
+    q.awaitTermination()
+    w = model.latest_model()
+    assert np.any(w != 0.0)
+    stream2, _ = _replayed(spark, f"{scratch}/b", 450)
+    q2 = model.predict_on(stream2, f"{scratch}/preds", f"{scratch}/ck2", available_now=True)
+    q2.awaitTermination()
+    assert spark.read.parquet(f"{scratch}/preds").count() == 900
+
+
+def test_stream_reports_holdout_error_per_update(spark, scratch):
+    rule = NormalizedGD(step=0.05, iterations=50, reg=0.01)
+    hold = events_points(spark, SF).filter("holdout").select("x", "y")
+    store = ModelStore(spark, f"{scratch}/models", "m")
+    glm = StreamingGLM(store, rule, 3, w0=[0.0] * 3, window=50, holdout=hold,
+                       metrics_path=f"{scratch}/metrics")
+    glm.process_batch(_train(spark).filter("seq < 300"), 0)
+    m = spark.read.parquet(f"{scratch}/metrics").orderBy("version").collect()
+    assert [r["version"] for r in m] == [0, 1, 2, 3, 4]
+    assert all(r["n_test"] == 100 for r in m)
