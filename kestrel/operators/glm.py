@@ -32,11 +32,10 @@ def _store(spark, store: ModelStore | None, model_id: str | None) -> ModelStore:
 
 
 def window_grams(points: DataFrame, dim: int, window: int, order_col="seq",
-                 dense: bool = False):
-    """Closed count windows -> per-block Gram; returns (gram frame, rows, closed blocks)."""
-    framed, total, n_closed = count_windows(points, order_col, window, dense=dense)
-    g = gram(framed.filter(F.col("closed")), "block", dim)
-    return g, total, n_closed
+                 dense: bool = False) -> DataFrame:
+    """Closed count windows -> per-block sums of products (lazy)."""
+    framed = count_windows(points, order_col, window, dense=dense)
+    return gram(framed.filter(F.col("closed")), "block", dim)
 
 
 def train_count_windows(points: DataFrame, rule, dim: int, window: int,
@@ -46,7 +45,7 @@ def train_count_windows(points: DataFrame, rule, dim: int, window: int,
     spark = points.sparkSession
     store = _store(spark, store, model_id)
     w0 = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
-    g, _, _ = window_grams(points, dim, window, order_col, dense)
+    g = window_grams(points, dim, window, order_col, dense)
     mid = store.model_id
 
     def rows():

@@ -17,7 +17,6 @@ Jobs = ceil(windows / blocks_per_chunk), not windows x iterations.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import numpy as np
@@ -61,17 +60,19 @@ def train_logistic_windows(points: DataFrame, dim: int, window: int,
     w = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
     mid = store.model_id
     store.append([(mid, -1, None, None, 0, 0, w, None, None)])
-    framed, _, n_closed = count_windows(points, order_col, window, dense=dense)
-    if n_closed == 0:
-        return store
+    framed = count_windows(points, order_col, window, dense=dense)
     per_chunk = max(1, rows_per_task // window)
     stage = scratch_path(spark, "logistic-stage")
     (framed.filter(F.col("closed"))
      .select((F.col("block") / F.lit(per_chunk)).cast("long").alias("chunk"),
              "block", "ordinal", "x", "y")
      .repartition("chunk").write.partitionBy("chunk").parquet(stage))
-    staged = spark.read.parquet(stage)
-    for ch in range(math.ceil(n_closed / per_chunk)):
+    try:
+        staged = spark.read.parquet(stage)
+    except Exception:  # no closed window: nothing was staged
+        return store
+    top = staged.agg(F.max("chunk")).first()[0]
+    for ch in range(0 if top is None else int(top) + 1):
         part = staged.filter(F.col("chunk") == ch).select("chunk", "block", "ordinal", "x", "y")
         res = (part.groupBy("chunk")
                .applyInPandas(_chunk_folder(rule, w, dim),

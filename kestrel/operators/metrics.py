@@ -74,7 +74,38 @@ def running_total(per_interval: DataFrame, interval: str, count_col: str,
     return per_interval.withColumn(out, F.sum(count_col).over(w))
 
 
-def rmse_fixed_n(predictions: DataFrame, truth: DataFrame, n_test: int,
+def rmse_from_sums(pred_sums: DataFrame, truth_sums: DataFrame, keys=("user", "item"),
+                   n_test: int | None = None) -> DataFrame:
+    """RMSE from per-pair sums: ``pred_sums`` (keys, kp, sp, spp) and ``truth_sums``
+    (keys, kr, sr, srr).  A pair contributes ``kr*spp - 2*sp*sr + kp*srr`` (the sum
+    over its ``kp * kr`` joined rows) — no joined rows are materialised.  The
+    reference denominator is all test rows (``n_test``, default: the sum of kr)."""
+    keys = list(keys)
+    j = truth_sums.join(pred_sums, keys, "left")
+    matched = F.col("kp").isNotNull()
+    sse_key = F.when(matched, F.col("kr") * F.col("spp") - F.lit(2.0) * F.col("sp") * F.col("sr")
+                     + F.col("kp") * F.col("srr")).otherwise(F.lit(0.0))
+    agg = j.agg(F.sum(sse_key).alias("sse"),
+                F.sum(F.when(matched, F.col("kp") * F.col("kr")).otherwise(F.lit(0)))
+                .alias("n_joined"),
+                F.sum("kr").alias("n_all"))
+    n = F.lit(float(n_test)) if n_test is not None else F.col("n_all").cast("double")
+    sse = F.greatest(F.coalesce(F.col("sse"), F.lit(0.0)), F.lit(0.0))
+    return agg.select(
+        F.round(F.sqrt(sse / n), 6).alias("rmse_ref"),
+        F.round(F.sqrt(sse / F.col("n_joined")), 6).alias("rmse_scored"),
+        F.coalesce(F.col("n_joined"), F.lit(0)).cast("long").alias("n_joined"),
+        (F.lit(n_test) if n_test is not None else F.col("n_all")).cast("long").alias("n_test"))
+
+
+def pair_sums(df: DataFrame, value: str, prefix: str, keys=("user", "item")) -> DataFrame:
+    """(keys, k<prefix>, s<prefix>, s<prefix><prefix>) per pair, partial aggregation map-side."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"k{prefix}"),
+                                 F.sum(value).alias(f"s{prefix}"),
+                                 F.sum(F.col(value) * F.col(value)).alias(f"s{prefix}{prefix}"))
+
+
+def rmse_fixed_n(predictions: DataFrame, truth: DataFrame, n_test: int | None = None,
                  keys=("user", "item"), pred: str = "prediction",
                  label: str = "rating") -> DataFrame:
     """RMSE with the reference's denominator (all test rows, Q10).
@@ -82,29 +113,9 @@ def rmse_fixed_n(predictions: DataFrame, truth: DataFrame, n_test: int,
     Semantics are those of an inner equi-join of predictions and truth on
     (user, item) where duplicate pairs multiply (Q11): a pair with ``k_p``
     predictions and ``k_r`` truths contributes ``k_p * k_r`` squared errors.  Those
-    pairs are never materialised: each side is first reduced to one row per key
-    (count, sum, sum of squares; partial aggregation map-side), and
-
-        sum_i sum_j (p_i - r_j)^2 = k_r * S_pp - 2 * S_p * S_r + k_p * S_rr
-
+    pairs are never materialised: each side is reduced to one row per pair first,
     so a hot (user, item) pair costs one row, not ``k^2``.  Also reports the RMSE
     over the scored rows only.
     """
-    keys = list(keys)
-    p = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("kp"),
-                                       F.sum(pred).alias("sp"),
-                                       F.sum(F.col(pred) * F.col(pred)).alias("spp"))
-    r = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("kr"),
-                                 F.sum(label).alias("sr"),
-                                 F.sum(F.col(label) * F.col(label)).alias("srr"))
-    j = p.join(r, keys, "inner")
-    sse_key = (F.col("kr") * F.col("spp") - F.lit(2.0) * F.col("sp") * F.col("sr")
-               + F.col("kp") * F.col("srr"))
-    agg = j.agg(F.sum(sse_key).alias("sse"),
-                F.sum(F.col("kp") * F.col("kr")).alias("n_joined"))
-    sse = F.greatest(F.coalesce(F.col("sse"), F.lit(0.0)), F.lit(0.0))
-    return agg.select(
-        F.round(F.sqrt(sse / F.lit(float(n_test))), 6).alias("rmse_ref"),
-        F.round(F.sqrt(sse / F.col("n_joined")), 6).alias("rmse_scored"),
-        F.coalesce(F.col("n_joined"), F.lit(0)).cast("long").alias("n_joined"),
-        F.lit(n_test).cast("long").alias("n_test"))
+    return rmse_from_sums(pair_sums(predictions, pred, "p", keys),
+                          pair_sums(truth, label, "r", keys), keys, n_test)

@@ -29,16 +29,8 @@ from pyspark.sql import types as T
 from kestrel.session import shuffle_partitions
 
 
-def ordinal_with_count(df: DataFrame, order_cols, out: str = "ordinal", offset: int = 0,
-                       dense: bool = False, num_buckets: int | None = None):
-    """Return ``(frame with column out, number of rows)``."""
-    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+def _bucketed(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFrame:
     spark = df.sparkSession
-    if dense:
-        # the key is already 0..n-1 up to a shift: no shuffle at all
-        lo, n = df.agg(F.min(cols[0]), F.count(F.lit(1))).first()
-        lo = 0 if lo is None else lo
-        return df.withColumn(out, F.col(cols[0]) - F.lit(lo) + F.lit(offset)), int(n)
     p = num_buckets or shuffle_partitions(spark)
     first_type = df.schema[cols[0]].dataType
     if not isinstance(first_type, T.NumericType | T.DateType | T.TimestampType
@@ -55,48 +47,60 @@ def ordinal_with_count(df: DataFrame, order_cols, out: str = "ordinal", offset:
         qs = keyed.approxQuantile("_okey", [i / p for i in range(1, p)], 1.0 / (4 * p))
         splits = sorted({q for q in qs if q is not None and not math.isnan(q)})
     if splits:
-        bucketed = Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol="_okey",
-                              outputCol="_bucket", handleInvalid="keep").transform(keyed)
-    else:
-        bucketed = keyed.withColumn("_bucket", F.lit(0.0))
-    counts = sorted((r["_bucket"], r["count"])
-                    for r in bucketed.groupBy("_bucket").count().collect())
-    offsets, run = [], offset
-    for b, c in counts:
-        offsets.append((float(b), run))
-        run += c
-    total = run - offset
-    if not offsets:
-        return df.withColumn(out, F.lit(None).cast("long")), 0
-    off_df = spark.createDataFrame(offsets, "_bucket double, _off long")
-    w = Window.partitionBy("_bucket").orderBy(*cols)
-    numbered = (bucketed.join(F.broadcast(off_df), "_bucket")
-                .withColumn(out, F.col("_off") + F.row_number().over(w) - F.lit(1))
-                .drop("_okey", "_bucket", "_off"))
-    return numbered, total
+        return Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol="_okey",
+                          outputCol="_bucket", handleInvalid="keep").transform(keyed)
+    return keyed.withColumn("_bucket", F.lit(0.0))
 
 
 def with_ordinal(df: DataFrame, order_cols, out: str = "ordinal", offset: int = 0,
-                 dense: bool = False, num_buckets: int | None = None) -> DataFrame:
-    return ordinal_with_count(df, order_cols, out, offset, dense, num_buckets)[0]
+                 dense: bool = False, num_buckets: int | None = None,
+                 total_col: str | None = None) -> DataFrame:
+    """Add the dense 0-based rank ``out`` (+ ``offset``) by ``order_cols``.
+
+    The only driver action is ``approxQuantile`` (a few split points).  Bucket
+    counts turn into prefix offsets inside the plan (a window over the counts
+    table, at most one row per bucket) and are broadcast to the row side.
+    ``total_col`` optionally adds the number of rows as a column.
+    """
+    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    if dense:
+        # the key is already 0..n-1 up to a shift: no shuffle of rows at all
+        lo, n = df.agg(F.min(cols[0]), F.count(F.lit(1))).first()
+        framed = df.withColumn(out, F.col(cols[0]) - F.lit(0 if lo is None else lo)
+                               + F.lit(offset))
+        return framed.withColumn(total_col, F.lit(int(n))) if total_col else framed
+    bucketed = _bucketed(df, cols, num_buckets)
+    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding,
+                                                       Window.unboundedFollowing)
+    offsets = counts.select(
+        "_bucket",
+        (F.coalesce(F.sum("_cnt").over(before), F.lit(0)) + F.lit(offset)).alias("_off"),
+        F.sum("_cnt").over(everything).alias("_n"))
+    w = Window.partitionBy("_bucket").orderBy(*cols)
+    numbered = (bucketed.join(F.broadcast(offsets), "_bucket")
+                .withColumn(out, F.col("_off") + F.row_number().over(w) - F.lit(1)))
+    if total_col:
+        numbered = numbered.withColumnRenamed("_n", total_col)
+    return numbered.drop("_okey", "_bucket", "_off", "_n")
 
 
 def count_windows(df: DataFrame, order_cols, size: int, out_block: str = "block",
-                  dense: bool = False, open_rows: int = 0, n_seen: int = 0):
-    """Tumbling count windows of ``size`` rows.
+                  dense: bool = False, n_seen: int = 0, num_buckets: int | None = None) -> DataFrame:
+    """Tumbling count windows of ``size`` rows (T2), entirely inside the plan.
 
-    ``n_seen`` rows (of which ``open_rows`` sit in the still-open window) came
-    before this frame, so ordinals continue from ``n_seen`` and the first rows
-    complete the open window.  Returns ``(frame with ordinal, block, closed; total
-    rows seen; number of closed blocks overall)``.  A block is closed once all its
+    ``n_seen`` rows came before this frame (a stream's earlier micro-batches), so
+    ordinals continue from there and the first rows complete the open window.
+    Adds ``ordinal``, ``block`` and ``closed``: a block is closed once all its
     ``size`` rows have arrived; the last, incomplete block stays open and is never
     flushed.
     """
     if size <= 0:
         raise ValueError("window size must be positive")
-    framed, n = ordinal_with_count(df, order_cols, "ordinal", offset=n_seen, dense=dense)
-    total = n_seen + n
-    n_closed = total // size
-    framed = (framed.withColumn(out_block, (F.col("ordinal") / F.lit(size)).cast("long"))
-              .withColumn("closed", F.col(out_block) < F.lit(n_closed)))
-    return framed, total, n_closed
+    framed = with_ordinal(df, order_cols, "ordinal", offset=n_seen, dense=dense,
+                          num_buckets=num_buckets, total_col="_rows")
+    n_closed = ((F.lit(n_seen) + F.col("_rows")) / F.lit(size)).cast("long")
+    return (framed.withColumn(out_block, (F.col("ordinal") / F.lit(size)).cast("long"))
+            .withColumn("closed", F.col(out_block) < n_closed)
+            .drop("_rows"))

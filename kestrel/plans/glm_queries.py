@@ -34,14 +34,14 @@ def _trained(store) -> DataFrame:
 
 
 def count_windows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed, _, _ = count_windows(_train_points(spark, sf_dir), "seq", P.WINDOW)
+    framed = count_windows(_train_points(spark, sf_dir), "seq", P.WINDOW)
     return framed.groupBy("block").agg(
         F.count(F.lit(1)).alias("n_rows"), F.first("closed").alias("closed"),
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def window_gram_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, _, _ = window_grams(_train_points(spark, sf_dir), P.POINTS_DIM, P.WINDOW)
+    g = window_grams(_train_points(spark, sf_dir), P.POINTS_DIM, P.WINDOW)
     return gram_long(g, "block", P.POINTS_DIM).select(
         "block", "n", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
         F.round("value", 8).alias("value"))

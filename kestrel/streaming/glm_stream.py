@@ -143,7 +143,9 @@ class StreamingGLM:
 
     def _count_windows(self, batch, batch_id, version, w, n_seen, open_n, open_sums):
         B, p = self.window, self.dim + 1
-        framed, total, n_closed = count_windows(batch, self.order_col, B, n_seen=n_seen)
+        total = n_seen + batch.count()
+        n_closed = total // B
+        framed = count_windows(batch, self.order_col, B, n_seen=n_seen)
         open_block = n_seen // B
         out = []
         carried = open_sums.copy()

@@ -27,11 +27,12 @@ def test_ordinal_tie_break_on_second_column(spark):
 
 def test_count_windows_continue_open_window(spark):
     df = spark.range(100, 117).withColumnRenamed("id", "seq")
-    framed, total, n_closed = count_windows(df, "seq", 5, n_seen=13, open_rows=3)
-    assert total == 30 and n_closed == 6
+    framed = count_windows(df, "seq", 5, n_seen=13)
     rows = sorted((r["seq"], r["ordinal"], r["block"], r["closed"]) for r in framed.collect())
     assert rows[0] == (100, 13, 2, True)      # completes the open window 2 (rows 10..14)
     assert rows[-1] == (116, 29, 5, True)
+    short = count_windows(df.filter("seq < 115"), "seq", 5, n_seen=13)
+    assert sorted((r["ordinal"], r["closed"]) for r in short.collect())[-1] == (27, False)
 
 
 def test_gram_narrow_and_wide_agree_with_numpy(spark):
