@@ -49,38 +49,50 @@ def _chunk_folder(rule: LogisticGD, w_in, dim: int):
     return fold
 
 
-def train_logistic_windows(points: DataFrame, dim: int, window: int,
-                           rule: LogisticGD | None = None, order_col="seq", w0=None,
-                           rows_per_task: int = 2_000_000, dense: bool = False,
-                           store: ModelStore | None = None,
-                           model_id: str | None = None) -> ModelStore:
-    spark = points.sparkSession
-    rule = rule or LogisticGD()
-    store = store or ModelStore(spark, scratch_path(spark, "models"), model_id or uuid.uuid4().hex)
-    w = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
-    mid = store.model_id
-    store.append([(mid, -1, None, None, 0, 0, w, None, None)])
-    framed = count_windows(points, order_col, window, dense=dense)
+def fold_closed_windows(closed: DataFrame, rule: LogisticGD, dim: int, window: int, w,
+                        rows_per_task: int = 2_000_000) -> list:
+    """Fold closed windows (block, ordinal, x, y) in block order; returns
+    ``[(block, n, weights)]``.  Rows are staged once by chunk in the shared
+    checkpoint folder; each chunk is one job reading only its folder."""
+    spark = closed.sparkSession
     per_chunk = max(1, rows_per_task // window)
     stage = scratch_path(spark, "logistic-stage")
-    (framed.filter(F.col("closed"))
-     .select((F.col("block") / F.lit(per_chunk)).cast("long").alias("chunk"),
-             "block", "ordinal", "x", "y")
+    (closed.select((F.col("block") / F.lit(per_chunk)).cast("long").alias("chunk"),
+                   "block", "ordinal", "x", "y")
      .repartition("chunk").write.partitionBy("chunk").parquet(stage))
     try:
         staged = spark.read.parquet(stage)
     except Exception:  # no closed window: nothing was staged
-        return store
-    top = staged.agg(F.max("chunk")).first()[0]
-    for ch in range(0 if top is None else int(top) + 1):
+        return []
+    chunks = sorted(r["chunk"] for r in staged.select("chunk").distinct().collect())
+    out = []
+    w = np.asarray(w, dtype=float)
+    for ch in chunks:
         part = staged.filter(F.col("chunk") == ch).select("chunk", "block", "ordinal", "x", "y")
         res = (part.groupBy("chunk")
                .applyInPandas(_chunk_folder(rule, w, dim),
                               "block long, n long, weights array<double>")
                .collect())
         res.sort(key=lambda r: r["block"])
-        store.append((mid, r["block"], None, r["block"], r["n"], (r["block"] + 1) * window,
-                      r["weights"], None, None) for r in res)
+        out.extend((r["block"], r["n"], r["weights"]) for r in res)
         if res:
             w = np.asarray(res[-1]["weights"], dtype=float)
+    return out
+
+
+def train_logistic_windows(points: DataFrame, dim: int, window: int,
+                           rule: LogisticGD | None = None, order_col="seq", w0=None,
+                           rows_per_task: int = 2_000_000, dense: bool = False,
+                           store: ModelStore | None = None,
+                           model_id: str | None = None) -> ModelStore:
+    spark = points.sparkSession
+    rule = rule or LogisticGD()
+    store = store or ModelStore(spark, scratch_path(spark, "models"), model_id or uuid.uuid4().hex)
+    w = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
+    mid = store.model_id
+    store.append([(mid, -1, None, None, 0, 0, w, None, None)])
+    framed = count_windows(points, order_col, window, dense=dense)
+    folded = fold_closed_windows(framed.filter(F.col("closed")), rule, dim, window, w,
+                                 rows_per_task)
+    store.append((mid, b, None, b, n, (b + 1) * window, wt, None, None) for b, n, wt in folded)
     return store

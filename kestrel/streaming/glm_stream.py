@@ -25,6 +25,7 @@ from kestrel.functions.linalg import dot_lit
 from kestrel.operators.fold import iter_sorted
 from kestrel.operators.gram import gram, packed_len, unpack
 from kestrel.operators.ordinal import count_windows
+from kestrel.operators.rules import LogisticGD
 from kestrel.streaming.modelstore import ModelStore
 
 ORDERS = ("train_then_predict", "predict_then_train")
@@ -48,7 +49,11 @@ class StreamingGLM:
         self.seed = seed
 
     # ---- state -------------------------------------------------------------
+    _cache = None   # (last batch_id, state tuple): read the table once, then keep it current
+
     def _state(self):
+        if self._cache is not None:
+            return self._cache[1]
         v = self.store.versions()
         row = (v.groupBy("model_id")
                .agg(F.max_by(F.struct(*v.columns),
@@ -61,15 +66,28 @@ class StreamingGLM:
                                 [0.0] * packed_len(self.dim + 1))])
             return -1, self.w0.copy(), 0, 0, np.zeros(packed_len(self.dim + 1))
         sums = row["open_sums"] or [0.0] * packed_len(self.dim + 1)
-        return (int(row["version"]), np.asarray(row["weights"], dtype=float),
-                int(row["n_seen"] or 0), int(row["open_n"] or 0), np.asarray(sums, dtype=float))
+        state = (int(row["version"]), np.asarray(row["weights"], dtype=float),
+                 int(row["n_seen"] or 0), int(row["open_n"] or 0), np.asarray(sums, dtype=float))
+        self._cache = (row["batch_id"], state)
+        return state
+
+    def _remember(self, rows) -> None:
+        last = rows[-1]
+        sums = last[8] if last[8] is not None else [0.0] * packed_len(self.dim + 1)
+        self._cache = (last[2], (int(last[1]), np.asarray(last[6], dtype=float), int(last[5]),
+                                 int(last[7] or 0), np.asarray(sums, dtype=float)))
+
+    def _committed(self, batch_id: int) -> bool:
+        if self._cache is not None and self._cache[0] is not None:
+            return batch_id <= self._cache[0]
+        return self.store.committed(batch_id)
 
     def latest_weights(self):
         return self._state()[1]
 
     # ---- foreachBatch body -------------------------------------------------
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        if self.store.committed(batch_id):
+        if self._committed(batch_id):
             return  # replayed micro-batch: already applied
         if "reject" in batch.columns:
             if self.rejects_path is not None:
@@ -82,6 +100,8 @@ class StreamingGLM:
             version, w, n_seen, open_n, open_sums = self._state()
             if self.window is None:
                 self._micro_batch(batch, batch_id, version, w, n_seen)
+            elif isinstance(self.rule, LogisticGD):
+                self._logistic_windows(batch, batch_id, version, w, n_seen, open_n)
             else:
                 self._count_windows(batch, batch_id, version, w, n_seen, open_n, open_sums)
         finally:
@@ -139,6 +159,7 @@ class StreamingGLM:
             return  # empty batch: keep the model, write no version (Q16)
         self._predict(batch, w_before if self.order == "predict_then_train" else w, batch_id)
         self.store.append(rows)
+        self._remember(rows)
         self._report(rows, batch_id)
 
     def _count_windows(self, batch, batch_id, version, w, n_seen, open_n, open_sums):
@@ -176,8 +197,51 @@ class StreamingGLM:
             # no window closed: store the grown open window under the same version
             out.append([self.store.model_id, version, batch_id, None, 0, total, w.copy(),
                         last_block_n, last_block_sums])
-        self.store.append(tuple(r) for r in out)
-        self._report([tuple(r) for r in out], batch_id)
+        out = [tuple(r) for r in out]
+        self.store.append(out)
+        self._remember(out)
+        self._report(out, batch_id)
+
+    def _open_rows_path(self, batch_id: int) -> str:
+        return f"{self.store.path}_open/model={self.store.model_id}/batch={batch_id}"
+
+    def _logistic_windows(self, batch, batch_id, version, w, n_seen, open_n):
+        """M3 on a stream: the open window keeps its rows (fewer than B) in a
+        staging table written per batch_id; the next batch reads them back."""
+        from kestrel.operators.logistic import fold_closed_windows
+        B = self.window
+        n_new = batch.count()
+        if n_new == 0:
+            return
+        total = n_seen + n_new
+        n_closed = total // B
+        rows = count_windows(batch, self.order_col, B, n_seen=n_seen).select(
+            "ordinal", "block", "x", "y")
+        if open_n:
+            prev = self._cache[0] if self._cache else None
+            if prev is None:
+                prev = (self.store.versions().agg(F.max("batch_id")).first()[0])
+            old = self.store.spark.read.parquet(self._open_rows_path(prev)).select(
+                "ordinal", (F.col("ordinal") / F.lit(B)).cast("long").alias("block"), "x", "y")
+            rows = old.unionByName(rows)
+        closed = rows.filter(F.col("block") < F.lit(n_closed))
+        folded = fold_closed_windows(closed, self.rule, self.dim, B, w) if n_closed > n_seen // B \
+            else []
+        still_open = rows.filter(F.col("block") >= F.lit(n_closed))
+        still_open.select("ordinal", "x", "y").write.mode("overwrite").parquet(
+            self._open_rows_path(batch_id))
+        out = [[self.store.model_id, int(b), batch_id, int(b), int(n), (int(b) + 1) * B,
+                np.asarray(wt, dtype=float), 0, None] for b, n, wt in folded]
+        if out:
+            out[-1][5], out[-1][7] = total, total - n_closed * B
+            w = out[-1][6]
+        else:
+            out = [[self.store.model_id, version, batch_id, None, 0, total, w, total - n_closed * B,
+                    None]]
+        out = [tuple(r) for r in out]
+        self.store.append(out)
+        self._remember(out)
+        self._report(out, batch_id)
 
     # ---- wiring --------------------------------------------------------------
     def train_on(self, stream: DataFrame, checkpoint_location: str,

@@ -162,3 +162,37 @@ def test_stream_reports_holdout_error_per_update(spark, scratch):
     m = spark.read.parquet(f"{scratch}/metrics").orderBy("version").collect()
     assert [r["version"] for r in m] == [0, 1, 2, 3, 4]
     assert all(r["n_test"] == 100 for r in m)
+
+
+def test_logistic_stream_equals_batch(spark, scratch):
+    from kestrel.operators.logistic import train_logistic_windows
+    from kestrel.operators.rules import LogisticGD
+    rule = LogisticGD(step=0.05, iterations=20, reg=0.1)
+    pts = _train(spark).filter("seq < 500")
+    batch = train_logistic_windows(pts, 3, 50, rule)
+    want = [r["weights"] for r in batch.versions().filter("version >= 0").orderBy("version").collect()]
+    store = ModelStore(spark, f"{scratch}/models", "lg")
+    glm = StreamingGLM(store, rule, 3, w0=[0.0] * 3, window=50)
+    for i, (lo, hi) in enumerate([(0, 130), (130, 140), (140, 390), (390, 500)]):
+        glm.process_batch(pts.filter(f"seq >= {lo} AND seq < {hi}"), i)
+    got = [r["weights"] for r in
+           store.versions().filter("version >= 0 AND n_rows > 0").orderBy("version").collect()]
+    assert len(got) == len(want) == 9
+    assert np.allclose(got, want, atol=1e-12)
+
+
+def test_multi_source_stream_equals_batch(spark, scratch):
+    rule = SGD(step=0.1, iterations=10)
+    pts = (_train(spark).filter(F.col("day") < F.lit(19726))
+           .join(events_points(spark, SF).select("seq", "ts"), "seq")
+           .withColumn("source_rank", F.when(F.hour("ts") < 12, 0).otherwise(1)).drop("ts"))
+    batch = train_batches(pts, rule, 3, ["day", "source_rank"], w0=[0.0] * 3)
+    want = [r["weights"] for r in batch.versions().filter("version >= 0").orderBy("version").collect()]
+    store = ModelStore(spark, f"{scratch}/models", "ms")
+    glm = StreamingGLM(store, rule, 3, w0=[0.0] * 3)
+    days = sorted(r["day"] for r in pts.select("day").distinct().collect())
+    for i, d in enumerate(days):
+        glm.process_batch(pts.filter(F.col("day") == d), i)
+    got = [r["weights"] for r in store.versions().filter("version >= 0").orderBy("version").collect()]
+    assert len(got) == len(want) == 2 * len(days)
+    assert np.allclose(got, want, atol=1e-12)
