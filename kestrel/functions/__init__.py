@@ -2,11 +2,12 @@
 
 from kestrel.functions.linalg import decision, dot, dot_lit, huber_sign, l2_norm
 from kestrel.functions.parse import (
-    label_pm1, parse_point_fields, parse_rating_fields, parse_tuple_point,
+    label_pm1, parse_once, parse_point_fields, parse_rating_fields, parse_ratings,
+    parse_tuple_point,
     split_lines, trim_controls, with_bias)
 
 __all__ = [
-    "decision", "dot", "dot_lit", "huber_sign", "l2_norm", "label_pm1",
-    "parse_point_fields", "parse_rating_fields", "parse_tuple_point", "split_lines",
+    "decision", "dot", "dot_lit", "huber_sign", "l2_norm", "label_pm1", "parse_once",
+    "parse_once", "parse_point_fields", "parse_rating_fields", "parse_ratings", "parse_tuple_point", "split_lines",
     "trim_controls", "with_bias",
 ]

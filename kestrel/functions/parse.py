@@ -20,8 +20,6 @@ REJECT_FORMAT = "bad_format"
 REJECT_FIELD = "bad_field"
 REJECT_FRAGMENT = "fragment"
 
-# Java's String.trim removes every character <= U+0020 at both ends, NUL included.
-_CONTROL_EDGES = r"^[\x00-\x20]+|[\x00-\x20]+$"
 _INT_TEXT = r"^[+-]?[0-9]+$"
 _TUPLE_POINT = r"^\(([^,]+),\[(.*)\]\)$"
 
@@ -30,19 +28,41 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def parse_once(df, parser: Column, *keep) -> "DataFrame":
+    """Evaluate a parser struct once per row and expose its fields as columns.
+
+    Without a barrier, a later ``filter(reject IS NULL)`` is pushed through every
+    projection (down into a join condition, if there is one) with the whole parse
+    inlined, and evaluated again for the output.  ``explode`` of a one-element
+    array is a Generate node; filters on its output stay above it, so the parse
+    runs once, in the projection below.
+    """
+    return df.select(*keep, F.explode(F.array(parser)).alias("_p")).select(*keep, "_p.*")
+
+
 def split_lines(value) -> Column:
     """B1: packed text -> one row per line (use with ``select``/``explode``)."""
     return F.explode(F.split(_col(value), "\n"))
 
 
+# Every character <= U+0020 (what Java's String.trim removes).
+_CONTROL_CHARS = "".join(chr(c) for c in range(0x21))
+
+
 def trim_controls(value) -> Column:
-    """Strip control characters and blanks (<= U+0020) at both ends."""
-    return F.regexp_replace(_col(value), _CONTROL_EDGES, "")
+    """Strip control characters and blanks (<= U+0020) at both ends.
+
+    ``btrim`` with the explicit character set is a plain JVM string scan
+    (no regex); ``F.trim`` alone would leave NUL padding in place."""
+    return F.btrim(_col(value), F.lit(_CONTROL_CHARS))
 
 
 def _java_split(value, sep: str) -> Column:
-    # Java's split drops trailing empty fields; Spark's keeps them.
-    return F.split(F.regexp_replace(_col(value), f"(?:{sep})+$", ""), sep)
+    # Java's split drops trailing empty fields; Spark's keeps them.  The regex only
+    # runs on the rare line that ends with the separator.
+    v = _col(value)
+    return F.split(F.when(v.endswith(sep), F.regexp_replace(v, f"(?:{sep})+$", ""))
+                   .otherwise(v), sep)
 
 
 def _try_double(s: Column) -> Column:
@@ -125,22 +145,74 @@ def parse_tuple_point(line, num_features: int | None = None) -> Column:
     return F.struct(y.alias("y"), x.alias("x"), reject.alias("reject"))
 
 
-def parse_rating_fields(line, sep: str = "::", min_length: int | None = None) -> Column:
-    """Parse ``user::item::rating[::...]`` into struct(user, item, rating, reject).
+def rating_field_cuts(line, sep: str = "::") -> list[Column]:
+    """Stage 1 of the ratings parser: the cut fields as columns ``_f0.._f2`` and
+    the field count ``_nf`` (literal ``split_part`` / ``replace``, no regex unless
+    the line ends with the separator)."""
+    line = _col(line)
+    # Java's split drops trailing empty fields
+    body = F.when(line.endswith(sep), F.regexp_replace(line, f"(?:{_quote(sep)})+$", "")) \
+        .otherwise(line)
+    lit_sep = F.lit(sep)
+    n_fields = F.when(F.length(body) == 0, F.lit(1)).otherwise(
+        (F.length(body) - F.length(F.replace(body, lit_sep, F.lit("")))) / F.lit(len(sep))
+        + F.lit(1))
+    return [F.split_part(body, lit_sep, F.lit(i + 1)).alias(f"_f{i}") for i in range(3)] + \
+        [n_fields.cast("int").alias("_nf")]
+
+
+def rating_from_cuts(line, min_length: int | None = None) -> Column:
+    """Stage 2: struct(user, item, rating, reject) from the ``rating_field_cuts`` columns."""
+    line = _col(line)
+    f0, f1, f2 = F.col("_f0"), F.col("_f1"), F.col("_f2")
+    user = F.when(f0.rlike(_INT_TEXT), f0.try_cast("int"))
+    item = F.when(f1.rlike(_INT_TEXT), f1.try_cast("int"))
+    rating = _try_double(f2)
+    reject = F.when(line.isNull(), F.lit(REJECT_FORMAT))
+    if min_length is not None:
+        reject = reject.when(F.length(line) < min_length, F.lit(REJECT_FRAGMENT))
+    reject = (reject.when(F.col("_nf") < 3, F.lit(REJECT_ARITY))
+              .when(user.isNull() | item.isNull() | rating.isNull(), F.lit(REJECT_FIELD)))
+    return F.struct(user.alias("user"), item.alias("item"), rating.alias("rating"),
+                    reject.alias("reject"))
+
 
-    Extra fields are ignored; user and item must be JVM int text, rating any double.
-    ``min_length`` is the reference's guard (5), applied to the given column.
+def parse_ratings(df, line: str = "value", sep: str = "::", min_length: int | None = None,
+                  keep=()) -> "DataFrame":
+    """A3 / B4 on a frame: columns ``keep + (user, item, rating, reject)``.
+
+    Two projections: the literal field cuts first, then the typed struct from
+    those columns.  A later ``filter(reject IS NULL)`` that the optimizer pushes
+    down then repeats only cheap checks on columns, never the cuts.
     """
+    keep = list(keep)
+    cols = list(dict.fromkeys(keep + [line]))
+    cut = df.select(*cols, *rating_field_cuts(F.col(line), sep))
+    return parse_once(cut, rating_from_cuts(F.col(line), min_length), *keep)
+
+
+def parse_rating_fields(line, sep: str = "::", min_length: int | None = None) -> Column:
+    """Single-expression form of the ratings parser (struct(user, item, rating,
+    reject)); for large frames prefer :func:`parse_ratings`."""
     line = _col(line)
-    fields = _java_split(line, sep)
-    f0, f1, f2 = (F.try_element_at(fields, F.lit(i)) for i in (1, 2, 3))
+    body = F.when(line.endswith(sep), F.regexp_replace(line, f"(?:{_quote(sep)})+$", "")) \
+        .otherwise(line)
+    lit_sep = F.lit(sep)
+    n_fields = F.when(F.length(body) == 0, F.lit(1)).otherwise(
+        (F.length(body) - F.length(F.replace(body, lit_sep, F.lit("")))) / F.lit(len(sep))
+        + F.lit(1))
+    f0, f1, f2 = (F.split_part(body, lit_sep, F.lit(i)) for i in (1, 2, 3))
     user = F.when(f0.rlike(_INT_TEXT), f0.try_cast("int"))
     item = F.when(f1.rlike(_INT_TEXT), f1.try_cast("int"))
     rating = _try_double(f2)
     reject = F.when(line.isNull(), F.lit(REJECT_FORMAT))
     if min_length is not None:
         reject = reject.when(F.length(line) < min_length, F.lit(REJECT_FRAGMENT))
-    reject = (reject.when(F.size(fields) < 3, F.lit(REJECT_ARITY))
+    reject = (reject.when(n_fields < 3, F.lit(REJECT_ARITY))
               .when(user.isNull() | item.isNull() | rating.isNull(), F.lit(REJECT_FIELD)))
     return F.struct(user.alias("user"), item.alias("item"), rating.alias("rating"),
                     reject.alias("reject"))
+
+
+def _quote(sep: str) -> str:
+    return "".join("\\" + ch if not ch.isalnum() else ch for ch in sep)

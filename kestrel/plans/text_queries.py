@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.functions.parse import parse_point_fields, parse_rating_fields
+from kestrel.functions.parse import parse_once, parse_point_fields, parse_ratings
 from kestrel.plans import params as P
 from kestrel.sources.tables import text_point_lines, text_rating_lines
 from kestrel.sources.text import clean_rating_lines
@@ -14,18 +14,17 @@ from kestrel.sources.text import clean_rating_lines
 def points_parse_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 rules on ``label,f1,f2`` lines: exact arity, +-1 label, bias appended."""
     lines = text_point_lines(spark, sf_dir)
-    p = lines.select("seq", parse_point_fields(F.col("value"), P.TEXT_D, mode="file").alias("p"))
-    good = p.filter(F.col("p.reject").isNull())
-    return good.select("seq", F.col("p.y").alias("y"),
-                       *[F.col("p.x")[i].alias(f"x{i + 1}") for i in range(P.TEXT_D + 1)])
+    p = parse_once(lines, parse_point_fields(F.col("value"), P.TEXT_D, mode="file"), "seq")
+    good = p.filter(F.col("reject").isNull())
+    return good.select("seq", "y", *[F.col("x")[i].alias(f"x{i + 1}") for i in range(P.TEXT_D + 1)])
 
 
 def points_reject_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 + B4 + B7 on the stream path: length guard 10 + d, arity, castability."""
     lines = text_point_lines(spark, sf_dir)
-    p = lines.select(parse_point_fields(F.col("value"), P.TEXT_D, mode="stream",
-                                        min_length=10 + P.TEXT_D).alias("p"))
-    return (p.select(F.coalesce(F.col("p.reject"), F.lit("ok")).alias("reason"))
+    p = parse_once(lines, parse_point_fields(F.col("value"), P.TEXT_D, mode="stream",
+                                             min_length=10 + P.TEXT_D))
+    return (p.select(F.coalesce(F.col("reject"), F.lit("ok")).alias("reason"))
             .groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines")))
 
 
@@ -47,5 +46,5 @@ def lines_explode_trim_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratings_parse_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 + B4: ``user::item::rating`` lines -> typed ratings."""
     lines = text_rating_lines(spark, sf_dir)
-    p = lines.select(parse_rating_fields(F.col("value"), "::").alias("p"))
-    return p.filter(F.col("p.reject").isNull()).select("p.user", "p.item", "p.rating")
+    p = parse_ratings(lines, "value", "::")
+    return p.filter(F.col("reject").isNull()).select("user", "item", "rating")

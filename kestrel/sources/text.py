@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.parse import (
-    parse_point_fields, parse_rating_fields, parse_tuple_point, trim_controls)
+    parse_once, parse_point_fields, parse_ratings, parse_tuple_point, trim_controls)
 
 
-def _split_rejects(parsed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    good = parsed.filter(F.col("p.reject").isNull()).select(*keep)
-    bad = parsed.filter(F.col("p.reject").isNotNull())
+def _split_rejects(parsed: DataFrame, keep: list) -> tuple[DataFrame, DataFrame]:
+    good = parsed.filter(F.col("reject").isNull()).select(*keep)
+    bad = parsed.filter(F.col("reject").isNotNull())
     return good, bad
 
 
@@ -28,10 +28,9 @@ def read_points_csv(spark: SparkSession, path: str, d: int,
     raw = (spark.read.text(path)
            .select(F.col("value"), F.input_file_name().alias("_file"),
                    F.monotonically_increasing_id().alias("_mid")))
-    parsed = raw.select("value", "_file", "_mid",
-                        parse_point_fields(F.col("value"), d, mode="file").alias("p"))
-    good, bad = _split_rejects(parsed, ["_file", "_mid", F.col("p.y").alias("y"),
-                                        F.col("p.x").alias("x")])
+    parsed = parse_once(raw, parse_point_fields(F.col("value"), d, mode="file"),
+                        "value", "_file", "_mid")
+    good, bad = _split_rejects(parsed, ["_file", "_mid", "y", "x"])
     # files in name order, lines in file order: rank the (few) file names, then
     # number rows by (file rank, position)
     files = sorted(r["_file"] for r in raw.select("_file").distinct().collect())
@@ -39,18 +38,17 @@ def read_points_csv(spark: SparkSession, path: str, d: int,
     good = good.join(F.broadcast(ranks), "_file")
     good = with_ordinal(good, ["_frank", "_mid"], out="seq").select("seq", "y", "x")
     if with_rejects:
-        return good, bad.select("value", F.col("p.reject").alias("reject"))
+        return good, bad.select("value", "reject")
     return good
 
 
 def read_ratings(spark: SparkSession, path: str, sep: str = "::",
                  with_rejects: bool = False):
     """A3: bounded ``user::item::rating`` file -> (user, item, rating)."""
-    parsed = spark.read.text(path).select(
-        "value", parse_rating_fields(F.col("value"), sep).alias("p"))
-    good, bad = _split_rejects(parsed, ["p.user", "p.item", "p.rating"])
+    parsed = parse_ratings(spark.read.text(path), "value", sep, keep=["value"])
+    good, bad = _split_rejects(parsed, ["user", "item", "rating"])
     if with_rejects:
-        return good, bad.select("value", F.col("p.reject").alias("reject"))
+        return good, bad.select("value", "reject")
     return good
 
 
@@ -63,9 +61,8 @@ def read_points_stream(spark: SparkSession, directory: str,
     the order inside a micro-batch.
     """
     raw = spark.readStream.format("text").load(directory)
-    return raw.select(F.input_file_name().alias("file"), "value",
-                      parse_tuple_point(F.col("value"), num_features).alias("p")) \
-        .select("file", "value", "p.y", "p.x", "p.reject")
+    return parse_once(raw.select(F.input_file_name().alias("file"), "value"),
+                      parse_tuple_point(F.col("value"), num_features), "file", "value")
 
 
 def read_lines_stream(spark: SparkSession, host: str = "localhost", port: int = 9999,
@@ -91,8 +88,7 @@ def clean_rating_lines(lines: DataFrame, value: str = "value", min_length: int =
     control padding, drop fragments shorter than ``min_length``, parse."""
     exploded = lines.select(F.explode(F.split(F.col(value), "\n")).alias("raw"))
     trimmed = exploded.select(trim_controls(F.col("raw")).alias("line"))
-    return trimmed.select("line", parse_rating_fields(F.col("line"), "::", min_length).alias("p")) \
-        .select("line", "p.user", "p.item", "p.rating", "p.reject")
+    return parse_ratings(trimmed, "line", "::", min_length, keep=["line"])
 
 
 def replay(df: DataFrame, order_col: str, rows_per_file: int, path: str,
