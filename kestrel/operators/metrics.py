@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 
 
 
-def set_summary(ratings: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Ratings, distinct users, distinct items (exact), optionally per group."""
+def set_summary(ratings: DataFrame, by: list[str] | None = None,
+                approx: bool = False) -> DataFrame:
+    """Ratings, distinct users, distinct items, optionally per group.
+
+    Exact distinct counts by default (two-phase distinct aggregation);
+    ``approx=True`` uses HyperLogLog++ sketches (one pass, fixed-size state)."""
+    distinct = F.approx_count_distinct if approx else F.count_distinct
     aggs = [F.count(F.lit(1)).alias("n_ratings"),
-            F.count_distinct("user").alias("n_users"),
-            F.count_distinct("item").alias("n_items")]
+            distinct("user").alias("n_users"),
+            distinct("item").alias("n_items")]
     return ratings.groupBy(*(by or [])).agg(*aggs)
 
 
+# The set-summary log line.
+SUMMARY_FORMAT = "{name} set got {n_ratings} ratings from {n_users} users on {n_items} movies."
+
+
+def summary_line(row, name: str = "Initial") -> str:
+    """S5 report line for one :func:`set_summary` row."""
+    return SUMMARY_FORMAT.format(name=name, n_ratings=row["n_ratings"], n_users=row["n_users"],
+                                 n_items=row["n_items"])
+
+
 def error_trace(holdout: DataFrame, versions, x: str = "x", y: str = "y",
                 max_weights: int = 4_000_000, digits: int = 6) -> DataFrame:
     """Misclassification rate of each model version on a fixed hold-out.

@@ -70,3 +70,15 @@ def test_error_trace_counts(spark):
            error_trace(df, [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.0])],
                        max_weights=2).collect()}
     assert out == {0: (3, 1), 1: (3, 1), 2: (3, 2)}
+
+
+def test_set_summary_and_line(spark):
+    from kestrel.operators.als import union_history
+    from kestrel.operators.metrics import set_summary, summary_line
+    a = spark.createDataFrame([(1, 10, 3.0), (2, 10, 4.0)], "user int, item int, rating double")
+    b = spark.createDataFrame([(1, 10, 3.0)], "user int, item int, rating double")
+    h = union_history(a, b)
+    r = set_summary(h).first()
+    assert (r["n_ratings"], r["n_users"], r["n_items"]) == (3, 2, 1)
+    assert summary_line(r) == "Initial set got 3 ratings from 2 users on 1 movies."
+    assert set_summary(h, approx=True).first()["n_users"] == 2
