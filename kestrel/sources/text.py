@@ -83,6 +83,21 @@ def read_lines_stream(spark: SparkSession, host: str = "localhost", port: int =
     raise ValueError(f"unknown line stream format {fmt!r}")
 
 
+def points_from_lines(lines: DataFrame, d: int, value: str = "value",
+                      min_length: int | None = None) -> DataFrame:
+    """A4 + B1-B7 for the points wire (V1 stream path): packed lines are split,
+    control padding trimmed, each line parsed with the stream arity rules.
+
+    A text line has no order key: :class:`StreamingGLM` numbers each micro-batch
+    by arrival position (partition, then offset) and continues the global
+    ordinal from the rows already seen.  Output: y, x, reject.
+    """
+    exploded = lines.select(F.explode(F.split(F.col(value), "\n")).alias("raw"))
+    trimmed = exploded.select(trim_controls(F.col("raw")).alias("line"))
+    return parse_once(trimmed.filter(F.length("line") > 0),
+                      parse_point_fields(F.col("line"), d, mode="stream", min_length=min_length))
+
+
 def clean_rating_lines(lines: DataFrame, value: str = "value", min_length: int = 5) -> DataFrame:
     """B1 + B3 + B2 + B4 for the noisy ratings wire: explode packed lines, trim
     control padding, drop fragments shorter than ``min_length``, parse."""

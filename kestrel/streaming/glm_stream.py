@@ -89,6 +89,9 @@ class StreamingGLM:
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         if self._committed(batch_id):
             return  # replayed micro-batch: already applied
+        if self.order_col not in batch.columns:
+            # no order key on the wire: arrival position inside this micro-batch
+            batch = batch.withColumn(self.order_col, F.monotonically_increasing_id())
         if "reject" in batch.columns:
             if self.rejects_path is not None:
                 (batch.filter(F.col("reject").isNotNull())

@@ -196,3 +196,27 @@ def test_multi_source_stream_equals_batch(spark, scratch):
     got = [r["weights"] for r in store.versions().filter("version >= 0").orderBy("version").collect()]
     assert len(got) == len(want) == 2 * len(days)
     assert np.allclose(got, want, atol=1e-12)
+
+
+def test_points_line_stream_trains_count_windows(spark, scratch):
+    from kestrel.sources.text import points_from_lines
+    src = f"{scratch}/lines"
+    os.makedirs(src)
+    pts = events_points(spark, SF).filter("NOT holdout AND seq < 400").orderBy("seq").collect()
+    lines = [f"{1 if r['y'] > 0 else 0},{r['x'][0]!r},{r['x'][1]!r}" for r in pts]
+    for k in range(0, len(lines), 90):
+        with open(f"{src}/part-{k:05d}.txt", "w") as fh:
+            fh.write("\x00 " + "\n".join(lines[k:k + 90]) + "\x00\n")
+        os.utime(f"{src}/part-{k:05d}.txt", (1_000_000 + k, 1_000_000 + k))
+    stream = points_from_lines(
+        spark.readStream.option("maxFilesPerTrigger", 1).format("text").load(src), 2)
+    rule = NormalizedGD(step=0.05, iterations=20, reg=0.01)
+    store = ModelStore(spark, f"{scratch}/models", "lines")
+    glm = StreamingGLM(store, rule, 3, w0=[0.0] * 3, window=50)
+    glm.train_on(stream, f"{scratch}/ck", available_now=True).awaitTermination()
+    batch = train_count_windows(_train(spark).filter("seq < 400"), rule, 3, 50)
+    want = [r["weights"] for r in batch.versions().filter("version >= 0").orderBy("version").collect()]
+    got = [r["weights"] for r in
+           store.versions().filter("version >= 0 AND n_rows > 0").orderBy("version").collect()]
+    assert len(got) == len(want) == len(lines) // 50
+    assert np.allclose(got, want, atol=1e-9)
