@@ -145,73 +145,59 @@ def parse_tuple_point(line, num_features: int | None = None) -> Column:
     return F.struct(y.alias("y"), x.alias("x"), reject.alias("reject"))
 
 
-def rating_field_cuts(line, sep: str = "::") -> list[Column]:
-    """Stage 1 of the ratings parser: the cut fields as columns ``_f0.._f2`` and
-    the field count ``_nf`` (literal ``split_part`` / ``replace``, no regex unless
-    the line ends with the separator)."""
-    line = _col(line)
-    # Java's split drops trailing empty fields
+def _rating_cuts(line: Column, sep: str) -> tuple[Column, Column, Column, Column]:
+    # Java's split drops trailing empty fields; the regex only runs on the rare
+    # line that ends with the separator.  split_part / replace are literal.
     body = F.when(line.endswith(sep), F.regexp_replace(line, f"(?:{_quote(sep)})+$", "")) \
         .otherwise(line)
     lit_sep = F.lit(sep)
     n_fields = F.when(F.length(body) == 0, F.lit(1)).otherwise(
         (F.length(body) - F.length(F.replace(body, lit_sep, F.lit("")))) / F.lit(len(sep))
-        + F.lit(1))
-    return [F.split_part(body, lit_sep, F.lit(i + 1)).alias(f"_f{i}") for i in range(3)] + \
-        [n_fields.cast("int").alias("_nf")]
+        + F.lit(1)).cast("int")
+    f0, f1, f2 = (F.split_part(body, lit_sep, F.lit(i)) for i in (1, 2, 3))
+    return f0, f1, f2, n_fields
 
 
-def rating_from_cuts(line, min_length: int | None = None) -> Column:
-    """Stage 2: struct(user, item, rating, reject) from the ``rating_field_cuts`` columns."""
-    line = _col(line)
-    f0, f1, f2 = F.col("_f0"), F.col("_f1"), F.col("_f2")
+def _rating_struct(line: Column, f0: Column, f1: Column, f2: Column, n_fields: Column,
+                   min_length: int | None) -> Column:
     user = F.when(f0.rlike(_INT_TEXT), f0.try_cast("int"))
     item = F.when(f1.rlike(_INT_TEXT), f1.try_cast("int"))
     rating = _try_double(f2)
     reject = F.when(line.isNull(), F.lit(REJECT_FORMAT))
     if min_length is not None:
         reject = reject.when(F.length(line) < min_length, F.lit(REJECT_FRAGMENT))
-    reject = (reject.when(F.col("_nf") < 3, F.lit(REJECT_ARITY))
+    reject = (reject.when(n_fields < 3, F.lit(REJECT_ARITY))
               .when(user.isNull() | item.isNull() | rating.isNull(), F.lit(REJECT_FIELD)))
     return F.struct(user.alias("user"), item.alias("item"), rating.alias("rating"),
                     reject.alias("reject"))
 
 
+def parse_rating_fields(line, sep: str = "::", min_length: int | None = None) -> Column:
+    """Parse ``user::item::rating[::...]`` into struct(user, item, rating, reject).
+
+    Extra fields are ignored; user and item must be JVM int text, rating any double.
+    ``min_length`` is the reference's guard (5), applied to the given column.
+    Single-expression form; for large frames prefer :func:`parse_ratings`.
+    """
+    line = _col(line)
+    return _rating_struct(line, *_rating_cuts(line, sep), min_length)
+
+
 def parse_ratings(df, line: str = "value", sep: str = "::", min_length: int | None = None,
                   keep=()) -> "DataFrame":
     """A3 / B4 on a frame: columns ``keep + (user, item, rating, reject)``.
 
-    Two projections: the literal field cuts first, then the typed struct from
-    those columns.  A later ``filter(reject IS NULL)`` that the optimizer pushes
-    down then repeats only cheap checks on columns, never the cuts.
+    The literal field cuts are projected as columns first and the typed struct is
+    built from them behind a Generate barrier (:func:`parse_once`), so neither a
+    pushed-down filter nor the output repeats the cuts.
     """
     keep = list(keep)
     cols = list(dict.fromkeys(keep + [line]))
-    cut = df.select(*cols, *rating_field_cuts(F.col(line), sep))
-    return parse_once(cut, rating_from_cuts(F.col(line), min_length), *keep)
-
-
-def parse_rating_fields(line, sep: str = "::", min_length: int | None = None) -> Column:
-    """Single-expression form of the ratings parser (struct(user, item, rating,
-    reject)); for large frames prefer :func:`parse_ratings`."""
-    line = _col(line)
-    body = F.when(line.endswith(sep), F.regexp_replace(line, f"(?:{_quote(sep)})+$", "")) \
-        .otherwise(line)
-    lit_sep = F.lit(sep)
-    n_fields = F.when(F.length(body) == 0, F.lit(1)).otherwise(
-        (F.length(body) - F.length(F.replace(body, lit_sep, F.lit("")))) / F.lit(len(sep))
-        + F.lit(1))
-    f0, f1, f2 = (F.split_part(body, lit_sep, F.lit(i)) for i in (1, 2, 3))
-    user = F.when(f0.rlike(_INT_TEXT), f0.try_cast("int"))
-    item = F.when(f1.rlike(_INT_TEXT), f1.try_cast("int"))
-    rating = _try_double(f2)
-    reject = F.when(line.isNull(), F.lit(REJECT_FORMAT))
-    if min_length is not None:
-        reject = reject.when(F.length(line) < min_length, F.lit(REJECT_FRAGMENT))
-    reject = (reject.when(n_fields < 3, F.lit(REJECT_ARITY))
-              .when(user.isNull() | item.isNull() | rating.isNull(), F.lit(REJECT_FIELD)))
-    return F.struct(user.alias("user"), item.alias("item"), rating.alias("rating"),
-                    reject.alias("reject"))
+    cuts = _rating_cuts(F.col(line), sep)
+    cut = df.select(*cols, *[c.alias(n) for c, n in zip(cuts, ("_f0", "_f1", "_f2", "_nf"))])
+    struct = _rating_struct(F.col(line), F.col("_f0"), F.col("_f1"), F.col("_f2"),
+                            F.col("_nf"), min_length)
+    return parse_once(cut, struct, *keep)
 
 
 def _quote(sep: str) -> str:
