@@ -193,11 +193,24 @@ def parse_ratings(df, line: str = "value", sep: str = "::", min_length: int | No
     """
     keep = list(keep)
     cols = list(dict.fromkeys(keep + [line]))
-    cuts = _rating_cuts(F.col(line), sep)
-    cut = df.select(*cols, *[c.alias(n) for c, n in zip(cuts, ("_f0", "_f1", "_f2", "_nf"))])
-    struct = _rating_struct(F.col(line), F.col("_f0"), F.col("_f1"), F.col("_f2"),
-                            F.col("_nf"), min_length)
-    return parse_once(cut, struct, *keep)
+    f0, f1, f2, nf = _rating_cuts(F.col(line), sep)
+    typed = df.select(*cols, nf.alias("_nf"),
+                      F.when(f0.rlike(_INT_TEXT), f0.try_cast("int")).alias("user"),
+                      F.when(f1.rlike(_INT_TEXT), f1.try_cast("int")).alias("item"),
+                      _try_double(f2).alias("rating"))
+    # the struct behind the barrier only references columns: nothing is evaluated twice
+    return parse_once(typed, _rating_reject_struct(F.col(line), min_length), *keep)
+
+
+def _rating_reject_struct(line: Column, min_length: int | None) -> Column:
+    user, item, rating = F.col("user"), F.col("item"), F.col("rating")
+    reject = F.when(line.isNull(), F.lit(REJECT_FORMAT))
+    if min_length is not None:
+        reject = reject.when(F.length(line) < min_length, F.lit(REJECT_FRAGMENT))
+    reject = (reject.when(F.col("_nf") < 3, F.lit(REJECT_ARITY))
+              .when(user.isNull() | item.isNull() | rating.isNull(), F.lit(REJECT_FIELD)))
+    return F.struct(user.alias("user"), item.alias("item"), rating.alias("rating"),
+                    reject.alias("reject"))
 
 
 def _quote(sep: str) -> str:
