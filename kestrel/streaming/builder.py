@@ -50,8 +50,13 @@ class StreamingSGDModel:
         return self
 
     def set_initial_weights(self, weights) -> "StreamingSGDModel":
+        """Reset the model: a new version history whose version -1 is ``weights``.
+
+        Written here, before any query starts, so the training query is the only
+        writer of the model table afterwards (prediction queries only read it)."""
         self.w0 = np.asarray(weights, dtype=float)
         self.store = ModelStore(self.spark, self.root, uuid.uuid4().hex)
+        self.trainer()._state()
         return self
 
     # ---- use -----------------------------------------------------------------
@@ -69,7 +74,6 @@ class StreamingSGDModel:
 
     def predict_on(self, stream: DataFrame, sink_path: str, checkpoint_location: str, **kw):
         self._require()
-        self.trainer()._state()   # make sure version -1 (the initial weights) exists
         return predict_on(stream, self.store, sink_path, checkpoint_location, **kw)
 
     def latest_model(self):

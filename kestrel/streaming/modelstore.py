@@ -5,7 +5,8 @@ n_seen, weights, open_n, open_sums)``.  ``open_*`` is the still-open count
 window as partial sums, so a window cut by a micro-batch boundary just
 carries on.  A commit is one small Spark write; a ``batch_id`` that is
 already stored is never written twice, which makes a replayed micro-batch
-idempotent.
+idempotent.  A table has one writer (the training query); scoring queries
+only read it.
 """
 
 from __future__ import annotations
