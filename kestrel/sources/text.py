@@ -11,6 +11,9 @@ from kestrel.functions.parse import (
     parse_once, parse_point_fields, parse_ratings, parse_tuple_point, trim_controls)
 
 
+MAX_BROADCAST_FILES = 100_000
+
+
 def _split_rejects(parsed: DataFrame, keep: list) -> tuple[DataFrame, DataFrame]:
     good = parsed.filter(F.col("reject").isNull()).select(*keep)
     bad = parsed.filter(F.col("reject").isNotNull())
@@ -35,7 +38,8 @@ def read_points_csv(spark: SparkSession, path: str, d: int,
     # number rows by (file rank, position)
     files = sorted(r["_file"] for r in raw.select("_file").distinct().collect())
     ranks = spark.createDataFrame(list(enumerate(files)), "_frank long, _file string")
-    good = good.join(F.broadcast(ranks), "_file")
+    # one row per input file: broadcast only while that is small, else let AQE choose
+    good = good.join(F.broadcast(ranks) if len(files) <= MAX_BROADCAST_FILES else ranks, "_file")
     good = with_ordinal(good, ["_frank", "_mid"], out="seq").select("seq", "y", "x")
     if with_rejects:
         return good, bad.select("value", "reject")
