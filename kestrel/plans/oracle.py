@@ -3,7 +3,8 @@
 The online trainers are recursive CTEs: one recursion step = one iteration, the
 step index ``s`` gives the window (``s div T``); the per-window sums of products
 are joined in (or, for the logistic rule, the window's rows are aggregated in the
-recursive member).
+recursive member).  Those inputs are MATERIALIZED CTEs so the recursion does not
+recompute them at every step.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ EMB = """train AS (
 
 def _windows(B: int) -> str:
     return f"""ord AS (SELECT seq, x, y, (row_number() OVER (ORDER BY seq) - 1) // {B} AS block FROM train),
-win AS (SELECT * FROM ord WHERE block < (SELECT count(*) // {B} FROM ord))"""
+win AS MATERIALIZED (SELECT * FROM ord WHERE block < (SELECT count(*) // {B} FROM ord))"""
 
 
 def _gram_narrow(dim: int, src: str, key: str, snap: bool = False) -> str:
@@ -57,7 +58,7 @@ gij AS (SELECT a.block, a.i, b.i AS j, round(sum(a.xv * b.xv), {SNAP}) AS v
         FROM e a JOIN e b ON a.block = b.block AND a.seq = b.seq GROUP BY a.block, a.i, b.i),
 grow AS (SELECT block, i, list(v ORDER BY j) AS r FROM gij GROUP BY block, i),
 gc AS (SELECT block, i, round(sum(xv * y), {SNAP}) AS cv, count(*) AS n FROM e GROUP BY block, i),
-g AS (SELECT grow.block, list(grow.r ORDER BY grow.i) AS gm, list(gc.cv ORDER BY grow.i) AS c,
+g AS MATERIALIZED (SELECT grow.block, list(grow.r ORDER BY grow.i) AS gm, list(gc.cv ORDER BY grow.i) AS c,
              any_value(gc.n)::DOUBLE AS n
       FROM grow JOIN gc ON grow.block = gc.block AND grow.i = gc.i GROUP BY grow.block)"""
 
@@ -94,7 +95,7 @@ def _v1_query(dim: int, penalty: str, reg: float, source: str = "events",
               latest: bool = False) -> str:
     T = P.ITERATIONS
     src = PTS if source == "events" else EMB
-    gram = (f"g AS ({_gram_narrow(dim, 'win', 'block', snap=True)})" if dim <= 15
+    gram = (f"g AS MATERIALIZED ({_gram_narrow(dim, 'win', 'block', snap=True)})" if dim <= 15
             else _gram_wide(dim))
     extra = f"AND s = (SELECT max(s) FROM it)" if latest else ""
     return f"""WITH RECURSIVE {src},
@@ -209,7 +210,7 @@ def _sgd_update(updater: str, reg: float) -> str:
 def _day_blocks(keys: str = "day") -> str:
     dim = P.POINTS_DIM
     return f"""gk AS ({_gram_narrow(dim, 'src', keys)}),
-g AS (SELECT (dense_rank() OVER (ORDER BY {keys}) - 1) AS block, {keys}, n, gm, c FROM gk)"""
+g AS MATERIALIZED (SELECT (dense_rank() OVER (ORDER BY {keys}) - 1) AS block, {keys}, n, gm, c FROM gk)"""
 
 
 def _v2_fold(updater: str, reg: float, sampled: bool = False) -> str:
@@ -252,11 +253,12 @@ def lasso_sgd_sql() -> str:
 def linear_sgd_sampled_sql() -> str:
     T, dim = P.SGD_ITERATIONS, P.POINTS_DIM
     return f"""WITH RECURSIVE {PTS},
-days AS (SELECT day, (dense_rank() OVER (ORDER BY day) - 1) AS block FROM (SELECT DISTINCT day FROM train)),
+days AS MATERIALIZED (SELECT day, (dense_rank() OVER (ORDER BY day) - 1) AS block
+                      FROM (SELECT DISTINCT day FROM train)),
 src AS (SELECT days.block, t.t, train.x, train.y
         FROM train JOIN days USING (day), generate_series(1, {T}) t(t)
         WHERE ((train.seq * {P.HASH_A} + t.t * {P.HASH_B}) % {P.HASH_M}) / {P.HASH_M} < {_f(P.SAMPLE_FRACTION)}),
-g AS ({_gram_narrow(dim, 'src', 'block, t')}),
+g AS MATERIALIZED ({_gram_narrow(dim, 'src', 'block, t')}),
 {_v2_fold("none", 0.0, sampled=True)}
 {_weights_out(T, dim)}"""
 
