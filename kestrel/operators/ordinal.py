@@ -22,16 +22,19 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.session import shuffle_partitions
 
 
-def _bucketed(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFrame:
+def _bucketed(df: DataFrame, cols: list[str], num_buckets: int | None,
+              bucket_key: Column | None = None) -> DataFrame:
     spark = df.sparkSession
     p = num_buckets or shuffle_partitions(spark)
+    if bucket_key is not None:
+        return _bucketize(df.withColumn("_okey", bucket_key.cast("double")), p)
     first_type = df.schema[cols[0]].dataType
     if not isinstance(first_type, T.NumericType | T.DateType | T.TimestampType
                       | T.TimestampNTZType):
@@ -41,7 +44,10 @@ def _bucketed(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFr
         key = F.unix_date(key)
     elif isinstance(first_type, T.TimestampType | T.TimestampNTZType):
         key = F.unix_micros(key.cast("timestamp"))
-    keyed = df.withColumn("_okey", key.cast("double"))
+    return _bucketize(df.withColumn("_okey", key.cast("double")), p)
+
+
+def _bucketize(keyed: DataFrame, p: int) -> DataFrame:
     splits: list[float] = []
     if p > 1:
         qs = keyed.approxQuantile("_okey", [i / p for i in range(1, p)], 1.0 / (4 * p))
@@ -54,13 +60,16 @@ def _bucketed(df: DataFrame, cols: list[str], num_buckets: int | None) -> DataFr
 
 def with_ordinal(df: DataFrame, order_cols, out: str = "ordinal", offset: int = 0,
                  dense: bool = False, num_buckets: int | None = None,
-                 total_col: str | None = None) -> DataFrame:
+                 total_col: str | None = None, bucket_key: Column | None = None) -> DataFrame:
     """Add the dense 0-based rank ``out`` (+ ``offset``) by ``order_cols``.
 
     The only driver action is ``approxQuantile`` (a few split points).  Bucket
     counts turn into prefix offsets inside the plan (a window over the counts
     table, at most one row per bucket) and are broadcast to the row side.
-    ``total_col`` optionally adds the number of rows as a column.
+    ``total_col`` optionally adds the number of rows as a column.  Buckets come
+    from the leading order column unless ``bucket_key`` gives a numeric key that
+    is non-decreasing in the full order (needed when the leading column has
+    heavy ties, e.g. one large file, so no bucket holds most rows).
     """
     cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     if dense:
@@ -69,7 +78,7 @@ def with_ordinal(df: DataFrame, order_cols, out: str = "ordinal", offset: int =
         framed = df.withColumn(out, F.col(cols[0]) - F.lit(0 if lo is None else lo)
                                + F.lit(offset))
         return framed.withColumn(total_col, F.lit(int(n))) if total_col else framed
-    bucketed = _bucketed(df, cols, num_buckets)
+    bucketed = _bucketed(df, cols, num_buckets, bucket_key)
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding,

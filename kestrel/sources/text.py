@@ -40,7 +40,11 @@ def read_points_csv(spark: SparkSession, path: str, d: int,
     ranks = spark.createDataFrame(list(enumerate(files)), "_frank long, _file string")
     # one row per input file: broadcast only while that is small, else let AQE choose
     good = good.join(F.broadcast(ranks) if len(files) <= MAX_BROADCAST_FILES else ranks, "_file")
-    good = with_ordinal(good, ["_frank", "_mid"], out="seq").select("seq", "y", "x")
+    # bucket on a key monotone in (file rank, position) so one big file still
+    # spreads over all buckets; ties in the double key are ordered by the columns
+    key = F.col("_frank").cast("double") * F.lit(float(2 ** 54)) + F.col("_mid").cast("double")
+    good = with_ordinal(good, ["_frank", "_mid"], out="seq", bucket_key=key) \
+        .select("seq", "y", "x")
     if with_rejects:
         return good, bad.select("value", "reject")
     return good

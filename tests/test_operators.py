@@ -82,3 +82,10 @@ def test_set_summary_and_line(spark):
     assert (r["n_ratings"], r["n_users"], r["n_items"]) == (3, 2, 1)
     assert summary_line(r) == "Initial set got 3 ratings from 2 users on 1 movies."
     assert set_summary(h, approx=True).first()["n_users"] == 2
+
+
+def test_bucket_key_spreads_ties_of_leading_column(spark):
+    df = spark.range(0, 500).select(F.lit(0).cast("long").alias("f"), F.col("id").alias("pos"))
+    key = F.col("f").cast("double") * F.lit(float(2 ** 54)) + F.col("pos").cast("double")
+    out = with_ordinal(df, ["f", "pos"], num_buckets=5, bucket_key=key)
+    assert {r["pos"]: r["ordinal"] for r in out.collect()} == {i: i for i in range(500)}
