@@ -11,7 +11,8 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, app: str = "kestrel",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None,
+                driver_memory: str | None = "8g") -> SparkSession:
     """Build (or reuse) the session with the settings the library relies on."""
     builder = SparkSession.builder.appName(app)
     if master:
@@ -26,6 +27,10 @@ def get_session(master: str | None = None, app: str = "kestrel",
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if (master or "").startswith("local") and driver_memory:
+        # local mode: the driver JVM is the whole cluster; Spark's 1g default
+        # heap makes GC dominate (only applies when this call starts the JVM)
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
