@@ -29,7 +29,7 @@ def read_points_csv(spark: SparkSession, path: str, d: int,
     """
     from kestrel.operators.ordinal import with_ordinal
     raw = (spark.read.text(path)
-           .select(F.col("value"), F.input_file_name().alias("_file"),
+           .select(F.col("value"), F.col("_metadata.file_path").alias("_file"),
                    F.monotonically_increasing_id().alias("_mid")))
     parsed = parse_once(raw, parse_point_fields(F.col("value"), d, mode="file"),
                         "value", "_file", "_mid")
@@ -69,7 +69,7 @@ def read_points_stream(spark: SparkSession, directory: str,
     the order inside a micro-batch.
     """
     raw = spark.readStream.format("text").load(directory)
-    return parse_once(raw.select(F.input_file_name().alias("file"), "value"),
+    return parse_once(raw.select(F.col("_metadata.file_path").alias("file"), "value"),
                       parse_tuple_point(F.col("value"), num_features), "file", "value")
 
 
