@@ -27,11 +27,6 @@ SGD_FRACTION = 1.0
 SGD_LASSO_REG = 0.1
 
 
-# fused multiply-add keeps each dot-product step to one rounding (the SQL oracle's
-# inner product does the same); without math.fma (Python < 3.13) fall back to a*b+c.
-_fma = getattr(math, "fma", lambda a, b, c: a * b + c)
-
-
 def snap(v: float, digits: int | None) -> float:
     """Round half away from zero to ``digits`` decimals (the SQL ``round`` rule)."""
     if digits is None:
@@ -72,41 +67,45 @@ class NormalizedGD:
 
     def apply(self, w, G, c, n):
         """Fold one window.  Sums are snapped to the ``snap_digits`` decimal grid
-        first and the arithmetic runs in a fixed order in plain floats: the fixed-
-        length normalised step amplifies last-bit noise, and distributed sums carry
-        such noise (their order depends on partitioning), so without this the
-        result would change with the cluster layout or the micro-batch cut."""
+        first and the arithmetic runs in a fixed order: the fixed-length normalised
+        step amplifies last-bit noise, and distributed sums carry such noise (their
+        order depends on partitioning), so without this the result would change
+        with the cluster layout or the micro-batch cut.
+
+        Every dot product is the plain left-to-right sum of rounded products (the
+        SQL oracle's ``list_sum`` of element products), computed for all rows at
+        once: ``acc += G[:, j] * w[j]`` for j in order.  Same roundings as a scalar
+        loop, but d vector operations per iteration instead of d^2 scalar ones.
+        """
         d = len(w)
-        Gs = [[snap(G[i][j], self.snap_digits) for j in range(d)] for i in range(d)]
-        cs = [snap(c[i], self.snap_digits) for i in range(d)]
+        snap_v = np.vectorize(lambda v: snap(v, self.snap_digits), otypes=[float])
+        Gs = snap_v(np.asarray(G, dtype=float).reshape(d, d))
+        cs = snap_v(np.asarray(c, dtype=float).reshape(d))
+        cols = [np.ascontiguousarray(Gs[:, j]) for j in range(d)]
         n = float(n)
-        w = [float(v) for v in w]
         eps, reg, step = self.epsilon, self.reg, self.step
+        w = np.array(w, dtype=float)
         for _ in range(self.iterations):
-            g = []
-            for i in range(d):
-                acc = 0.0
-                row = Gs[i]
-                for j in range(d):
-                    acc = _fma(row[j], w[j], acc)
-                if self.penalty == "l2":
-                    pen = w[i]
-                elif self.penalty == "huber":
-                    wi = w[i]
-                    pen = 1.0 if wi > eps else (-1.0 if wi < -eps else wi / eps)
-                elif self.penalty == "none":
-                    pen = 0.0
-                else:
-                    raise ValueError(f"unknown penalty {self.penalty!r}")
-                g.append((acc - cs[i]) / n + reg * pen)
+            acc = np.zeros(d)
+            for j in range(d):
+                acc = acc + cols[j] * w[j]
+            if self.penalty == "l2":
+                pen = w
+            elif self.penalty == "huber":
+                pen = np.where(w > eps, 1.0, np.where(w < -eps, -1.0, w / eps))
+            elif self.penalty == "none":
+                pen = np.zeros(d)
+            else:
+                raise ValueError(f"unknown penalty {self.penalty!r}")
+            g = (acc - cs) / n + reg * pen
             sq = 0.0
             for v in g:
-                sq += v * v
+                sq += float(v) * float(v)
             nrm = math.sqrt(sq)
             if nrm == 0.0:
                 break
-            w = [w[i] - (g[i] / nrm) * step for i in range(d)]
-        return np.array(w)
+            w = w - (g / nrm) * step
+        return w
 
     def with_params(self, **kw) -> "NormalizedGD":
         return replace(self, **kw)

@@ -80,8 +80,9 @@ def _v1_fold(dim: int, T: int, step: float, reg: float, penalty: str, eps: float
                      ELSE list_transform(w, lambda wi, i: wi - (gv[i] / nrm) * {_f(step)}) END
   FROM (SELECT s, w, gv, sqrt(list_sum(list_transform(gv, lambda v: v * v))) AS nrm
         FROM (SELECT it.s, it.w,
-                     list_transform(g.gm, lambda r, i: (list_inner_product(r, it.w) - g.c[i]) / g.n
-                                                    + {_f(reg)} * {pen}) AS gv
+                     list_transform(g.gm, lambda r, i:
+                         (list_sum(list_transform(r, lambda rv, j: rv * it.w[j])) - g.c[i]) / g.n
+                         + {_f(reg)} * {pen}) AS gv
               FROM it JOIN g ON g.block = it.s // {T}) a) b)"""
 
 
