@@ -27,6 +27,10 @@ SGD_FRACTION = 1.0
 SGD_LASSO_REG = 0.1
 
 
+# up to this many weights the fold runs in plain floats, above it vectorised over rows
+SCALAR_FOLD_MAX_DIM = 16
+
+
 def snap(v: float, digits: int | None) -> float:
     """Round half away from zero to ``digits`` decimals (the SQL ``round`` rule)."""
     if digits is None:
@@ -81,6 +85,8 @@ class NormalizedGD:
         snap_v = np.vectorize(lambda v: snap(v, self.snap_digits), otypes=[float])
         Gs = snap_v(np.asarray(G, dtype=float).reshape(d, d))
         cs = snap_v(np.asarray(c, dtype=float).reshape(d))
+        if d <= SCALAR_FOLD_MAX_DIM:
+            return self._apply_scalar(list(map(float, w)), Gs.tolist(), cs.tolist(), float(n))
         cols = [np.ascontiguousarray(Gs[:, j]) for j in range(d)]
         n = float(n)
         eps, reg, step = self.epsilon, self.reg, self.step
@@ -107,6 +113,37 @@ class NormalizedGD:
             w = w - (g / nrm) * step
         return w
 
+    def _apply_scalar(self, w, Gs, cs, n):
+        """Same operations in the same order as the vector path, in plain floats
+        (cheaper than NumPy calls for small d); results are identical."""
+        d = len(w)
+        eps, reg, step = self.epsilon, self.reg, self.step
+        for _ in range(self.iterations):
+            g = []
+            for i in range(d):
+                acc = 0.0
+                row = Gs[i]
+                for j in range(d):
+                    acc = acc + row[j] * w[j]
+                wi = w[i]
+                if self.penalty == "l2":
+                    pen = wi
+                elif self.penalty == "huber":
+                    pen = 1.0 if wi > eps else (-1.0 if wi < -eps else wi / eps)
+                elif self.penalty == "none":
+                    pen = 0.0
+                else:
+                    raise ValueError(f"unknown penalty {self.penalty!r}")
+                g.append((acc - cs[i]) / n + reg * pen)
+            sq = 0.0
+            for v in g:
+                sq += v * v
+            nrm = math.sqrt(sq)
+            if nrm == 0.0:
+                break
+            w = [w[i] - (g[i] / nrm) * step for i in range(d)]
+        return np.array(w)
+
     def with_params(self, **kw) -> "NormalizedGD":
         return replace(self, **kw)
 
