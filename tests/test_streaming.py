@@ -220,3 +220,20 @@ def test_points_line_stream_trains_count_windows(spark, scratch):
            store.versions().filter("version >= 0 AND n_rows > 0").orderBy("version").collect()]
     assert len(got) == len(want) == len(lines) // 50
     assert np.allclose(got, want, atol=1e-9)
+
+
+def test_rejects_go_to_the_reject_sink(spark, scratch):
+    from kestrel.sources.text import points_from_lines
+    src = f"{scratch}/lines"
+    os.makedirs(src)
+    with open(f"{src}/a.txt", "w") as fh:
+        fh.write("1,0.5,0.25\n0,0.1,0.2\n1,0.3,oops\n1,1,2,3,4\n0,0.7,0.1\n")
+    lines = read_lines_stream(spark, fmt="text", path=src)
+    store = ModelStore(spark, f"{scratch}/models", "rj")
+    glm = StreamingGLM(store, SGD(step=0.1, iterations=3), 3, w0=[0.0] * 3,
+                       rejects_path=f"{scratch}/rejects")
+    glm.train_on(points_from_lines(lines, 2), f"{scratch}/ck", available_now=True) \
+        .awaitTermination()
+    rejects = sorted(r["reject"] for r in spark.read.parquet(f"{scratch}/rejects").collect())
+    assert rejects == ["bad_feature", "too_many_fields"]
+    assert store.versions().filter("version >= 0").first()["n_rows"] == 3
