@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kestrel.llm import mixing, quality, tokens, urls
+from kestrel.llm import mixing, neardup, quality, tokens, urls
 
 QUERIES = {
+    "op1_neardup": (neardup.op1_neardup, None),
     "op2_tokens": (tokens.op2_tokens, None),
     "op4_urls": (urls.op4_urls, urls.OP4_SQL),
     "op8_quality": (quality.op8_quality, None),
