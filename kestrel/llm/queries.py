@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from kestrel.llm import mixing, neardup, quality, tokens, urls
+from kestrel.llm import (
+    decontaminate,
+    language,
+    mixing,
+    neardup,
+    quality,
+    tokens,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_neardup": (neardup.op1_neardup, None),
     "op2_tokens": (tokens.op2_tokens, None),
     "op4_urls": (urls.op4_urls, urls.OP4_SQL),
+    "op6_language": (language.op6_language, None),
+    "op7_decontaminate": (decontaminate.op7_decontaminate, None),
     "op8_quality": (quality.op8_quality, None),
+    "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_mix": (mixing.op10_mix, mixing.OP10_SQL),
 }
