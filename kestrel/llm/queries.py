@@ -5,6 +5,8 @@ from __future__ import annotations
 from kestrel.llm import (
     decontaminate,
     language,
+    licenses,
+    linededup,
     mixing,
     neardup,
     quality,
@@ -16,7 +18,9 @@ from kestrel.llm import (
 QUERIES = {
     "op1_neardup": (neardup.op1_neardup, None),
     "op2_tokens": (tokens.op2_tokens, None),
+    "op3_lines": (linededup.op3_lines, None),
     "op4_urls": (urls.op4_urls, urls.OP4_SQL),
+    "op5_licenses": (licenses.op5_licenses, None),
     "op6_language": (language.op6_language, None),
     "op7_decontaminate": (decontaminate.op7_decontaminate, None),
     "op8_quality": (quality.op8_quality, None),
