@@ -36,6 +36,8 @@ RUN = 64
 MAX_LANGUAGES = 256
 #: Keeps products of piece probabilities within the range of a double: about one piece's share a character.
 LIFT = 4.0
+#: Words in one forward pass.
+FORWARD_WORDS = 4096
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = "▁"
@@ -75,6 +77,15 @@ class Vocabulary:
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """(words x languages) log-probabilities, summed over all segmentations; ``p``: pieces x languages."""
+        out = np.zeros((len(words), p.shape[1]))
+        # words of about one length at a time: bounds memory and wastes few cells
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        for first in range(0, len(words), FORWARD_WORDS):
+            own = order[first:first + FORWARD_WORDS]
+            out[own] = self._forward([words[k] for k in own], p)
+        return out
+
+    def _forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         edges: list[tuple[int, int, int, int]] = []
         others: dict[str, int] = {}
         runs: list[int] = []  # the word that each run belongs to

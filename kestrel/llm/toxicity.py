@@ -53,10 +53,16 @@ def clean(texts: pa.Array) -> pa.Array:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic) counts over all rows of (toxic, text); grows with the learning texts."""
+    """(word, ordinary, toxic): the documents of each class that hold a word, over all rows of (toxic, text).
+
+    Documents are counted, not occurrences, so one that repeats a word tells no more about it than another.
+    The table grows with the learning texts.
+    """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, index, bounds = coded_words(clean(batch.column(1)))
-        toxic = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        doc, index = np.divmod(np.unique(doc * max(1, len(words)) + index), max(1, len(words)))
+        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
         n = [np.bincount(index[toxic == c], minlength=len(words)) for c in (False, True)]
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())],
                                           names=["word", "ordinary", "toxic"])
@@ -208,6 +214,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = held_out(HELD_OUT_MOD, HELD_OUT)
-    labelled = docs.where(~out).join(labels.where(~out), "doc_id")
+    # labels grow with the documents, so the join shuffles at every size
+    labelled = docs.where(~out).join(labels.where(~out).hint("merge"), "doc_id")
     return score(docs, labelled).select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
