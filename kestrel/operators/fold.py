@@ -13,10 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from kestrel.operators.gram import unpack
+from kestrel.operators.gram import settled, unpack
 from kestrel.operators.rules import SGD
 
 
+def window_sums(rule, s, p: int):
+    """(G, c, yy) of one window, settled where the rule asks for it."""
+    s = np.asarray(s, dtype=float)
+    digits = getattr(rule, "digits", None)
+    return settled(s, p, digits) if digits else unpack(s, p)
+
+
 def iter_sorted(df: DataFrame, keys) -> Iterator:
     keys = [keys] if isinstance(keys, str) else list(keys)
     return df.orderBy(*keys).toLocalIterator(prefetchPartitions=True)
@@ -31,7 +38,7 @@ def fold_grams(g: DataFrame, rule, w0, keys="block") -> Iterator[tuple]:
     w = np.array(w0, dtype=float)
     p = len(w) + 1
     for r in iter_sorted(g, keys):
-        G, c, _ = unpack(np.asarray(r["s"], dtype=float), p)
+        G, c, _ = window_sums(rule, r["s"], p)
         w = rule.apply(w, G, c, float(r["n"]))
         k = r[keys[0]] if len(keys) == 1 else tuple(r[x] for x in keys)
         yield k, int(r["n"]), w.copy()

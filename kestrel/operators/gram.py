@@ -8,9 +8,8 @@ of length ``p``, ``s`` holds ``sum z_i z_j`` for ``i <= j`` in row-major order
 
 Narrow vectors (p <= ``wide_threshold``) use native ``sum`` expressions: partial
 aggregation map-side, whole-stage codegen.  Wide vectors use ``mapInPandas``
-(``Z^T Z`` per block per Arrow batch with NumPy) and then a native long-form
-``groupBy(block, k).sum`` so partials from different tasks still combine in the
-shuffle.
+(``Z^T Z`` per block with NumPy, one packed array per block and task) and add up
+the packed arrays natively.
 """
 
 from __future__ import annotations
@@ -22,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Keys whose packed sums a task of the wide path holds before it sends them on.
+KEYS_PER_PARTIAL = 2000
+
+
 def packed_len(p: int) -> int:
     return p * (p + 1) // 2
 
@@ -35,6 +38,26 @@ def unpack(s, p: int):
     return m[:-1, :-1], m[:-1, -1], m[-1, -1]
 
 
+def settled(s, p: int, digits: int):
+    """Packed sums -> (G, c, yy) with every sum rounded to ``digits`` significant digits of its scale.
+
+    The scale of ``sum z_i z_j`` is ``sqrt(sum z_i^2 * sum z_j^2)``, its largest possible size, so
+    the rounding is the same whatever the units of the columns.  It removes the noise
+    that the order of a distributed sum leaves in the last bits, which the fixed-length
+    steps of the count-window rules would amplify; sums differ from the exact ones by
+    less than one part in 10^(digits - 1) of their scale.
+    """
+    m = np.zeros((p, p))
+    iu = np.triu_indices(p)
+    m[iu] = s
+    root = np.sqrt(np.diag(m))
+    scale = np.outer(root, root)[iu]
+    places = digits - 1 - np.floor(np.log10(np.where(scale > 0, scale, 1.0))).astype(int)
+    out = [round(float(v), int(k)) if z > 0 else 0.0
+           for v, k, z in zip(np.asarray(s, dtype=float), places, scale)]
+    return unpack(out, p)
+
+
 def _key_list(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -61,10 +84,12 @@ def _gram_wide(df: DataFrame, keys: list[str], dim: int, x: str, y: str) -> Data
     iu = np.triu_indices(p)
     key_fields = [f for f in df.schema.fields if f.name in keys]
     out_schema = T.StructType(key_fields + [
-        T.StructField("k", T.IntegerType(), False),
-        T.StructField("v", T.DoubleType(), False)])
+        T.StructField("n", T.LongType(), False),
+        T.StructField("s", T.ArrayType(T.DoubleType(), False), False)])
 
     def partial(batches):
+        """One packed array per key and task: windows are contiguous, so a task holds few."""
+        sums = {}
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -73,20 +98,25 @@ def _gram_wide(df: DataFrame, keys: list[str], dim: int, x: str, y: str) -> Data
                 zm = np.empty((len(grp), p))
                 zm[:, :dim] = np.stack(grp[x].to_numpy())
                 zm[:, dim] = grp[y].to_numpy(dtype=float)
-                s = (zm.T @ zm)[iu]
-                frame = {kname: [kv] * (len(s) + 1) for kname, kv in zip(keys, key_vals)}
-                # k = -1 carries the row count
-                frame["k"] = np.concatenate([[-1], np.arange(len(s))]).astype("int32")
-                frame["v"] = np.concatenate([[float(len(grp))], s])
-                yield pd.DataFrame(frame)
-
-    long = (df.select(*keys, x, y).mapInPandas(partial, out_schema)
-            .groupBy(*keys, "k").agg(F.sum("v").alias("v")))
-    return (long.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("kv"))
-            .select(*keys,
-                    F.col("kv")[0]["v"].cast("long").alias("n"),
-                    F.transform(F.slice("kv", 2, packed_len(p)), lambda e: e["v"]).alias("s")))
+                n, s = sums.get(key_vals, (0, 0.0))
+                sums[key_vals] = (n + len(grp), s + (zm.T @ zm)[iu])
+            if len(sums) >= KEYS_PER_PARTIAL:
+                yield rows(sums)
+                sums = {}
+        if sums:
+            yield rows(sums)
+
+    def rows(sums):
+        frame = {k: [key[i] for key in sums] for i, k in enumerate(keys)}
+        return pd.DataFrame({**frame, "n": [v[0] for v in sums.values()],
+                             "s": [v[1] for v in sums.values()]})
+
+    zero = F.array_repeat(F.lit(0.0), packed_len(p))
+    parts = df.select(*keys, x, y).mapInPandas(partial, out_schema)
+    # a key has one partial for each task that holds some of its rows
+    return (parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("s").alias("parts"))
+            .select(*keys, "n", F.aggregate(
+                "parts", zero, lambda a, b: F.zip_with(a, b, lambda u, v: u + v)).alias("s")))
 
 
 def gram_long(g: DataFrame, keys, dim: int) -> DataFrame:

@@ -9,8 +9,7 @@ takes any rule (the extension point of the reference's model/algorithm pair).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
-from decimal import ROUND_HALF_UP, Decimal
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -27,22 +26,6 @@ SGD_FRACTION = 1.0
 SGD_LASSO_REG = 0.1
 
 
-# up to this many weights the fold runs in plain floats, above it vectorised over rows
-SCALAR_FOLD_MAX_DIM = 16
-
-
-def snap(v: float, digits: int | None) -> float:
-    """Round half away from zero to ``digits`` decimals (the SQL ``round`` rule)."""
-    if digits is None:
-        return float(v)
-    q = Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
-    return float(q)
-
-
-def huber_sign(w: np.ndarray, epsilon: float) -> np.ndarray:
-    return np.where(w > epsilon, 1.0, np.where(w < -epsilon, -1.0, w / epsilon))
-
-
 @dataclass(frozen=True)
 class NormalizedGD:
     """Count-window rule (M1 ridge, M2 lasso): T steps of fixed length along the
@@ -58,35 +41,19 @@ class NormalizedGD:
     reg: float = RIDGE_REG
     penalty: str = "l2"
     epsilon: float = LASSO_EPSILON
-    snap_digits: int | None = 9
-
-    def penalty_grad(self, w: np.ndarray) -> np.ndarray:
-        if self.penalty == "l2":
-            return w
-        if self.penalty == "huber":
-            return huber_sign(w, self.epsilon)
-        if self.penalty == "none":
-            return np.zeros_like(w)
-        raise ValueError(f"unknown penalty {self.penalty!r}")
+    #: significant digits of the sums it is given (see ``gram.settled``)
+    digits: int = 13
 
     def apply(self, w, G, c, n):
-        """Fold one window.  Sums are snapped to the ``snap_digits`` decimal grid
-        first and the arithmetic runs in a fixed order: the fixed-length normalised
-        step amplifies last-bit noise, and distributed sums carry such noise (their
-        order depends on partitioning), so without this the result would change
-        with the cluster layout or the micro-batch cut.
-
-        Every dot product is the plain left-to-right sum of rounded products (the
-        SQL oracle's ``list_sum`` of element products), computed for all rows at
-        once: ``acc += G[:, j] * w[j]`` for j in order.  Same roundings as a scalar
-        loop, but d vector operations per iteration instead of d^2 scalar ones.
+        """Fold one window of sums of products, as ``gram.settled`` gives them.
+
+        Every dot product is the plain left-to-right sum of rounded products, computed for
+        all rows at once (``acc += G[:, j] * w[j]`` for j in order), so the roundings do
+        not depend on the vector length or the machine's libraries.
         """
         d = len(w)
-        snap_v = np.vectorize(lambda v: snap(v, self.snap_digits), otypes=[float])
-        Gs = snap_v(np.asarray(G, dtype=float).reshape(d, d))
-        cs = snap_v(np.asarray(c, dtype=float).reshape(d))
-        if d <= SCALAR_FOLD_MAX_DIM:
-            return self._apply_scalar(list(map(float, w)), Gs.tolist(), cs.tolist(), float(n))
+        Gs = np.asarray(G, dtype=float).reshape(d, d)
+        cs = np.asarray(c, dtype=float).reshape(d)
         cols = [np.ascontiguousarray(Gs[:, j]) for j in range(d)]
         n = float(n)
         eps, reg, step = self.epsilon, self.reg, self.step
@@ -104,49 +71,20 @@ class NormalizedGD:
             else:
                 raise ValueError(f"unknown penalty {self.penalty!r}")
             g = (acc - cs) / n + reg * pen
+            # scaled by its largest entry, so that tiny gradients do not underflow in the squares
+            top = float(np.abs(g).max())
+            if top == 0.0:
+                break
             sq = 0.0
             for v in g:
                 sq += float(v) * float(v)
             nrm = math.sqrt(sq)
             if nrm == 0.0:
-                break
+                g = g / top
+                nrm = math.sqrt(float(sum(float(v) * float(v) for v in g)))
             w = w - (g / nrm) * step
         return w
 
-    def _apply_scalar(self, w, Gs, cs, n):
-        """Same operations in the same order as the vector path, in plain floats
-        (cheaper than NumPy calls for small d); results are identical."""
-        d = len(w)
-        eps, reg, step = self.epsilon, self.reg, self.step
-        for _ in range(self.iterations):
-            g = []
-            for i in range(d):
-                acc = 0.0
-                row = Gs[i]
-                for j in range(d):
-                    acc = acc + row[j] * w[j]
-                wi = w[i]
-                if self.penalty == "l2":
-                    pen = wi
-                elif self.penalty == "huber":
-                    pen = 1.0 if wi > eps else (-1.0 if wi < -eps else wi / eps)
-                elif self.penalty == "none":
-                    pen = 0.0
-                else:
-                    raise ValueError(f"unknown penalty {self.penalty!r}")
-                g.append((acc - cs[i]) / n + reg * pen)
-            sq = 0.0
-            for v in g:
-                sq += v * v
-            nrm = math.sqrt(sq)
-            if nrm == 0.0:
-                break
-            w = [w[i] - (g[i] / nrm) * step for i in range(d)]
-        return np.array(w)
-
-    def with_params(self, **kw) -> "NormalizedGD":
-        return replace(self, **kw)
-
 
 @dataclass(frozen=True)
 class SGD:
@@ -186,9 +124,6 @@ class SGD:
             w = self.apply_iter(w, t, G, c, n)
         return w
 
-    def with_params(self, **kw) -> "SGD":
-        return replace(self, **kw)
-
 
 def ridge_rule(**kw) -> NormalizedGD:
     return NormalizedGD(**{"reg": RIDGE_REG, "penalty": "l2", **kw})
@@ -198,18 +133,6 @@ def lasso_rule(**kw) -> NormalizedGD:
     return NormalizedGD(**{"reg": LASSO_REG, "penalty": "huber", "epsilon": LASSO_EPSILON, **kw})
 
 
-def linear_sgd_rule(**kw) -> SGD:
-    return SGD(**{"updater": "none", **kw})
-
-
-def lasso_sgd_rule(**kw) -> SGD:
-    return SGD(**{"updater": "l1", "reg": SGD_LASSO_REG, **kw})
-
-
-def ridge_sgd_rule(**kw) -> SGD:
-    return SGD(**{"updater": "l2", **kw})
-
-
 @dataclass(frozen=True)
 class LogisticGD:
     """Count-window logistic rule (M3): as :class:`NormalizedGD` but with the

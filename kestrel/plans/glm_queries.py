@@ -52,6 +52,14 @@ def online_ridge_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights_long(_trained(store))
 
 
+def online_ridge_small_scale_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and bias times 1e-11, no penalty: nothing in the fold may depend on their units."""
+    pts = _train_points(spark, sf_dir).withColumn(
+        "x", F.transform("x", lambda v: v * F.lit(10.0 ** P.SMALL_SCALE)))
+    rule = NormalizedGD(step=P.STEP, iterations=P.ITERATIONS, reg=0.0, penalty="l2")
+    return weights_long(_trained(train_count_windows(pts, rule, P.POINTS_DIM, P.WINDOW)))
+
+
 def online_lasso_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = train_count_windows(_train_points(spark, sf_dir), _lasso(), P.POINTS_DIM, P.WINDOW)
     return weights_long(_trained(store))

@@ -12,10 +12,6 @@ from __future__ import annotations
 from kestrel.plans import params as P
 
 
-# the V1 fold snaps window sums to this many decimals (see rules.snap)
-SNAP = 9
-
-
 def _f(v: float) -> str:
     return f"{float(v)!r}::DOUBLE"
 
@@ -23,7 +19,7 @@ def _f(v: float) -> str:
 # ---- shared CTE pieces --------------------------------------------------------
 
 PTS = """pts AS (
-  SELECT event_id AS seq, ts,
+  SELECT event_id AS seq, ts, user_id, value,
          date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day,
          [(user_id % 10) / 10, value / 100, 1.0::DOUBLE] AS x,
          (CASE WHEN event_type = 'purchase' THEN 1.0 ELSE -1.0 END)::DOUBLE AS y,
@@ -39,25 +35,37 @@ EMB = """train AS (
 
 
 def _windows(B: int) -> str:
-    return f"""ord AS (SELECT seq, x, y, (row_number() OVER (ORDER BY seq) - 1) // {B} AS block FROM train),
+    return f"""ord AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // {B} AS block FROM train),
 win AS MATERIALIZED (SELECT * FROM ord WHERE block < (SELECT count(*) // {B} FROM ord))"""
 
 
-def _gram_narrow(dim: int, src: str, key: str, snap: bool = False) -> str:
-    def agg(e):
-        return f"round(sum({e}), {SNAP})" if snap else f"sum({e})"
-    rows = ", ".join("[" + ", ".join(agg(f"x[{i}] * x[{j}]") for j in range(1, dim + 1)) + "]"
+def _gram_narrow(dim: int, src: str, key: str) -> str:
+    rows = ", ".join("[" + ", ".join(f"sum(x[{i}] * x[{j}])" for j in range(1, dim + 1)) + "]"
                      for i in range(1, dim + 1))
-    c = ", ".join(agg(f"x[{i}] * y") for i in range(1, dim + 1))
+    c = ", ".join(f"sum(x[{i}] * y)" for i in range(1, dim + 1))
     return f"""SELECT {key}, count(*)::DOUBLE AS n, [{rows}] AS gm, [{c}] AS c FROM {src} GROUP BY {key}"""
 
 
+def _gram_exact(scale: int = 0) -> str:
+    """Sums of products of the events points in exact decimals (tenths, cents and ones), each
+    read back as the nearest double; ``scale``: features times 10^scale."""
+    cols = [("a", -1), ("b", -2), ("o", 0)]
+
+    def total(expr: str, power: int) -> str:
+        return f"(sum({expr})::VARCHAR || 'e{power}')::DOUBLE"
+    rows = ", ".join("[" + ", ".join(total(f"{u} * {v}", p + q + 2 * scale) for v, q in cols) + "]" for u, p in cols)
+    c = ", ".join(total(f"{u} * yd", p + scale) for u, p in cols)
+    return f"""wd AS (SELECT block, (user_id % 10)::DECIMAL(18, 0) AS a, value::DECIMAL(18, 6) AS b,
+              1::DECIMAL(18, 0) AS o, y::DECIMAL(18, 0) AS yd FROM win),
+g AS MATERIALIZED (SELECT block, count(*)::DOUBLE AS n, [{rows}] AS gm, [{c}] AS c FROM wd GROUP BY block)"""
+
+
 def _gram_wide(dim: int) -> str:
     return f"""e AS (SELECT block, seq, y, unnest(x) AS xv, unnest(generate_series(1, {dim})) AS i FROM win),
-gij AS (SELECT a.block, a.i, b.i AS j, round(sum(a.xv * b.xv), {SNAP}) AS v
+gij AS (SELECT a.block, a.i, b.i AS j, sum(a.xv * b.xv) AS v
         FROM e a JOIN e b ON a.block = b.block AND a.seq = b.seq GROUP BY a.block, a.i, b.i),
 grow AS (SELECT block, i, list(v ORDER BY j) AS r FROM gij GROUP BY block, i),
-gc AS (SELECT block, i, round(sum(xv * y), {SNAP}) AS cv, count(*) AS n FROM e GROUP BY block, i),
+gc AS (SELECT block, i, sum(xv * y) AS cv, count(*) AS n FROM e GROUP BY block, i),
 g AS MATERIALIZED (SELECT grow.block, list(grow.r ORDER BY grow.i) AS gm, list(gc.cv ORDER BY grow.i) AS c,
              any_value(gc.n)::DOUBLE AS n
       FROM grow JOIN gc ON grow.block = gc.block AND grow.i = gc.i GROUP BY grow.block)"""
@@ -93,12 +101,11 @@ FROM {src} WHERE s % {T} = 0 AND s > 0 {extra}"""
 
 
 def _v1_query(dim: int, penalty: str, reg: float, source: str = "events",
-              latest: bool = False) -> str:
+              latest: bool = False, scale: int = 0) -> str:
     T = P.ITERATIONS
     src = PTS if source == "events" else EMB
-    gram = (f"g AS MATERIALIZED ({_gram_narrow(dim, 'win', 'block', snap=True)})" if dim <= 15
-            else _gram_wide(dim))
-    extra = f"AND s = (SELECT max(s) FROM it)" if latest else ""
+    gram = _gram_exact(scale) if source == "events" else _gram_wide(dim)
+    extra = "AND s = (SELECT max(s) FROM it)" if latest else ""
     return f"""WITH RECURSIVE {src},
 {_windows(P.WINDOW)},
 {gram},
@@ -138,6 +145,10 @@ def online_ridge_sql() -> str:
     return _v1_query(P.POINTS_DIM, "l2", P.RIDGE_REG)
 
 
+def online_ridge_small_scale_sql() -> str:
+    return _v1_query(P.POINTS_DIM, "l2", 0.0, scale=P.SMALL_SCALE)
+
+
 def online_lasso_sql() -> str:
     return _v1_query(P.POINTS_DIM, "huber", P.LASSO_REG)
 

@@ -9,6 +9,9 @@ LASSO_REG = 0.1        # effective lasso lambda
 LASSO_EPS = 0.01       # Huber epsilon
 LOGISTIC_REG = 0.1     # L2 term of the logistic rule
 
+# power of ten that the small-scale query multiplies its features by
+SMALL_SCALE = -11
+
 # Streaming SGD defaults (step, iterations), explicit lambdas.
 SGD_STEP = 0.1
 SGD_ITERATIONS = 50

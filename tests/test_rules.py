@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from kestrel.operators.rules import SGD, LogisticGD, NormalizedGD, snap
+from kestrel.operators.gram import settled
+from kestrel.operators.rules import SGD, LogisticGD, NormalizedGD
 
 G = np.array([[18.0]])   # points (y=2, x=3), (y=4, x=3)
 C = np.array([18.0])
@@ -52,10 +53,24 @@ def test_gram_fold_equals_row_fold():
     assert np.allclose(w_gram, w, atol=1e-9)
 
 
-def test_snap_rounds_half_away_from_zero():
-    assert snap(0.1234567895, 9) == 0.12345679
-    assert snap(-2.5, 0) == -3.0
-    assert snap(1.0 / 3.0, None) == 1.0 / 3.0
+@pytest.mark.parametrize("unit", [1e-11, 1.0, 1e8])
+def test_fold_does_not_depend_on_units(unit):
+    rng = np.random.default_rng(2)
+    X = np.c_[rng.normal(size=(50, 2)), np.ones(50)]
+    y = np.where(rng.random(50) < 0.5, 1.0, -1.0)
+    Z = np.c_[X * unit, y]
+    iu = np.triu_indices(4)
+    forward, backward = (sum(np.outer(z, z)[iu] for z in rows) for rows in (Z, Z[::-1]))
+    G, c, _ = settled(forward, 4, 13)
+    G2, c2, _ = settled(backward, 4, 13)
+    assert (G == G2).all() and (c == c2).all()     # the order of a sum leaves no trace
+    assert np.allclose(G, (X * unit).T @ (X * unit), rtol=1e-10, atol=1e-12 * unit * unit)
+    rule = NormalizedGD(step=0.05, iterations=5, reg=0.0)
+    w = rule.apply(np.zeros(3), G, c, 50.0)
+    assert np.abs(w).max() > 0.01
+    first = NormalizedGD(step=0.05, iterations=1, reg=0.0).apply(np.zeros(3), G, c, 50.0)
+    unscaled = NormalizedGD(step=0.05, iterations=1, reg=0.0).apply(np.zeros(3), X.T @ X, X.T @ y, 50.0)
+    assert np.allclose(first, unscaled, atol=1e-9)
 
 
 def test_logistic_rule_decreases_loss():
