@@ -1,13 +1,10 @@
 """Vector arithmetic on ARRAY<DOUBLE> columns with higher-order functions.
 
-Everything stays inside Catalyst expressions, so scoring is codegen'd and needs
-no Python worker.
+Everything stays inside Catalyst expressions, so scoring needs no Python worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,20 +19,6 @@ def dot(x, w) -> Column:
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
-def dot_lit(x, weights: Sequence[float]) -> Column:
-    """Inner product with a weight vector carried as literals in the plan.
-
-    The vector is small (model size), so it travels with the task closure the
-    way a broadcast would, without a join.
-    """
-    x = _col(x)
-    terms = [x.getItem(i) * F.lit(float(v)) for i, v in enumerate(weights)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
-
-
 def decision(score) -> Column:
     """Class decision (B10): +1 when the score is strictly positive, else -1."""
     return F.when(_col(score) > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -46,8 +29,3 @@ def huber_sign(w, epsilon: float) -> Column:
     return F.transform(_col(w), lambda v: F.when(v > epsilon, F.lit(1.0))
                        .when(v < -epsilon, F.lit(-1.0))
                        .otherwise(v / F.lit(float(epsilon))))
-
-
-def l2_norm(v) -> Column:
-    """Euclidean norm of an array column."""
-    return F.sqrt(F.aggregate(_col(v), F.lit(0.0), lambda acc, a: acc + a * a))

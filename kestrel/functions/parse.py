@@ -40,11 +40,6 @@ def parse_once(df, parser: Column, *keep) -> "DataFrame":
     return df.select(*keep, F.explode(F.array(parser)).alias("_p")).select(*keep, "_p.*")
 
 
-def split_lines(value) -> Column:
-    """B1: packed text -> one row per line (use with ``select``/``explode``)."""
-    return F.explode(F.split(_col(value), "\n"))
-
-
 # Every character <= U+0020 (what Java's String.trim removes).
 _CONTROL_CHARS = "".join(chr(c) for c in range(0x21))
 

@@ -44,22 +44,36 @@ def fold_grams(g: DataFrame, rule, w0, keys="block") -> Iterator[tuple]:
         yield k, int(r["n"]), w.copy()
 
 
-def fold_sampled_grams(g: DataFrame, rule: SGD, w0, key: str = "block",
-                       n_by_key: dict | None = None) -> Iterator[tuple]:
-    """As :func:`fold_grams` for per-iteration mini-batch Grams (columns key, t, n, s).
+def fold_sampled_grams(g: DataFrame, rule: SGD, w0, keys="block", every=None) -> Iterator[tuple]:
+    """As :func:`fold_grams` for per-iteration mini-batch Grams (columns keys, t, n, s).
 
     Iterations whose sample is empty have no row and leave the weights as they are.
+    ``every`` lists all keys in order (default: those with a row), so a key none of whose iterations
+    drew a row still gives its (unchanged) version.  Yields ``(key, 0, weights)``; the
+    callers know how many rows a key has.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     w = np.array(w0, dtype=float)
     p = len(w) + 1
-    current, n_rows = None, 0
-    for r in iter_sorted(g, [key, "t"]):
-        if r[key] != current:
+    waiting = list(every) if every is not None else None
+    current = None
+
+    def skipped(upto):
+        while waiting and waiting[0] != upto:
+            yield waiting.pop(0), 0, w.copy()
+        if waiting:
+            waiting.pop(0)
+    for r in iter_sorted(g, [*keys, "t"]):
+        key = r[keys[0]] if len(keys) == 1 else tuple(r[x] for x in keys)
+        if key != current:
             if current is not None:
-                yield current, n_rows, w.copy()
-            current, n_rows = r[key], 0
+                yield current, 0, w.copy()
+            if waiting is not None:
+                yield from skipped(key)
+            current = key
         G, c, _ = unpack(np.asarray(r["s"], dtype=float), p)
         w = rule.apply_iter(w, int(r["t"]), G, c, float(r["n"]))
-        n_rows = max(n_rows, int(r["n"]))
     if current is not None:
-        yield current, n_rows, w.copy()
+        yield current, 0, w.copy()
+    if waiting:
+        yield from skipped(None)

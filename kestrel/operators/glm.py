@@ -46,14 +46,8 @@ def train_count_windows(points: DataFrame, rule, dim: int, window: int,
     store = _store(spark, store, model_id)
     w0 = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
     g = window_grams(points, dim, window, order_col, dense)
-    mid = store.model_id
-
-    def rows():
-        yield (mid, -1, None, None, 0, 0, w0, None, None)
-        for block, n, w in fold_grams(g, rule, w0, "block"):
-            yield (mid, int(block), None, int(block), n, (int(block) + 1) * window, w, None, None)
-
-    store.append(rows())
+    store.write_training(w0, ((int(block), [block], n, (int(block) + 1) * window, w)
+                              for block, n, w in fold_grams(g, rule, w0, "block")))
     return store
 
 
@@ -72,25 +66,24 @@ def train_batches(points: DataFrame, rule, dim: int, batch_keys="day", w0=None,
         raise ValueError("initial weights must be set before training")
     w0 = np.asarray(w0, dtype=float)
     keys = [batch_keys] if isinstance(batch_keys, str) else list(batch_keys)
-    mid = store.model_id
     if isinstance(rule, SGD) and rule.fraction < 1.0:
-        if len(keys) != 1:
-            raise ValueError("mini-batch sampling takes one batch key")
         g = sampled_gram(points, keys, dim, rule.iterations, rule.fraction, sample_col, seed,
                          hash_fn=hash_fn)
-        folded = fold_sampled_grams(g, rule, w0, keys[0])
+        counts = {tuple(r[k] for k in keys): r["n"] for r in
+                  points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+        every = [k if len(keys) > 1 else k[0] for k in sorted(counts)]
+        folded = ((key, counts[key if len(keys) > 1 else (key,)], w)
+                  for key, _, w in fold_sampled_grams(g, rule, w0, keys, every))
     else:
         folded = fold_grams(gram(points, keys, dim), rule, w0, keys)
 
     def rows():
-        yield (mid, -1, None, None, 0, 0, w0, None, None)
         seen = 0
         for version, (key, n, w) in enumerate(folded):
             seen += n
-            block = key if not isinstance(key, tuple) else key[0]
-            yield (mid, version, version, int(block), n, seen, w, None, None)
+            yield version, key if isinstance(key, tuple) else (key,), n, seen, w
 
-    store.append(rows())
+    store.write_training(w0, rows())
     return store
 
 

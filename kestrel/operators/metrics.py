@@ -30,55 +30,58 @@ def summary_line(row, name: str = "Initial") -> str:
                                  n_items=row["n_items"])
 
 
-def error_trace(holdout: DataFrame, versions, x: str = "x", y: str = "y",
-                max_weights: int = 4_000_000, digits: int = 6) -> DataFrame:
+def error_trace(holdout: DataFrame, versions: DataFrame, x: str = "x", y: str = "y",
+                max_weights: int = 1_000_000, max_cells: int = 2_000_000, digits: int = 6) -> DataFrame:
     """Misclassification rate of each model version on a fixed hold-out.
 
-    ``versions`` is a list of ``(version, weights)``.  No versions x rows pairs are
-    materialised: the weight matrix of a chunk of versions is broadcast (at most
-    ``max_weights`` numbers per chunk, so the broadcast has a fixed bound), every
-    hold-out partition scores all of them at once with one matrix product per
-    Arrow batch, and emits one partial error count per version; a native
-    ``groupBy(version).sum`` combines the partials.  Work is inherently
-    versions x hold-out rows; data passes once per chunk.
+    ``versions`` is a table (version, weights) of any length.  Its versions are taken in ranges
+    of at most ``max_weights`` numbers; a range's weight matrix is what the driver holds and
+    broadcasts at one time.  Each hold-out partition scores a range with matrix
+    products of at most ``max_cells`` cells (rows x versions) and sends one partial error count per
+    version, which Spark adds up.  The work is versions x hold-out rows by its nature;
+    the hold-out is read once and kept, and results of a range are stored before the next.
     """
     import numpy as np
     import pandas as pd
 
+    from kestrel.session import scratch_path
+
     spark = holdout.sparkSession
-    if not versions:
-        return spark.createDataFrame([], "version long, n_test long, n_err long, error_rate double")
-    dim = len(versions[0][1])
-    per_chunk = max(1, max_weights // max(dim, 1))
-    hold = holdout.select(x, y)
-    parts = []
-    for start in range(0, len(versions), per_chunk):
-        chunk = versions[start:start + per_chunk]
-        ids = np.array([int(v) for v, _ in chunk], dtype=np.int64)
-        bw = spark.sparkContext.broadcast(np.array([list(w) for _, w in chunk], dtype=float))
-
-        def score(batches, bw=bw, ids=ids):
-            W = bw.value
-            miss = np.zeros(len(ids), dtype=np.int64)
-            n = 0
+    schema = "version long, n_test long, n_err long, error_rate double"
+    low, high, dim = versions.agg(F.min("version"), F.max("version"), F.max(F.size("weights"))).first()
+    if low is None:
+        return spark.createDataFrame([], schema)
+    per_range = max(1, max_weights // max(dim, 1))
+    hold = holdout.select(x, y).persist()
+    out = scratch_path(spark, "error-trace")
+    for first in range(low, high + 1, per_range):
+        own = (versions.filter((F.col("version") >= first) & (F.col("version") < first + per_range))
+               .select("version", "weights").orderBy("version").toPandas())
+        if own.empty:
+            continue
+        shared = spark.sparkContext.broadcast((own["version"].to_numpy(), np.stack(own["weights"].to_numpy())))
+
+        def score(batches, shared=shared):
+            ids, weights = shared.value
+            miss, n = np.zeros(len(ids), dtype=np.int64), 0
             for pdf in batches:
                 if pdf.empty:
                     continue
-                X = np.stack(pdf[x].to_numpy())
-                yy = pdf[y].to_numpy(dtype=float)
-                pred = np.where(X @ W.T > 0, 1.0, -1.0)
-                miss += (pred != yy[:, None]).sum(axis=0)
+                rows, truth = np.stack(pdf[x].to_numpy()), pdf[y].to_numpy(dtype=float)
+                tile = max(1, max_cells // len(rows))
+                for k in range(0, len(ids), tile):
+                    pred = np.where(rows @ weights[k:k + tile].T > 0, 1.0, -1.0)
+                    miss[k:k + tile] += (pred != truth[:, None]).sum(axis=0)
                 n += len(pdf)
             yield pd.DataFrame({"version": ids, "n_err": miss, "n_test": np.full(len(ids), n)})
 
-        parts.append(hold.mapInPandas(score, "version long, n_err long, n_test long"))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    agg = allp.groupBy("version").agg(F.sum("n_test").alias("n_test"),
-                                      F.sum("n_err").alias("n_err"))
-    return agg.select("version", "n_test", "n_err",
-                      F.round(F.col("n_err") / F.col("n_test"), digits).alias("error_rate"))
+        (hold.mapInPandas(score, "version long, n_err long, n_test long").groupBy("version")
+         .agg(F.sum("n_test").alias("n_test"), F.sum("n_err").alias("n_err"))
+         .select("version", "n_test", "n_err", F.round(F.col("n_err") / F.col("n_test"), digits).alias("error_rate"))
+         .write.mode("append").parquet(out))
+        shared.unpersist()
+    hold.unpersist()
+    return spark.read.schema(schema).parquet(out)
 
 
 def running_total(per_interval: DataFrame, interval: str, count_col: str,

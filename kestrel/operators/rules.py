@@ -145,14 +145,18 @@ class LogisticGD:
     iterations: int = V1_ITERATIONS
     reg: float = 0.1
 
+    def step_along(self, w, mean_gradient: np.ndarray) -> tuple[np.ndarray, bool]:
+        """One step from the mean data gradient; False when the gradient is zero."""
+        g = mean_gradient + self.reg * w
+        nrm = math.sqrt(float(g @ g))
+        return (w, False) if nrm == 0.0 else (w - (g / nrm) * self.step, True)
+
     def apply_rows(self, w, X: np.ndarray, y: np.ndarray):
         w = np.array(w, dtype=float)
         n = float(len(y))
         for _ in range(self.iterations):
             scale = (1.0 / (1.0 + np.exp(-y * (X @ w))) - 1.0) * y
-            g = (X.T @ scale) / n + self.reg * w
-            nrm = math.sqrt(float(g @ g))
-            if nrm == 0.0:
+            w, moved = self.step_along(w, (X.T @ scale) / n)
+            if not moved:
                 break
-            w = w - (g / nrm) * self.step
         return w

@@ -1,42 +1,46 @@
 """Scoring with model versions.
 
-Rows meet their model version through an equi-join on the batch key, so every
-row is scored with the model current *at its batch*: the version trained on
-that batch (train then predict) or the one before it (predict then train,
-prequential).  The versions table has one row per update; it is broadcast only
-when its size is known to be small.
+Every row is scored with the model current at its batch: after the last update of
+that batch (train then predict), or before its first (predict then train,
+prequential).  A batch may have several updates (one per source) or none; then the
+last update before it counts.  Rows meet their version through an equi-join on the
+batch key, after the versions were matched to the distinct keys, so every row
+comes out once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.linalg import decision, dot
 
-BROADCAST_MAX_VERSIONS = 100_000
+ORDERS = ("train_then_predict", "predict_then_train")
 
 
-def versions_by_key(versions: DataFrame, order: str = "train_then_predict") -> DataFrame:
-    """(key, weights) per batch key, for the chosen train/predict order."""
-    cur = versions.filter(F.col("version") >= 0).select("version", F.col("block").alias("key"))
-    if order == "train_then_predict":
-        src = versions.select(F.col("version").alias("_v"), "weights")
-        return cur.join(src, cur.version == src._v).select("key", "weights")
-    if order == "predict_then_train":
-        src = versions.select((F.col("version") + 1).alias("_v"), "weights")
-        return cur.join(src, cur.version == src._v).select("key", "weights")
-    raise ValueError(f"unknown order {order!r}")
+def versions_by_key(versions: DataFrame, keys: DataFrame, order: str = "train_then_predict") -> DataFrame:
+    """(key, weights) for every distinct ``key`` of ``keys``; the first part of a version's
+    ``batch_key`` is the key it was trained on."""
+    if order not in ORDERS:
+        raise ValueError(f"unknown order {order!r}")
+    trained = (versions.filter(F.col("version") >= 0).groupBy(F.col("batch_key")[0].alias("key"))
+               .agg(F.max("version").alias("last")))
+    # one row per batch key: the window has no partition key but sees no data rows
+    upto = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    span = upto if order == "train_then_predict" else before
+    current = (keys.select("key").distinct().join(trained, "key", "full")
+               .withColumn("_v", F.coalesce(F.max("last").over(span), F.lit(-1))))
+    return current.join(versions.select(F.col("version").alias("_v"), "weights"), "_v").select("key", "weights")
 
 
 def predict_with_versions(points: DataFrame, versions: DataFrame, key: str,
-                          order: str = "train_then_predict", n_versions: int | None = None,
-                          x: str = "x") -> DataFrame:
-    """Attach ``prediction = w . x`` (V2 predictOn: intercept 0) and ``decision``."""
-    by_key = versions_by_key(versions, order).withColumnRenamed("key", key)
-    if n_versions is not None and n_versions <= BROADCAST_MAX_VERSIONS:
-        by_key = F.broadcast(by_key)
-    scored = points.join(by_key, key, "inner")
-    return (scored.withColumn("prediction", dot(F.col(x), F.col("weights")))
+                          order: str = "train_then_predict", x: str = "x") -> DataFrame:
+    """Attach ``prediction = w . x`` (V2 predictOn: intercept 0) and ``decision``.
+
+    The versions side is left to Catalyst, which broadcasts it only when it is small."""
+    by_key = versions_by_key(versions, points.select(F.col(key).alias("key")), order).withColumnRenamed("key", key)
+    return (points.join(by_key, key, "inner")
+            .withColumn("prediction", dot(F.col(x), F.col("weights")))
             .withColumn("decision", decision(F.col("prediction")))
             .drop("weights"))

@@ -68,9 +68,7 @@ def online_lasso_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_holdout_trace_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = events_points(spark, sf_dir)
     store = train_count_windows(pts.filter(~F.col("holdout")), _ridge(), P.POINTS_DIM, P.WINDOW)
-    versions = [(r["version"], r["weights"]) for r in
-                _trained(store).select("version", "weights").orderBy("version").toLocalIterator()]
-    return error_trace(pts.filter(F.col("holdout")), versions)
+    return error_trace(pts.filter(F.col("holdout")), _trained(store).select("version", "weights"))
 
 
 def latest_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +134,7 @@ def _predict(spark, sf_dir, order):
     pts = _train_points(spark, sf_dir)
     store = train_batches(pts, _sgd("none"), P.POINTS_DIM, "day", w0=[0.0] * P.POINTS_DIM)
     versions = store.versions()
-    scored = predict_with_versions(pts, versions, "day", order, n_versions=None)
+    scored = predict_with_versions(pts, versions, "day", order)
     return scored.select("seq", F.round("prediction", 6).alias("prediction"))
 
 

@@ -302,6 +302,18 @@ src AS (SELECT *, CASE WHEN hour(ts) < 12 THEN 0 ELSE 1 END AS source_rank FROM
 {_weights_out(P.SGD_ITERATIONS, P.POINTS_DIM)}"""
 
 
+def predict_multi_stream_sql() -> str:
+    T = P.SGD_ITERATIONS
+    return f"""WITH RECURSIVE {PTS},
+src AS (SELECT *, CASE WHEN hour(ts) < 12 THEN 0 ELSE 1 END AS source_rank FROM train),
+{_day_blocks("day, source_rank")},
+{_v2_fold("none", 0.0)},
+vers AS (SELECT (s // {T} - 1)::BIGINT AS version, w FROM it WHERE s % {T} = 0),
+last AS (SELECT day, max(block) AS block FROM g GROUP BY day)
+SELECT train.seq, round(list_inner_product(train.x, vers.w), 6) AS prediction
+FROM train JOIN last ON train.day = last.day JOIN vers ON vers.version = last.block"""
+
+
 # ---- ratings ------------------------------------------------------------------
 
 RATINGS = """r AS (
@@ -354,6 +366,14 @@ LEFT JOIN (SELECT DISTINCT "user" AS uu FROM train) u ON t."user" = u.uu
 LEFT JOIN (SELECT DISTINCT item AS ii FROM train) i ON t.item = i.ii"""
 
 
+def als_counts_sql() -> str:
+    return f"""WITH {RATINGS},
+scored AS (SELECT t."user", t.item FROM test t
+           WHERE t."user" IN (SELECT "user" FROM train) AND t.item IN (SELECT item FROM train))
+SELECT (SELECT count(*) FROM test) AS n_test, (SELECT count(*) FROM scored) AS n_scored,
+       (SELECT count(*) FROM scored s JOIN test t ON s."user" = t."user" AND s.item = t.item) AS n_joined"""
+
+
 # ---- text parsing -------------------------------------------------------------
 
 POINT_LINES = """lines AS (

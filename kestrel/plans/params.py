@@ -21,6 +21,8 @@ SAMPLE_FRACTION = 0.5
 # arithmetic row-hash for the sampled query: ((seq * A + t * B) mod M) / M < fraction
 HASH_A, HASH_B, HASH_M = 7919, 104729, 1000
 
+REPLAY_FILES = 4       # files (micro-batches) of a replayed table
+
 POINTS_DIM = 3         # two features + bias
 TEXT_D = 2             # features per text line
 WIDE_DIM = 65          # 64 embedding values + bias

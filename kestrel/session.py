@@ -78,7 +78,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        # local-cluster has executors of their own, so it needs a shared folder like any cluster
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="kestrel-ckpt-")
     if sc.getCheckpointDir() is None:
@@ -95,10 +96,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python file APIs can use a local path (tests)."""
-    return path[len("file:"):] if path.startswith("file:") else path
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a staged copy below the shared checkpoint folder once it is used up."""
+    if not path.startswith(f"{checkpoint_root(spark)}/kestrel/"):
+        raise ValueError(f"not a scratch path of this library: {path}")
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 __all__ = ["get_session", "checkpoint_root", "scratch_path", "shuffle_partitions",
-           "local_path", "prepare", "ship_package"]
+           "remove_scratch", "prepare", "ship_package"]

@@ -12,6 +12,19 @@ from kestrel.functions.parse import (
 
 
 MAX_BROADCAST_FILES = 100_000
+#: What a file source tells of a line's arrival: file time, file, and place of its block in the file.
+ARRIVAL = ("_file_time", "_file_path", "_file_block")
+
+
+def with_arrival(lines: DataFrame) -> DataFrame:
+    """Add the ``ARRIVAL`` columns to lines read from files."""
+    return lines.select("*", F.col("_metadata.file_modification_time").alias("_file_time"),
+                        F.col("_metadata.file_path").alias("_file_path"),
+                        F.col("_metadata.file_block_start").alias("_file_block"))
+
+
+def _arrival(df: DataFrame) -> list[str]:
+    return [c for c in ARRIVAL if c in df.columns]
 
 
 def _split_rejects(parsed: DataFrame, keep: list) -> tuple[DataFrame, DataFrame]:
@@ -64,13 +77,11 @@ def read_points_stream(spark: SparkSession, directory: str,
                        num_features: int | None = None) -> DataFrame:
     """A2: watch a directory; every line ``(y,[x1,...,xn])`` of a new file is a point.
 
-    Returns a streaming frame (file, value, y, x, reject); callers route
-    ``reject IS NOT NULL`` rows to a reject sink.  ``file`` + line position give
-    the order inside a micro-batch.
+    Returns a streaming frame (value, y, x, reject and the ``ARRIVAL`` columns, which
+    order a micro-batch); callers route ``reject IS NOT NULL`` rows to a reject sink.
     """
-    raw = spark.readStream.format("text").load(directory)
-    return parse_once(raw.select(F.col("_metadata.file_path").alias("file"), "value"),
-                      parse_tuple_point(F.col("value"), num_features), "file", "value")
+    raw = with_arrival(spark.readStream.format("text").load(directory))
+    return parse_once(raw, parse_tuple_point(F.col("value"), num_features), "value", *ARRIVAL)
 
 
 def read_lines_stream(spark: SparkSession, host: str = "localhost", port: int = 9999,
@@ -87,7 +98,7 @@ def read_lines_stream(spark: SparkSession, host: str = "localhost", port: int =
     if fmt == "text":
         if path is None:
             raise ValueError("path is required for a file-backed line stream")
-        return spark.readStream.format("text").load(path)
+        return with_arrival(spark.readStream.format("text").load(path))
     raise ValueError(f"unknown line stream format {fmt!r}")
 
 
@@ -97,13 +108,14 @@ def points_from_lines(lines: DataFrame, d: int, value: str = "value",
     control padding trimmed, each line parsed with the stream arity rules.
 
     A text line has no order key: :class:`StreamingGLM` numbers each micro-batch
-    by arrival position (partition, then offset) and continues the global
-    ordinal from the rows already seen.  Output: y, x, reject.
+    by arrival (file time, file, place) and continues the global ordinal from the rows
+    already seen.  Output: y, x, reject and the ``ARRIVAL`` columns that the lines have.
     """
-    exploded = lines.select(F.explode(F.split(F.col(value), "\n")).alias("raw"))
-    trimmed = exploded.select(trim_controls(F.col("raw")).alias("line"))
+    here = _arrival(lines)
+    exploded = lines.select(F.explode(F.split(F.col(value), "\n")).alias("raw"), *here)
+    trimmed = exploded.select(trim_controls(F.col("raw")).alias("line"), *here)
     return parse_once(trimmed.filter(F.length("line") > 0),
-                      parse_point_fields(F.col("line"), d, mode="stream", min_length=min_length))
+                      parse_point_fields(F.col("line"), d, mode="stream", min_length=min_length), *here)
 
 
 def clean_rating_lines(lines: DataFrame, value: str = "value", min_length: int = 5) -> DataFrame:
@@ -132,7 +144,8 @@ def replay(df: DataFrame, order_col: str, rows_per_file: int, path: str,
     parted = numbered.withColumn("part", (F.col("_ord") / F.lit(rows_per_file)).cast("long")) \
         .drop("_ord")
     stage = scratch_path(spark, "replay-stage")
-    parted.repartition("part").write.partitionBy("part").parquet(stage)
+    # rows of a part are written by the tasks that hold them: no shuffle onto one task a part
+    parted.write.partitionBy("part").parquet(stage)
     staged = spark.read.parquet(stage)
     n_files = staged.agg(F.max("part")).first()[0]
     n_files = 0 if n_files is None else int(n_files) + 1

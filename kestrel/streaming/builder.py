@@ -1,13 +1,16 @@
 """Chainable model builders for streaming SGD.
 
-    model = (streaming_linear_regression(spark)
-             .set_step_size(0.5).set_num_iterations(10)
-             .set_initial_weights([0.0, 0.0]))
-    q = model.train_on(points_stream, checkpoint_location=...)
-    model.predict_on(other_stream, sink_path=..., checkpoint_location=...)
-    model.latest_model()
-
-``set_initial_weights`` resets the model (a fresh version history).
+Settings chain, then any number of streams may train the model in turn and any
+number may be scored with it:
+
+    model = streaming_ridge(spark, reg=0.01).set_step_size(0.2)
+    model.set_initial_weights([0.0] * 4)
+    morning = model.train_on(first_stream, "<checkpoint a>")
+    evening = model.train_on(second_stream, "<checkpoint b>")
+    scored = model.predict_on(third_stream, "<predictions>", "<checkpoint c>")
+
+``set_initial_weights`` resets the model (a fresh version history);
+``resume`` takes up a stored one.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.operators.rules import SGD, SGD_LASSO_REG
 from kestrel.session import scratch_path
-from kestrel.streaming.glm_stream import StreamingGLM, predict_on
+from kestrel.streaming.glm_stream import StreamingGLM, predict_on, stream_name
 from kestrel.streaming.modelstore import ModelStore
 
 
@@ -49,14 +52,15 @@ class StreamingSGDModel:
         self.rule = replace(self.rule, reg=float(reg))
         return self
 
-    def set_initial_weights(self, weights) -> "StreamingSGDModel":
-        """Reset the model: a new version history whose version -1 is ``weights``.
+    def set_initial_weights(self, weights, model_id: str | None = None) -> "StreamingSGDModel":
+        """Reset the model: a new version history whose version -1 is ``weights``."""
+        return self.resume(model_id or uuid.uuid4().hex, weights)
 
-        Written here, before any query starts, so the training query is the only
-        writer of the model table afterwards (prediction queries only read it)."""
-        self.w0 = np.asarray(weights, dtype=float)
-        self.store = ModelStore(self.spark, self.root, uuid.uuid4().hex)
-        self.trainer()._state()
+    def resume(self, model_id: str, weights=None) -> "StreamingSGDModel":
+        """Continue the model of this id below the model root; ``weights`` start it if there is none."""
+        self.store = ModelStore(self.spark, self.root, model_id)
+        self.w0 = np.asarray(self.store.start(weights).weights if weights is None else weights, dtype=float)
+        self.store.start(self.w0)
         return self
 
     # ---- use -----------------------------------------------------------------
@@ -69,7 +73,9 @@ class StreamingSGDModel:
         return StreamingGLM(self.store, self.rule, len(self.w0), w0=self.w0, **kw)
 
     def train_on(self, stream: DataFrame, checkpoint_location: str, **kw):
+        """Train on a stream; a second call trains the same model on a second one, in turn."""
         trigger = {k: kw.pop(k) for k in ("processing_time", "available_now") if k in kw}
+        kw.setdefault("stream_id", stream_name(checkpoint_location))
         return self.trainer(**kw).train_on(stream, checkpoint_location, **trigger)
 
     def predict_on(self, stream: DataFrame, sink_path: str, checkpoint_location: str, **kw):
@@ -89,5 +95,5 @@ def streaming_lasso(spark: SparkSession, **kw) -> StreamingSGDModel:
     return StreamingSGDModel(spark, SGD(updater="l1", reg=SGD_LASSO_REG), **kw)
 
 
-def streaming_ridge(spark: SparkSession, reg: float = 0.0, **kw) -> StreamingSGDModel:
+def streaming_ridge(spark: SparkSession, reg: float, **kw) -> StreamingSGDModel:
     return StreamingSGDModel(spark, SGD(updater="l2", reg=reg), **kw)

@@ -1,282 +1,257 @@
 """Online GLMs on Structured Streaming.
 
 ``StreamingGLM.process_batch`` is a ``foreachBatch`` body; all state (weights,
-rows seen, the open count window as partial sums) lives in the model table, so
-a restarted query resumes from the last committed ``batch_id`` and a replayed
-batch is skipped.  Two modes:
+rows seen, the open count window) is in the model store's head, so a
+restarted query resumes from the last committed batch.  Commits are
+keyed by training stream and batch, so several streams can train one model in turn.
+Rejects, predictions, versions and metrics are written per stream and batch,
+replacing what a failed attempt left; the head is committed last, so a replay repeats
+the batch from the same state and leaves every table as if it had run once.  Modes:
 
 * count windows (``window=B``, V1): rows are numbered from the stored ``n_seen``;
   the first rows complete the open window; each closed window is one version;
-  the incomplete tail is stored as sums, never flushed;
+  the incomplete tail is stored, never flushed;
 * micro-batch (``window=None``, V2): one update per non-empty batch, or one per
-  ``source_rank`` present (several training streams, in rank order, T7).
+  ``source_rank`` present (several sources in one stream, in rank order, T7).
 
-Every input row needs an order column (``seq``): arrival order is not a
-DataFrame property.
+Rows are taken in the order of ``order_col``; without that column, in arrival order:
+file time, file, place in the file (the columns that this package's text sources
+add), or else the position that the source gives.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.linalg import dot_lit
-from kestrel.operators.fold import iter_sorted
-from kestrel.operators.gram import gram, packed_len, unpack
+from kestrel.functions.linalg import dot
+from kestrel.operators.fold import fold_sampled_grams, iter_sorted, window_sums
+from kestrel.operators.gram import gram, packed_len, sampled_gram
 from kestrel.operators.ordinal import count_windows
 from kestrel.operators.rules import LogisticGD
-from kestrel.streaming.modelstore import ModelStore
+from kestrel.sources.text import ARRIVAL
+from kestrel.streaming.modelstore import ModelStore, State, write_part
 
 ORDERS = ("train_then_predict", "predict_then_train")
 
 
+def part_name(stream_id: str, batch_id: int) -> str:
+    return f"{stream_id}-{batch_id:09d}"
+
+
+def with_order(batch: DataFrame, order_col: str) -> tuple[DataFrame, list[str]]:
+    """The batch and its order columns."""
+    if order_col in batch.columns:
+        return batch, [order_col]
+    placed = batch.withColumn("_row", F.monotonically_increasing_id())
+    return placed, [c for c in ARRIVAL if c in batch.columns] + ["_row"]
+
+
+def predictions(batch: DataFrame, weights, version: int, batch_id: int, keep: list[str]) -> DataFrame:
+    """B9 on every row; the weights are one array value, so plans of all batches are alike."""
+    w = F.lit([float(v) for v in weights])
+    return batch.select(F.lit(batch_id).cast("long").alias("batch_id"), *keep,
+                        dot(F.col("x"), w).alias("prediction"), F.lit(version).cast("long").alias("version"))
+
+
+def write_predictions(preds: DataFrame, path: str | None, show: int, part: str) -> None:
+    """The sink, and the first elements of the batch on the console."""
+    if path is not None:
+        write_part(preds, path, part)
+    if show:
+        preds.show(show)
+
+
 class StreamingGLM:
     def __init__(self, store: ModelStore, rule, dim: int, w0=None, window: int | None = None,
                  order: str = "train_then_predict", order_col: str = "seq",
                  predictions_path: str | None = None, rejects_path: str | None = None,
                  holdout: DataFrame | None = None, metrics_path: str | None = None,
-                 show_predictions: int = 0, seed: int = 42):
+                 show_predictions: int = 0, seed: int = 42, stream_id: str = "stream"):
         if order not in ORDERS:
             raise ValueError(f"order must be one of {ORDERS}")
+        if window is None and isinstance(rule, LogisticGD):
+            raise ValueError("the logistic rule needs count windows")
+        if window is not None and (predictions_path or show_predictions):
+            raise ValueError("count-window training writes no predictions; use predict_on")
         self.store, self.rule, self.dim = store, rule, dim
         self.window, self.order, self.order_col = window, order, order_col
         self.w0 = None if w0 is None else np.asarray(w0, dtype=float)
-        self.predictions_path = predictions_path
-        self.rejects_path = rejects_path
-        self.holdout, self.metrics_path = holdout, metrics_path
-        self.show_predictions = show_predictions
-        self.seed = seed
-
-    # ---- state -------------------------------------------------------------
-    _cache = None   # (last batch_id, state tuple): read the table once, then keep it current
-
-    def _state(self):
-        if self._cache is not None:
-            return self._cache[1]
-        v = self.store.versions()
-        row = (v.groupBy("model_id")
-               .agg(F.max_by(F.struct(*v.columns),
-                             F.struct(F.coalesce("batch_id", F.lit(-1)), "version")).alias("m"))
-               .select("m.*").first())
-        if row is None:
-            if self.w0 is None:
-                raise ValueError("initial weights must be set before training")
-            self.store.append([(self.store.model_id, -1, None, None, 0, 0, self.w0, 0,
-                                [0.0] * packed_len(self.dim + 1))])
-            return -1, self.w0.copy(), 0, 0, np.zeros(packed_len(self.dim + 1))
-        sums = row["open_sums"] or [0.0] * packed_len(self.dim + 1)
-        state = (int(row["version"]), np.asarray(row["weights"], dtype=float),
-                 int(row["n_seen"] or 0), int(row["open_n"] or 0), np.asarray(sums, dtype=float))
-        self._cache = (row["batch_id"], state)
-        return state
-
-    def _remember(self, rows) -> None:
-        last = rows[-1]
-        sums = last[8] if last[8] is not None else [0.0] * packed_len(self.dim + 1)
-        self._cache = (last[2], (int(last[1]), np.asarray(last[6], dtype=float), int(last[5]),
-                                 int(last[7] or 0), np.asarray(sums, dtype=float)))
-
-    def _committed(self, batch_id: int) -> bool:
-        if self._cache is not None and self._cache[0] is not None:
-            return batch_id <= self._cache[0]
-        return self.store.committed(batch_id)
+        self.predictions_path, self.rejects_path = predictions_path, rejects_path
+        # The hold-out is read once, not once per batch
+        self.holdout = None if holdout is None else holdout.select("x", "y").persist()
+        self.metrics_path = metrics_path
+        self.show_predictions, self.seed, self.stream_id = show_predictions, seed, stream_id
 
     def latest_weights(self):
-        return self._state()[1]
+        return self.store.start(self.w0).weights
 
     # ---- foreachBatch body -------------------------------------------------
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        if self._committed(batch_id):
-            return  # replayed micro-batch: already applied
-        if self.order_col not in batch.columns:
-            # no order key on the wire: arrival position inside this micro-batch
-            batch = batch.withColumn(self.order_col, F.monotonically_increasing_id())
-        if "reject" in batch.columns:
-            if self.rejects_path is not None:
-                (batch.filter(F.col("reject").isNotNull())
-                 .withColumn("batch_id", F.lit(batch_id).cast("long"))
-                 .write.mode("append").parquet(self.rejects_path))
-            batch = batch.filter(F.col("reject").isNull())
+        with self.store.lock:
+            state = self.store.start(self.w0)
+            if batch_id <= state.committed.get(self.stream_id, -1):
+                return  # replayed micro-batch: already applied
+            self._train(batch, batch_id, state)
+
+    def _train(self, batch: DataFrame, batch_id: int, state: State) -> None:
+        part = part_name(self.stream_id, batch_id)
+        batch, order = with_order(batch, self.order_col)
         batch = batch.persist()
+        t0 = time.perf_counter()
         try:
-            version, w, n_seen, open_n, open_sums = self._state()
+            if "reject" in batch.columns:
+                if self.rejects_path is not None:
+                    write_part(batch.filter(F.col("reject").isNotNull())
+                               .withColumn("batch_id", F.lit(batch_id).cast("long")), self.rejects_path, part)
+                batch = batch.filter(F.col("reject").isNull())
             if self.window is None:
-                self._micro_batch(batch, batch_id, version, w, n_seen)
+                new, rows = self._micro_batch(batch, batch_id, state, order)
             elif isinstance(self.rule, LogisticGD):
-                self._logistic_windows(batch, batch_id, version, w, n_seen, open_n)
+                new, rows = self._logistic_windows(batch, part, state, order)
             else:
-                self._count_windows(batch, batch_id, version, w, n_seen, open_n, open_sums)
+                new, rows = self._count_windows(batch, state, order)
+            if rows:
+                self.store.write_versions(
+                    [(v, self.stream_id, batch_id, [batch_id, *key], n, seen, w) for v, key, n, seen, w in rows], part)
+                self._report(rows, batch_id, part, time.perf_counter() - t0)
+            new.committed = {**state.committed, self.stream_id: batch_id}
+            self.store.commit(new)
         finally:
             batch.unpersist()
 
-    def _predict(self, batch: DataFrame, w, batch_id: int) -> None:
-        if self.predictions_path is None and not self.show_predictions:
-            return
-        preds = batch.select(F.lit(batch_id).cast("long").alias("batch_id"), self.order_col,
-                             dot_lit(F.col("x"), list(w)).alias("prediction"))
-        if self.predictions_path is not None:
-            preds.write.mode("append").parquet(self.predictions_path)
-        if self.show_predictions:
-            preds.show(self.show_predictions)   # S1: first elements of the batch
-
-    def _report(self, rows, batch_id: int) -> None:
-        """Hold-out error of every version this batch produced."""
-        if self.holdout is None or self.metrics_path is None or not rows:
-            return
-        from kestrel.operators.metrics import error_trace
-        new = [(r[1], r[6]) for r in rows if r[4]]
-        if not new:
+    def _report(self, rows, batch_id: int, part: str, seconds: float) -> None:
+        """Rows seen and training time of the batch's versions, and with a hold-out
+        the error rate of each."""
+        if self.metrics_path is None:
             return
-        (error_trace(self.holdout, new).withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("append").parquet(self.metrics_path))
+        spark = self.store.spark
+        base = spark.createDataFrame(
+            [(v, int(seen), int(n), int(seconds * 1000)) for v, _, n, seen, _ in rows],
+            "version long, n_seen long, n_rows long, train_ms long").withColumn("batch_id", F.lit(batch_id).cast("long"))
+        if self.holdout is not None:
+            from kestrel.operators.metrics import error_trace
+            new = spark.createDataFrame([(v, [float(x) for x in w]) for v, _, _, _, w in rows],
+                                        "version long, weights array<double>")
+            base = base.join(error_trace(self.holdout, new), "version")
+        write_part(base.coalesce(1), self.metrics_path, part)
 
-    def _micro_batch(self, batch, batch_id, version, w, n_seen):
+    def _micro_batch(self, batch, batch_id, state, order):
         keys = ["source_rank"] if "source_rank" in batch.columns else []
-        rows, p = [], self.dim + 1
-        w_before = w.copy()
-        one = batch.withColumn("_one", F.lit(0))
+        w, version, n_seen, rows = state.weights, state.version, state.n_seen, []
         fraction = getattr(self.rule, "fraction", 1.0)
-        if fraction < 1.0 and not keys:
-            # M7: per-iteration mini-batch Grams of this micro-batch, one pass
-            from kestrel.operators.fold import fold_sampled_grams
-            from kestrel.operators.gram import sampled_gram
-            n = batch.count()
-            g = sampled_gram(one, ["_one"], self.dim, self.rule.iterations, fraction,
-                             self.order_col, self.seed + batch_id)
-            for _, _, w_new in fold_sampled_grams(g, self.rule, w, "_one"):
-                w = w_new
-                version += 1
-                n_seen += n
-                rows.append((self.store.model_id, version, batch_id, batch_id, n, n_seen,
-                             w.copy(), 0, None))
+        one = batch.withColumn("_one", F.lit(0))
+        counts = {tuple(r[k] for k in keys): r["n"]
+                  for r in one.groupBy("_one", *keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if fraction < 1.0:
+            # M7: the per-iteration mini-batch Grams of every source of this micro-batch, one pass
+            g = sampled_gram(one, ["_one", *keys], self.dim, self.rule.iterations, fraction,
+                             order[-1], self.seed + batch_id)
+            folded = fold_sampled_grams(g, self.rule, w, ["_one", *keys], every=[(0, *k) for k in sorted(counts)])
+            updates = ((key[1:], counts[key[1:]], new) for key, _, new in folded)
         else:
-            for r in iter_sorted(gram(one, ["_one"] + keys, self.dim), ["_one"] + keys):
-                G, c, _ = unpack(np.asarray(r["s"], dtype=float), p)
-                w = self.rule.apply(w, G, c, float(r["n"]))
-                version += 1
-                n_seen += int(r["n"])
-                rows.append((self.store.model_id, version, batch_id, batch_id, int(r["n"]),
-                             n_seen, w.copy(), 0, None))
-        if not rows:
-            return  # empty batch: keep the model, write no version (Q16)
-        self._predict(batch, w_before if self.order == "predict_then_train" else w, batch_id)
-        self.store.append(rows)
-        self._remember(rows)
-        self._report(rows, batch_id)
-
-    def _count_windows(self, batch, batch_id, version, w, n_seen, open_n, open_sums):
-        B, p = self.window, self.dim + 1
-        total = n_seen + batch.count()
-        n_closed = total // B
-        framed = count_windows(batch, self.order_col, B, n_seen=n_seen)
-        open_block = n_seen // B
-        out = []
-        carried = open_sums.copy()
-        carried_n = open_n
-        last_block_sums, last_block_n = carried, carried_n
+            def full(w=w):
+                for r in iter_sorted(gram(one, ["_one", *keys], self.dim), ["_one", *keys]):
+                    G, c, _ = window_sums(self.rule, r["s"], self.dim + 1)
+                    w = self.rule.apply(w, G, c, float(r["n"]))
+                    yield tuple(r[k] for k in keys), r["n"], w
+            updates = full()
+        for key, n, w in updates:
+            version, n_seen = version + 1, n_seen + int(n)
+            rows.append((version, key, int(n), n_seen, np.array(w)))
+        if rows:
+            # an empty batch keeps the model and writes neither version nor predictions (Q16)
+            before = self.order == "predict_then_train"
+            keep = [c for c in order if c != "_row"]
+            write_predictions(
+                predictions(batch, state.weights if before else w, state.version if before else version, batch_id, keep),
+                self.predictions_path, self.show_predictions, part_name(self.stream_id, batch_id))
+        return State(version=version, weights=w, n_seen=n_seen), rows
+
+    def _count_windows(self, batch, state, order):
+        size, p = self.window, self.dim + 1
+        total = state.n_seen + batch.count()
+        w, version, rows = state.weights, state.version, []
+        open_block, n_closed = state.n_seen // size, total // size
+        left_n = state.open_n
+        left = np.zeros(packed_len(p)) if state.open_sums is None else state.open_sums
+        framed = count_windows(batch, order, size, n_seen=state.n_seen)
         for r in iter_sorted(gram(framed, "block", self.dim), "block"):
-            block = int(r["block"])
-            s = np.asarray(r["s"], dtype=float)
-            n = int(r["n"])
+            block, s, n = int(r["block"]), np.asarray(r["s"], dtype=float), int(r["n"])
             if block == open_block:
-                s, n = s + carried, n + carried_n
+                s, n = s + left, n + left_n
             if block < n_closed:
-                G, c, _ = unpack(s, p)
-                w = self.rule.apply(w, G, c, float(n))
-                version = block
-                out.append([self.store.model_id, block, batch_id, block, n, (block + 1) * B,
-                            w.copy(), 0, [0.0] * len(s)])
-                last_block_sums, last_block_n = np.zeros(len(s)), 0
+                G, c, _ = window_sums(self.rule, s, p)
+                w, version = self.rule.apply(w, G, c, float(n)), block
+                rows.append((block, (block,), n, (block + 1) * size, w.copy()))
+                left, left_n = np.zeros(len(s)), 0
             else:
-                last_block_sums, last_block_n = s, n
-        if total == n_seen:
-            return  # empty batch
-        if out:
-            out[-1][7] = last_block_n
-            out[-1][8] = last_block_sums
-            out[-1][5] = total
-        else:
-            # no window closed: store the grown open window under the same version
-            out.append([self.store.model_id, version, batch_id, None, 0, total, w.copy(),
-                        last_block_n, last_block_sums])
-        out = [tuple(r) for r in out]
-        self.store.append(out)
-        self._remember(out)
-        self._report(out, batch_id)
-
-    def _open_rows_path(self, batch_id: int) -> str:
-        return f"{self.store.path}_open/model={self.store.model_id}/batch={batch_id}"
-
-    def _logistic_windows(self, batch, batch_id, version, w, n_seen, open_n):
-        """M3 on a stream: the open window keeps its rows (fewer than B) in a
-        staging table written per batch_id; the next batch reads them back."""
+                left, left_n = s, n
+        return State(version=version, weights=w, n_seen=total, open_n=left_n, open_sums=left), rows
+
+    def _logistic_windows(self, batch, part, state, order):
+        """M3 on a stream: the open window keeps its rows (fewer than B) in a table of
+        this batch's own; the next batch reads them back."""
         from kestrel.operators.logistic import fold_closed_windows
-        B = self.window
-        n_new = batch.count()
-        if n_new == 0:
-            return
-        total = n_seen + n_new
-        n_closed = total // B
-        rows = count_windows(batch, self.order_col, B, n_seen=n_seen).select(
-            "ordinal", "block", "x", "y")
-        if open_n:
-            prev = self._cache[0] if self._cache else None
-            if prev is None:
-                prev = (self.store.versions().agg(F.max("batch_id")).first()[0])
-            old = self.store.spark.read.parquet(self._open_rows_path(prev)).select(
-                "ordinal", (F.col("ordinal") / F.lit(B)).cast("long").alias("block"), "x", "y")
+        size = self.window
+        total = state.n_seen + batch.count()
+        n_closed = total // size
+        rows = count_windows(batch, order, size, n_seen=state.n_seen).select("ordinal", "block", "x", "y")
+        if state.open_n:
+            old = self.store.spark.read.parquet(state.open_path).select(
+                "ordinal", (F.col("ordinal") / F.lit(size)).cast("long").alias("block"), "x", "y")
             rows = old.unionByName(rows)
-        closed = rows.filter(F.col("block") < F.lit(n_closed))
-        folded = fold_closed_windows(closed, self.rule, self.dim, B, w) if n_closed > n_seen // B \
-            else []
-        still_open = rows.filter(F.col("block") >= F.lit(n_closed))
-        still_open.select("ordinal", "x", "y").write.mode("overwrite").parquet(
-            self._open_rows_path(batch_id))
-        out = [[self.store.model_id, int(b), batch_id, int(b), int(n), (int(b) + 1) * B,
-                np.asarray(wt, dtype=float), 0, None] for b, n, wt in folded]
-        if out:
-            out[-1][5], out[-1][7] = total, total - n_closed * B
-            w = out[-1][6]
-        else:
-            out = [[self.store.model_id, version, batch_id, None, 0, total, w, total - n_closed * B,
-                    None]]
-        out = [tuple(r) for r in out]
-        self.store.append(out)
-        self._remember(out)
-        self._report(out, batch_id)
+        out, w = [], state.weights
+        if n_closed > state.n_seen // size:
+            for block, n, w in fold_closed_windows(rows.filter(F.col("block") < n_closed), self.rule, self.dim, size, w):
+                out.append((block, (block,), n, (block + 1) * size, np.asarray(w)))
+        open_path = f"{self.store.root}/open/part={part}"
+        rows.filter(F.col("block") >= n_closed).select("ordinal", "x", "y").write.mode("overwrite").parquet(open_path)
+        return State(version=out[-1][0] if out else state.version, weights=w, n_seen=total,
+                     open_n=total - n_closed * size, open_path=open_path), out
 
     # ---- wiring --------------------------------------------------------------
     def train_on(self, stream: DataFrame, checkpoint_location: str,
                  processing_time: str | None = None, available_now: bool = False):
         """T4: start a query that updates the model on every micro-batch (T1 trigger)."""
-        if self.w0 is None and self.store.versions().limit(1).count() == 0:
-            raise ValueError("initial weights must be set before training")
-        writer = (stream.writeStream.foreachBatch(self.process_batch)
-                  .option("checkpointLocation", checkpoint_location))
-        if available_now:
-            writer = writer.trigger(availableNow=True)
-        elif processing_time:
-            writer = writer.trigger(processingTime=processing_time)
-        return writer.start()
+        self.store.start(self.w0)
+        return started(stream, self.process_batch, checkpoint_location, processing_time, available_now)
 
 
-def predict_on(stream: DataFrame, store: ModelStore, sink_path: str, checkpoint_location: str,
-               order_col: str = "seq", available_now: bool = False, show: int = 0):
-    """T5: score a (different) stream with the model current at each of its batches."""
-    def score(batch: DataFrame, batch_id: int) -> None:
-        row = store.latest_row()
-        if row is None:
-            raise ValueError("initial weights must be set before prediction")
-        preds = batch.select(F.lit(batch_id).cast("long").alias("batch_id"), order_col,
-                             dot_lit(F.col("x"), list(row["weights"])).alias("prediction"),
-                             F.lit(row["version"]).cast("long").alias("version"))
-        preds.write.mode("append").parquet(sink_path)
-        if show:
-            preds.show(show)
-
-    writer = (stream.writeStream.foreachBatch(score)
-              .option("checkpointLocation", checkpoint_location))
+def stream_name(checkpoint_location: str) -> str:
+    """A training stream is known by its checkpoint, which a restart gives again."""
+    return hashlib.md5(checkpoint_location.rstrip("/").encode()).hexdigest()[:12]
+
+
+def started(stream: DataFrame, body, checkpoint_location: str, processing_time: str | None,
+            available_now: bool):
+    writer = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint_location)
     if available_now:
         writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
     return writer.start()
+
+
+def predict_on(stream: DataFrame, store: ModelStore, sink_path: str, checkpoint_location: str,
+               order_col: str = "seq", processing_time: str | None = None,
+               available_now: bool = False, show: int = 0):
+    """T5: score a (different) stream with the model current at each of its batches.
+
+    Rows keep their order column, or what the source tells of their arrival."""
+    name = stream_name(checkpoint_location)
+
+    def score(batch: DataFrame, batch_id: int) -> None:
+        state = store.state()
+        if state is None:
+            raise ValueError("initial weights must be set before prediction")
+        placed, order = with_order(batch, order_col)
+        keep = order + [c for c in ("value",) if c in batch.columns]
+        write_predictions(predictions(placed, state.weights, state.version, batch_id, keep), sink_path, show,
+                          part_name(name, batch_id))
+
+    return started(stream, score, checkpoint_location, processing_time, available_now)

@@ -1,102 +1,153 @@
-"""Append-only, versioned model table.
-
-One row per model version: ``(model_id, version, batch_id, block, n_rows,
-n_seen, weights, open_n, open_sums)``.  ``open_*`` is the still-open count
-window as partial sums, so a window cut by a micro-batch boundary just
-carries on.  A commit is one small Spark write; a ``batch_id`` that is
-already stored is never written twice, which makes a replayed micro-batch
-idempotent.  A table has one writer (the training query); scoring queries
-only read it.
+"""Versioned model table (S3, T3, M10) with a small head that commits.
+
+Two things live below a model's folder ``<path>/model=<id>``:
+
+* ``versions/part=<part>``: one row per model version, written per committed
+  unit (a micro-batch of one stream, or a chunk of a batch training) and
+  overwritten when that unit is replayed, so a version is never stored twice;
+* ``head/slot=0|1``: one row with the state a trainer continues from (newest
+  weights, rows seen, the open count window as sums, and the last batch of
+  every training stream).  Commits alternate between the slots, so a crash while
+  one is written leaves the other; writing the head is the commit, and comes last.
+
+Reading the state or the newest model reads the two head rows, however many
+versions there are.  One process trains a model (its streams take turns);
+scoring jobs only read.
 """
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_L, _S, _D = T.LongType(), T.StringType(), T.DoubleType()
+#: batch_key is the full key of the update (day, source, ...) as text; block its first part.
 MODEL_SCHEMA = T.StructType([
-    T.StructField("model_id", T.StringType(), False),
-    T.StructField("version", T.LongType(), False),
-    T.StructField("batch_id", T.LongType(), True),
-    T.StructField("block", T.LongType(), True),
-    T.StructField("n_rows", T.LongType(), True),
-    T.StructField("n_seen", T.LongType(), True),
-    T.StructField("weights", T.ArrayType(T.DoubleType()), False),
-    T.StructField("open_n", T.LongType(), True),
-    T.StructField("open_sums", T.ArrayType(T.DoubleType()), True),
+    T.StructField("model_id", _S, False), T.StructField("version", _L, False),
+    T.StructField("stream_id", _S, True), T.StructField("batch_id", _L, True),
+    T.StructField("batch_key", T.ArrayType(_L), True), T.StructField("n_rows", _L, True),
+    T.StructField("n_seen", _L, True), T.StructField("weights", T.ArrayType(_D), False),
 ])
+HEAD_SCHEMA = T.StructType([
+    T.StructField("seq", _L, False), T.StructField("version", _L, False),
+    T.StructField("weights", T.ArrayType(_D), False), T.StructField("n_seen", _L, False),
+    T.StructField("open_n", _L, False), T.StructField("open_sums", T.ArrayType(_D), True),
+    T.StructField("open_path", _S, True), T.StructField("committed", T.MapType(_S, _L), False),
+])
+
+_CHUNK = 10_000
+_LOCKS: dict[str, threading.RLock] = {}
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
 
-_CHUNK = 50_000
+
+def write_part(df: DataFrame, path: str, part: str) -> None:
+    """One unit of a table: replaces what an earlier attempt of the same unit left."""
+    df.write.mode("overwrite").parquet(f"{path}/part={part}")
+
+
+class State:
+    """What a trainer continues from."""
+
+    def __init__(self, seq=-1, version=-1, weights=(), n_seen=0, open_n=0, open_sums=None,
+                 open_path=None, committed=None):
+        self.seq, self.version, self.n_seen, self.open_n = int(seq), int(version), int(n_seen), int(open_n)
+        self.weights = np.asarray(weights, dtype=float)
+        self.open_sums = None if open_sums is None else np.asarray(open_sums, dtype=float)
+        self.open_path, self.committed = open_path, dict(committed or {})
 
 
 class ModelStore:
     def __init__(self, spark: SparkSession, path: str, model_id: str = "model"):
-        self.spark = spark
-        self.path = path
-        self.model_id = model_id
-
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(hpath)
-
-    def append(self, rows) -> int:
-        """Append rows (tuples in MODEL_SCHEMA order, model_id first); returns count."""
-        buf, total = [], 0
-        for r in rows:
-            buf.append(r)
+        self.spark, self.path, self.model_id = spark, path.rstrip("/"), model_id
+        self.root = f"{self.path}/model={model_id}"
+        #: streams that train one model take turns
+        self.lock = _LOCKS.setdefault(self.root, threading.RLock())
+
+    # ---- versions ------------------------------------------------------------
+    def write_versions(self, rows: Iterable[tuple], part: str) -> None:
+        """Rows (version, stream_id, batch_id, batch_key, n_rows, n_seen, weights) of one unit."""
+        clean = [(self.model_id, int(v), s, b, None if k is None else [int(x) for x in k], int(n), int(seen),
+                  [float(x) for x in w]) for v, s, b, k, n, seen, w in rows]
+        write_part(self.spark.createDataFrame(clean, MODEL_SCHEMA).coalesce(1), f"{self.root}/versions", part)
+
+    def write_training(self, w0, rows: Iterable[tuple]) -> None:
+        """A whole batch training: version -1 is ``w0``, then rows (version, batch_key, n_rows, n_seen,
+        weights) in order, in chunks of bounded size; the head last."""
+        buf, k = [(-1, None, None, None, 0, 0, w0)], 0
+        state = State(weights=w0)
+        for version, key, n, seen, w in rows:
+            buf.append((version, None, None, key, n, seen, w))
+            state = State(0, version, w, seen)
             if len(buf) >= _CHUNK:
-                total += self._write(buf)
-                buf = []
+                self.write_versions(buf, f"training-{k:06d}")
+                buf, k = [], k + 1
         if buf:
-            total += self._write(buf)
-        return total
-
-    def _write(self, buf) -> int:
-        clean = [tuple(_plain(v) for v in r) for r in buf]
-        (self.spark.createDataFrame(clean, MODEL_SCHEMA).coalesce(1)
-         .write.mode("append").parquet(self.path))
-        return len(buf)
+            self.write_versions(buf, f"training-{k:06d}")
+        self.commit(state)
 
     def versions(self) -> DataFrame:
-        if not self._exists():
+        """Every version, one row each; version -1 is the initial weights."""
+        if not path_exists(self.spark, f"{self.root}/versions"):
             return self.spark.createDataFrame([], MODEL_SCHEMA)
-        return (self.spark.read.schema(MODEL_SCHEMA).parquet(self.path)
-                .filter(F.col("model_id") == self.model_id))
+        rows = self.spark.read.schema(MODEL_SCHEMA).parquet(f"{self.root}/versions")
+        head = self.state()
+        # a unit that was written but not committed is not part of the model yet
+        return rows.where(F.col("version") <= F.lit(-1 if head is None else head.version)).select(
+            *MODEL_SCHEMA.fieldNames())
+
+    # ---- head ------------------------------------------------------------------
+    def state(self) -> State | None:
+        """The committed state; None before the initial weights are set."""
+        rows = []
+        for slot in (0, 1):
+            at = f"{self.root}/head/slot={slot}"
+            if path_exists(self.spark, f"{at}/_SUCCESS"):
+                rows += self.spark.read.schema(HEAD_SCHEMA).parquet(at).collect()
+        if not rows:
+            return None
+        return State(**max(rows, key=lambda r: r["seq"]).asDict())
+
+    def commit(self, state: State) -> None:
+        seq = (self.state() or State()).seq + 1
+        row = (seq, state.version, [float(x) for x in state.weights], state.n_seen, state.open_n,
+               None if state.open_sums is None else [float(x) for x in state.open_sums], state.open_path,
+               state.committed)
+        (self.spark.createDataFrame([row], HEAD_SCHEMA).coalesce(1).write.mode("overwrite")
+         .parquet(f"{self.root}/head/slot={seq % 2}"))
+
+    def start(self, w0) -> State:
+        """The state; sets the initial weights first if there is none."""
+        with self.lock:
+            found = self.state()
+            if found is None:
+                if w0 is None:
+                    raise ValueError("initial weights must be set before training")
+                self.write_versions([(-1, None, None, None, 0, 0, w0)], "initial")
+                self.commit(State(weights=w0))
+                found = self.state()
+            return found
 
     def latest(self) -> DataFrame:
-        """The newest version (one row), via ``max_by`` — no sort, no window."""
-        v = self.versions()
-        return (v.groupBy("model_id")
-                .agg(F.max_by(F.struct(*[c for c in v.columns]), F.col("version")).alias("m"))
-                .select("m.*"))
+        """The newest version (one row: model_id, version, n_seen, weights), from the head."""
+        s = self.state()
+        rows = [] if s is None else [(self.model_id, s.version, s.n_seen, [float(x) for x in s.weights])]
+        return self.spark.createDataFrame(rows, "model_id string, version long, n_seen long, weights array<double>")
 
     def latest_row(self):
         return self.latest().first()
 
-    def committed(self, batch_id: int) -> bool:
-        return self.versions().filter(F.col("batch_id") == batch_id).limit(1).count() > 0
-
-
-def _plain(v):
-    try:
-        import numpy as np
-        if isinstance(v, np.ndarray):
-            return [float(a) for a in v]
-        if isinstance(v, np.generic):
-            return v.item()
-    except ImportError:  # pragma: no cover
-        pass
-    if isinstance(v, list):
-        return [float(a) for a in v]
-    return v
-
 
 def preview(weights, limit: int = 100):
     """The logged form of a weight vector, cut to the first ``limit`` entries."""
     vals = list(weights)
-    if len(vals) > limit:
-        return "[" + ",".join(repr(float(a)) for a in vals[:limit]) + "..."
-    return "[" + ",".join(repr(float(a)) for a in vals) + "]"
+    shown = ",".join(repr(float(a)) for a in vals[:limit])
+    return "[" + shown + ("..." if len(vals) > limit else "]")
