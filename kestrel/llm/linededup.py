@@ -20,6 +20,8 @@ read.  Lines are identified by 64-bit hashes (xxh3).
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -87,15 +89,37 @@ def line_keys(line: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(data[4 * a:4 * b], seed) for seed, a, b in _PLACES[n]]
 
 
+def common_prefix(p: str, t: str) -> int:
+    """Length of the common prefix, by bisection over slices."""
+    low, high = 0, min(len(p), len(t))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if p[low:mid] == t[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def within(p: str, t: str, edits: int = MAX_EDITS) -> bool:
-    """Whether two lines are at most ``edits`` apart: bit-parallel over a band of 2 * edits + 1 diagonals."""
+    """Whether two lines are at most ``edits`` apart: bit-parallel over a band of 2 * edits + 1
+    diagonals, after what they share at both ends is cut off."""
     if p == t:
         return True
-    m, n = len(p), len(t)
-    if abs(m - n) > edits:
+    if abs(len(p) - len(t)) > edits:
         return False
+    k = common_prefix(p, t)
+    p, t = p[k:], t[k:]
+    k = common_prefix(p[::-1], t[::-1])
+    return banded(p[:len(p) - k], t[:len(t) - k], edits)
+
+
+def banded(p: str, t: str, edits: int) -> bool:
+    m, n = len(p), len(t)
+    if min(m, n) == 0:
+        return max(m, n) <= edits
     if min(m, n) <= edits:  # a common prefix changes nothing and makes the band fit
-        return within(" " * (edits + 1) + p, " " * (edits + 1) + t, edits)
+        return banded(" " * (edits + 1) + p, " " * (edits + 1) + t, edits)
     mask = (1 << (2 * edits + 1)) - 1
     rows: dict[str, int] = {}
     for i, c in enumerate(p):
@@ -197,9 +221,12 @@ def across(meeting: DataFrame, comps: DataFrame, contents: DataFrame) -> DataFra
             return r
         out = []
         left, right = ([r for r in rows if r[0] == b] for b in (i, j))
+        right.sort(key=lambda r: len(r[3]))
+        sizes = [len(r[3]) for r in right]
         for _, a, ra, s in left:
-            for _, b, rb, t in right:
-                if (i != j or a < b) and abs(len(s) - len(t)) <= MAX_EDITS and find(ra) != find(rb) and within(s, t):
+            near = right[bisect_left(sizes, len(s) - MAX_EDITS):bisect_right(sizes, len(s) + MAX_EDITS)]
+            for _, b, rb, t in near:
+                if (i != j or a < b) and find(ra) != find(rb) and within(s, t):
                     top[max(find(ra), find(rb))] = min(find(ra), find(rb))
                     out.append((a, b))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
