@@ -67,8 +67,9 @@ def test_error_trace_counts(spark):
     df = spark.createDataFrame([([1.0, 1.0], 1.0), ([-1.0, 1.0], -1.0), ([2.0, 1.0], -1.0)],
                                "x array<double>, y double")
     out = {r["version"]: (r["n_test"], r["n_err"]) for r in
-           error_trace(df, [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.0])],
-                       max_weights=2).collect()}
+           error_trace(df, spark.createDataFrame(
+               [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.0])], "version long, weights array<double>"),
+               max_weights=2).collect()}
     assert out == {0: (3, 1), 1: (3, 1), 2: (3, 2)}
 
 
