@@ -44,8 +44,10 @@ REGISTERS = BANDS * BAND_ROWS
 MANTISSA_BITS = 10
 #: The estimate's standard deviation at 0.75 is 0.038; candidates over five of them below go.
 MIN_ESTIMATE = 0.75 - 5 * 0.04
-#: A block of a group holds about this many shingles.
+#: A block of a group holds about this many shingles; a document counts as LEAST_SHINGLES at least, so
+#: a block of short ones is bounded too.
 BLOCK_SHINGLES = 100_000
+LEAST_SHINGLES = 100
 #: Shingles (columns) in one matrix product.
 COLUMNS = 4096
 #: Shingles hashed at a time, small enough for the processor's cache.
@@ -241,7 +243,8 @@ def cross_links(multi: DataFrame, hubs: DataFrame, comps: DataFrame, sizes: Data
     nodes = (rows.select("rep", "root").distinct()
              .join(groups.select(F.col("node").alias("rep"), F.col("root").alias("grp")), "rep").join(sizes, "rep"))
     nodes = stored(nodes.select("grp", "rep", "root", "n_shingles"), "group-nodes")
-    parts = nodes.groupBy("grp", "root").agg(F.sum("n_shingles").alias("w"))
+    parts = nodes.groupBy("grp", "root").agg(
+        F.sum(F.greatest("n_shingles", F.lit(LEAST_SHINGLES))).alias("w"))
     main = parts.groupBy("grp").agg(F.max(F.struct("w", "root")).alias("m"), F.sum("w").alias("all"))
     blocks = main.select(
         "grp", F.col("m.root").alias("main"),

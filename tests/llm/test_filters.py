@@ -116,7 +116,7 @@ def test_licence_units_and_odd_rows(make, odd, none):
     mit = dict(licenses.TEMPLATES)["MIT"]
     half = len(mit.split()) // 2
     wrapped = " ".join(f"intro{k}" for k in range(200)) + "\n\n" + " ".join(mit.split()[:half]) + "\n" + " ".join(mit.split()[half:]) + "\n\nbye"
-    out = {r["doc_id"]: r["matches"] for r in licenses.scan(make([(1, wrapped), (2, "x\nReleased under the MIT License.\ny")])).collect()}
+    out = {r["doc_id"]: r["matches"] for r in licenses.scan(make([(1, wrapped), (2, "some words before it\nReleased under the MIT License.\nsome words after it")])).collect()}
     assert [(m["license"], m["first_line"], m["n_lines"]) for m in out[1]] == [("MIT", 2, 2)]
     assert [(m["license"], m["first_line"], m["n_lines"], m["score"]) for m in out[2]] == [("MIT", 1, 1, 1.0)]
     assert all(r["matches"] == [] for r in licenses.scan(odd).collect()) and licenses.scan(odd).count() == odd.count()
