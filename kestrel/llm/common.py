@@ -15,8 +15,8 @@ from kestrel.session import scratch_path
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Rows and bytes in one Arrow batch sent to a Python worker: bounds its memory.
-BATCH_ROWS = 4000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1500
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

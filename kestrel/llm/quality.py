@@ -31,7 +31,7 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 
 #: Bounded sample of labelled good rows that the trees are drawn from.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 5_000
 TREES = 100
 ROWS_PER_TREE = 256
 MAX_DEPTH = 20
