@@ -310,9 +310,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, columns as they came; of rows that repeat a kept id, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept").dropDuplicates(["doc_id"])
+    """One document of each group, columns as they came; a row without an id is a group of its own.
+
+    Of rows that repeat a kept id one stays, whatever their texts (an id is one node): the one whose text, then
+    whose other columns, hash lowest, so a rerun keeps the same.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    one = (named.join(kept, named["doc_id"] == kept["_kept"]).groupBy("_kept")
+           .agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*"))
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

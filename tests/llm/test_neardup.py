@@ -84,6 +84,16 @@ def test_keep_one_leaves_one_row_a_group(odd):
     assert sorted(ids, key=str) == sorted([1, 2, 3, None, 4, 5, 6, 7], key=str)
 
 
+def test_keep_one_keeps_every_row_without_an_id(make):
+    a, b = " ".join(map(str, range(40))), " ".join(map(str, range(100, 140)))
+    rows = [(None, a), (None, b), (None, b), (1, a), (2, "short"), (2, "other text"), (2, None)]
+    kept = [sorted(((r["doc_id"], r["text"]) for r in N.keep_one(make(x).repartition(n)).collect()), key=str)
+            for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert [t for i, t in kept[0] if i is None] == [a, b, b]
+    assert sorted(i for i, _ in kept[0] if i is not None) == [1, 2]
+    assert kept[0] == kept[1]  # the same row of a repeated id in any order of the input
+
+
 def test_an_id_with_several_texts_is_one_node(make):
     a, b = " ".join(map(str, range(40))), " ".join(map(str, range(100, 140)))
     out = {(r["doc_id"], r["component_id"]) for r in N.near_duplicates(make([(3, a), (3, b), (1, a), (9, b)])).collect()}
