@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney models over the letters of words.
+"""Toxicity by class-conditional Kneser-Ney models over the letters of words, and by whole words.
 
 Both classes have a model that predicts each letter of a word from the letters before it, back to
 the word's start (at most ORDER - 1).  A class's own counts stand at the longest context only, discounted;
@@ -6,8 +6,13 @@ what the discount frees goes to shorter contexts, whose Kneser-Ney continuation
 letters an expression was seen to follow) are shared by both classes.  So an expression that is rare in
 either class is judged by the same counts in both and tells nothing, while frequent toxic ones stand out.  A
 document's log-likelihood difference is divided by its length in words (plus PRIOR_WORDS, which holds back
-texts of a few words), and mapped to 0..1 by a logistic curve fitted on a part of the learning rows that the
-counts did not see.
+texts of a few words).
+
+Whole words are counted too, each by itself: the number of documents of each class that hold it.  A word whose
+counts differ between the classes by more than chance (a likelihood ratio of at least MIN_G) adds its log ratio
+once to a document that holds it, whatever the document's length.  These words are a table that meets the
+documents' words by an equi-join.  Both sums are mapped to 0..1 by a logistic curve fitted on a part of the
+learning rows that the counts did not see.
 
 Defined cases: a null or empty text has no words and scores what the curve gives at zero; without
 learning rows of both classes every score is 0.5; a document labelled twice is learned twice; a null
@@ -39,8 +44,11 @@ CELLS = 1 << 20
 HELD_OUT_MOD, HELD_OUT = 3, 1
 #: A fifth of the learning rows is kept from the counts, for the logistic curve.
 CURVE_MOD, CURVE = 5, 0
-#: The curve is fitted on a histogram of the scores with this many steps to a unit.
+#: The curve is fitted on a histogram of the scores with this many steps to a unit (of letters, of words).
 GRID = 200
+WORD_GRID = 2
+#: 16 is exceeded by chance by one word in 16,000.
+MIN_G = 16.0
 MAX_SCORE = 50.0
 THRESHOLD = 0.7
 
@@ -151,8 +159,24 @@ class Model:
         return np.array(out).reshape(-1, 1)
 
 
-def differences(docs: DataFrame, tables) -> DataFrame:
-    """Add x, the length-normalised log-likelihood difference, in place of the text."""
+def word_weights(words: DataFrame, n0: int, n1: int) -> DataFrame:
+    """(word, weight): log ratios of the words whose document counts differ between the classes by more than chance.
+
+    ``words``: rows of ``word_counts`` over ``n0`` ordinary and ``n1`` toxic documents.
+    """
+    share = (F.col("ordinary") + F.col("toxic")) / (n0 + n1)
+
+    def part(k: Column, n: int) -> Column:
+        # a word's documents and those without it
+        return (F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+                + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0))
+    g = 2 * (part(F.col("ordinary"), n0) + part(F.col("toxic"), n1))
+    ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("ordinary") + 0.5) / (n0 + 1))
+    return words.where(g >= MIN_G).select("word", ratio.alias("weight"))
+
+
+def differences(docs: DataFrame, tables, weights: DataFrame) -> DataFrame:
+    """Add x, the length-normalised log-likelihood difference, and y, the sum of the words' weights, in place of the text."""
     state: dict[str, WordValues] = {}
     at, names = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
@@ -163,26 +187,37 @@ def differences(docs: DataFrame, tables) -> DataFrame:
         empty = np.array([w == "" for w in words], bool)
         n = text_sums((~empty).astype(float).reshape(-1, 1), index, bounds)[:, 0]
         x = text_sums(state["values"](words), index, bounds)[:, 0] / (n + PRIOR_WORDS)
-        return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(x)],
-                                          names=[*names, "x"])
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        doc, held = np.divmod(np.unique(doc * max(1, len(words)) + index), max(1, len(words)))
+        places = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+        held = pa.ListArray.from_arrays(pa.array(places), pa.array(words, pa.string()).take(pa.array(held)))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(x), held], names=[*names, "x", "words"])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return per_batch(docs, run, fields + ", x double")
+    rows = per_batch(docs, run, fields + ", x double, words array<string>").withColumn("_row", F.monotonically_increasing_id())
+    held = rows.select("_row", *names, "x", F.explode_outer("words").alias("word")).join(weights, "word", "left")
+    return (held.groupBy("_row", *names, "x").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("y")).drop("_row"))
+
 
+def fit_curve(x: np.ndarray, y: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic (slope of x, slope of y, offset) by Newton steps on histogram counts, with a small ridge."""
+    at, n = np.stack([x, y, np.ones_like(x)]), ordinary + toxic
 
-def fit_curve(x: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic (slope, offset) by Newton steps on histogram counts, with a small ridge."""
-    a, b = 1.0, 0.0
+    def loss(c: np.ndarray) -> float:
+        z = c @ at
+        return float((n * np.logaddexp(0, z) - toxic * z).sum() + 5e-4 * c @ c)
+    c = np.zeros(3)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        n = ordinary + toxic
-        g = np.array([((toxic - n * p) * x).sum() - 1e-3 * a, (toxic - n * p).sum() - 1e-3 * b])
-        w = n * p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(step[0], -20, 20)), b + float(np.clip(step[1], -5, 5))
+        p = 1 / (1 + np.exp(-np.clip(c @ at, -30, 30)))
+        g = at @ (toxic - n * p) - 1e-3 * c
+        step = np.linalg.solve((at * (n * p * (1 - p))) @ at.T + 1e-3 * np.eye(3), g)
+        # a full step can overshoot where the curve is flat
+        while loss(c + step) > loss(c) and np.abs(step).max() >= 1e-9:
+            step = step / 2
+        c = c + step
         if np.abs(step).max() < 1e-9:
             break
-    return a, b
+    return c
 
 
 def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -190,23 +225,27 @@ def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rows = stored(labelled.where("toxic IN (0, 1)").select("doc_id", "text", "toxic"), "labelled")
     for_curve = F.coalesce(crc32_mod("doc_id", CURVE_MOD) == CURVE, F.lit(False))
-    words = stored(word_counts(rows.where(~for_curve)), "words")
+    learning = rows.where(~for_curve)
+    words = stored(word_counts(learning), "words")
     seen = words.agg(F.sum("ordinary"), F.sum("toxic")).first()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not seen[0] or not seen[1]:
         return plain.select("doc_id", F.lit(0.5).alias("score"))
     tables = sc.broadcast(count_tables(words))
-    step = F.round(F.col("x") * GRID).cast("int")
-    hist = (differences(rows.where(for_curve).select("toxic", "text"), tables)
-            .withColumn("x", F.least(F.greatest("x", F.lit(-MAX_SCORE)), F.lit(MAX_SCORE)))
-            .groupBy(step.alias("step")).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+    sizes = learning.agg(F.sum((F.col("toxic") == 0).cast("long")).alias("n0"), F.sum((F.col("toxic") == 1).cast("long")).alias("n1")).first()
+    weights = stored(word_weights(words, *sizes), "weights")
+    step = {c: F.round(F.least(F.greatest(c, F.lit(-MAX_SCORE)), F.lit(MAX_SCORE)) * n).cast("int").alias(c)
+            for c, n in (("x", GRID), ("y", WORD_GRID))}
+    hist = (differences(rows.where(for_curve).select("toxic", "text"), tables, weights)
+            .groupBy(*step.values()).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
             .toPandas())
     if hist["toxic"].sum() == 0 or hist["ordinary"].sum() == 0:
-        slope, offset = 1.0, 0.0
+        of_x, of_y, offset = 1.0, 1.0, 0.0
     else:
-        slope, offset = fit_curve(hist["step"].to_numpy() / GRID, *(hist[c].to_numpy(float) for c in ("ordinary", "toxic")))
-    z = F.col("x") * F.lit(slope) + F.lit(offset)
-    return differences(plain, tables).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+        of_x, of_y, offset = map(float, fit_curve(hist["x"].to_numpy() / GRID, hist["y"].to_numpy() / WORD_GRID,
+                                                  *(hist[c].to_numpy(float) for c in ("ordinary", "toxic"))))
+    z = F.col("x") * F.lit(of_x) + F.col("y") * F.lit(of_y) + F.lit(offset)
+    return differences(plain, tables, weights).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

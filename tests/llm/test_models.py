@@ -105,6 +105,14 @@ def test_held_out_toxicity(spark):
     assert held[held.toxic == 1].predicted.mean() > 0.3
 
 
+def test_held_out_toxicity_by_whole_words(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = X.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").toPandas()
+    found = held[held.predicted == 1]
+    print("recall", held[held.toxic == 1].predicted.mean(), "precision", found.toxic.mean(), "false", (found.toxic == 0).sum())
+    assert found.toxic.mean() > 0.95 and held[held.toxic == 1].predicted.mean() > 0.8
+
+
 def test_toxicity_odd_rows(make, odd, none):
     rows = [(k, "you idiot clown" if k % 2 else "the quiet house and the tree", k % 2) for k in range(60)]
     labelled = make(rows, "doc_id long, text string, toxic int")
