@@ -112,6 +112,21 @@ def test_pruned_scan_equals_full_scan(spark):
             assert m.best(w) == ((-min(full)[0], min(full)[1]) if full else None)
 
 
+def test_licences_embedded_in_other_text():
+    m, by = licenses.Matcher(), {}
+    for name, text in licenses.TEMPLATES:
+        by[name] = text
+        words, k = text.split(), len(text.split()) // 2
+        noise = " ".join(f"noise{j}" for j in range(33))
+        for t in (f"{noise} {text} {noise}", f"# {noise}\n# {' '.join(words[:k])}\n#\n# {' '.join(words[k:])}\n# {noise}"):
+            assert {x[0] for x in m.scan(t)} == {name}, (name, m.scan(t))
+            assert max(r[0] for r in m.runs(licenses.normal_words(t))) == 1.0
+    assert m.scan("The code samples in this chapter are released under the MIT License.") == [("MIT", 1.0, 0, 1)]
+    two = f"intro {by['GPL-3.0']} and {by['BSD-2-Clause'].replace('retain', 'keep')} end"
+    assert {x[0] for x in m.scan(two)} == {"GPL-3.0", "BSD-2-Clause"}
+    assert m.scan("the license of the software is not named in this text " * 50) == []
+
+
 def test_licence_units_and_odd_rows(make, odd, none):
     mit = dict(licenses.TEMPLATES)["MIT"]
     half = len(mit.split()) // 2
