@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kestrel.llm import (
+    compression,
     decontaminate,
     language,
     licenses,
@@ -10,9 +11,11 @@ from kestrel.llm import (
     mixing,
     neardup,
     quality,
+    ruleset,
     tokens,
     toxicity,
     urls,
+    whitening,
 )
 
 QUERIES = {
@@ -26,4 +29,7 @@ QUERIES = {
     "op8_quality": (quality.op8_quality, None),
     "op9_toxicity": (toxicity.op9_toxicity, None),
     "op10_mix": (mixing.op10_mix, mixing.OP10_SQL),
+    "op11_ruleset": (ruleset.op11_ruleset, None),
+    "op12_compression": (compression.op12_compression, compression.OP12_SQL),
+    "op13_whitening": (whitening.op13_whitening, None),
 }
