@@ -5,8 +5,10 @@
 * :func:`train_batches` — V2 jobs (M4-M6, M7, T7): one update per micro-batch key
   (e.g. the day of ``ts``), optionally several sources per batch in rank order.
 
-Both run one distributed aggregation (sums of products per window) and fold the
-summaries on the driver; the weights go to the model table.
+Both run one distributed aggregation (sums of products per window).  Count windows are then folded on the
+executors (``operators.relay``) and their weights written from there; where a window has fewer rows than
+dimensions its rows are smaller than its sums, and it is folded from the rows.  Micro-batches, one
+update each, are folded on the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from kestrel.operators.fold import fold_grams, fold_sampled_grams
 from kestrel.operators.gram import gram, sampled_gram
 from kestrel.operators.ordinal import count_windows
+from kestrel.operators.relay import fold_points, fold_sums
 from kestrel.operators.rules import SGD
 from kestrel.session import scratch_path
 from kestrel.streaming.modelstore import ModelStore
@@ -45,9 +48,13 @@ def train_count_windows(points: DataFrame, rule, dim: int, window: int,
     spark = points.sparkSession
     store = _store(spark, store, model_id)
     w0 = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
-    g = window_grams(points, dim, window, order_col, dense)
-    store.write_training(w0, ((int(block), [block], n, (int(block) + 1) * window, w)
-                              for block, n, w in fold_grams(g, rule, w0, "block")))
+    n_windows = points.count() // window
+    if window < dim:
+        closed = count_windows(points, order_col, window, dense=dense).filter(F.col("closed"))
+        folded = fold_points(closed, w0, rule, dim, window, n_windows)
+    else:
+        folded = fold_sums(window_grams(points, dim, window, order_col, dense), w0, rule, dim, n_windows)
+    store.write_folded(w0, folded, window)
     return store
 
 

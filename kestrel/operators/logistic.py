@@ -1,120 +1,37 @@
 """Online logistic regression over count windows (M3).
 
-The logistic gradient is not quadratic, so a window cannot be summarised by a
-Gram; each of its T iterations needs the window's rows.  Windows also depend on
-each other (warm start), so the data must be visited in order.  Plan:
-
-1. count windows (distributed ordinal), closed windows only;
-2. one partitioned write stages the rows in the shared checkpoint folder by chunk, a
-   run of whole windows of at most ``rows_per_task`` rows (cuts lineage; survives
-   executor loss; removed at the end);
-3. for each chunk in order, one job reads only that chunk's folder (partition
-   pruning) and folds its windows in a single group with the incoming weights; only
-   weights (d numbers per window) come back, and go to the model table as they come.
-
-A window of more than ``rows_per_task`` rows never meets in one task: every iteration is
-a distributed sum of ``x * scale`` over its rows.  Jobs = windows / windows a chunk, or
-windows x iterations for such large windows.
+The logistic gradient is not quadratic, so a window cannot be summarised by sums of products; each of its T
+iterations needs the window's rows.  Closed windows go through ``operators.relay``: they are folded on the executors in one
+job, and only weights leave it.  A window of more than ``rows_per_task`` rows never meets in one task; each of its iterations is
+a distributed sum.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.linalg import dot
 from kestrel.operators.ordinal import count_windows
+from kestrel.operators.relay import ROWS_PER_TASK, fold_points
 from kestrel.operators.rules import LogisticGD
-from kestrel.session import remove_scratch, scratch_path
+from kestrel.session import scratch_path
 from kestrel.streaming.modelstore import ModelStore
 
-#: Rows that one task folds at most.
-ROWS_PER_TASK = 100_000
-
-
-def _chunk_folder(rule: LogisticGD, w_in, dim: int):
-    w_start = np.asarray(w_in, dtype=float)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "ordinal"])
-        w = w_start
-        out_b, out_n, out_w = [], [], []
-        for block, grp in pdf.groupby("block", sort=True):
-            X = np.stack(grp["x"].to_numpy()).reshape(len(grp), dim)
-            y = grp["y"].to_numpy(dtype=float)
-            w = rule.apply_rows(w, X, y)
-            out_b.append(int(block))
-            out_n.append(len(grp))
-            out_w.append([float(v) for v in w])
-        return pd.DataFrame({"block": out_b, "n": out_n, "weights": out_w})
-
-    return fold
-
-
-def _distributed_window(rows: DataFrame, rule: LogisticGD, dim: int, w) -> tuple[int, np.ndarray]:
-    """One window by distributed gradient sums: (rows, weights)."""
-    rows = rows.select("x", "y").persist()
-    n = 0
-    for _ in range(rule.iterations):
-        score = dot(F.col("x"), F.lit([float(v) for v in w]))
-        scale = (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("y") * score)) - F.lit(1.0)) * F.col("y")
-        sums = rows.withColumn("_s", scale).agg(
-            F.count(F.lit(1)), *[F.sum(F.col("x")[i] * F.col("_s")) for i in range(dim)]).first()
-        n = int(sums[0])
-        w, moved = rule.step_along(w, np.array(sums[1:], dtype=float) / n)
-        if not moved:
-            break
-    rows.unpersist()
-    return n, w
-
-
-def fold_closed_windows(closed: DataFrame, rule: LogisticGD, dim: int, window: int, w,
-                        rows_per_task: int = ROWS_PER_TASK) -> Iterator[tuple]:
-    """Fold closed windows (block, ordinal, x, y) in block order; yields ``(block, n, weights)``."""
-    spark = closed.sparkSession
-    per_chunk = max(1, rows_per_task // window)
-    stage = scratch_path(spark, "logistic-stage")
-    chunked = closed.select((F.col("block") / F.lit(per_chunk)).cast("long").alias("chunk"),
-                            "block", "ordinal", "x", "y")
-    # every task writes the rows it holds: a chunk is read by one task, never shuffled into one
-    chunked.write.partitionBy("chunk").parquet(stage)
-    staged = spark.read.schema(chunked.schema).parquet(stage)
-    try:
-        low, high = staged.agg(F.min("chunk"), F.max("chunk")).first()
-        w = np.asarray(w, dtype=float)
-        for ch in range(low, high + 1) if low is not None else ():
-            part = staged.filter(F.col("chunk") == ch).select("chunk", "block", "ordinal", "x", "y")
-            if window > rows_per_task:
-                n, w = _distributed_window(part, rule, dim, w)
-                yield ch, n, w
-                continue
-            res = (part.groupBy("chunk")
-                   .applyInPandas(_chunk_folder(rule, w, dim),
-                                  "block long, n long, weights array<double>")
-                   .collect())
-            for r in sorted(res, key=lambda r: r["block"]):
-                w = np.asarray(r["weights"], dtype=float)
-                yield r["block"], r["n"], w
-    finally:
-        remove_scratch(spark, stage)
-
 
 def train_logistic_windows(points: DataFrame, dim: int, window: int,
                            rule: LogisticGD | None = None, order_col="seq", w0=None,
                            rows_per_task: int = ROWS_PER_TASK, dense: bool = False,
                            store: ModelStore | None = None,
                            model_id: str | None = None) -> ModelStore:
+    """Version k is the model after closed window k (version -1 = ``w0``)."""
     spark = points.sparkSession
     rule = rule or LogisticGD()
     store = store or ModelStore(spark, scratch_path(spark, "models"), model_id or uuid.uuid4().hex)
     w = np.zeros(dim) if w0 is None else np.asarray(w0, dtype=float)
-    framed = count_windows(points, order_col, window, dense=dense)
-    folded = fold_closed_windows(framed.filter(F.col("closed")), rule, dim, window, w,
-                                 rows_per_task)
-    store.write_training(w, ((b, [b], n, (b + 1) * window, wt) for b, n, wt in folded))
+    framed = count_windows(points, order_col, window, dense=dense).filter(F.col("closed"))
+    store.write_folded(w, fold_points(framed, w, rule, dim, window, points.count() // window,
+                                      rows_per_task=rows_per_task), window)
     return store

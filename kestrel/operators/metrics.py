@@ -30,58 +30,120 @@ def summary_line(row, name: str = "Initial") -> str:
                                  n_items=row["n_items"])
 
 
+def _errors_full(rows, truth, weights, max_cells: int):
+    """(errors per version, cells scored) of a block of hold-out rows, by matrix products."""
+    import numpy as np
+    miss, tile = np.zeros(len(weights), dtype=np.int64), max(1, max_cells // len(rows))
+    for k in range(0, len(weights), tile):
+        pred = np.where(rows @ weights[k:k + tile].T > 0, 1.0, -1.0)
+        miss[k:k + tile] += (pred != truth[:, None]).sum(axis=0)
+    return miss, len(rows) * len(weights)
+
+
+def _errors_pruned(rows, truth, weights, max_cells: int):
+    """The same counts, scoring fewer cells.
+
+    A row whose margin at one version exceeds how far the weights move in a range of versions, times the row's
+    length, keeps its decision over that range.  Ranges are halved, and only the rows near the plane are scored
+    again in each half.  Rounding is allowed for, so counts are exact.
+    """
+    import numpy as np
+    norms = np.linalg.norm(rows, axis=1)
+    slack = 1e-12 * (np.linalg.norm(weights, axis=1).max() + 1e-300) * norms
+    miss, cells = np.zeros(len(weights), dtype=np.int64), len(rows)
+    todo = [(0, len(weights), np.arange(len(rows)), rows @ weights[0])]
+    while todo:
+        low, high, own, score = todo.pop()
+        wrong = np.where(score > 0, 1.0, -1.0) != truth[own]
+        drift = np.linalg.norm(weights[low:high] - weights[low], axis=1).max()
+        sure = np.abs(score) > drift * (1 + 1e-9) * norms[own] + slack[own]
+        if high - low == 1:
+            sure = np.ones(len(own), dtype=bool)
+        miss[low:high] += int(wrong[sure].sum())
+        own, score = own[~sure], score[~sure]
+        if len(own):
+            mid = (low + high) // 2
+            todo.append((low, mid, own, score))
+            todo.append((mid, high, own, rows[own] @ weights[mid]))
+            cells += len(own)
+    return miss, cells
+
+
 def error_trace(holdout: DataFrame, versions: DataFrame, x: str = "x", y: str = "y",
-                max_weights: int = 1_000_000, max_cells: int = 2_000_000, digits: int = 6) -> DataFrame:
+                max_weights: int = 1_000_000, max_cells: int = 2_000_000, digits: int = 6,
+                pruned: bool = False) -> DataFrame:
     """Misclassification rate of each model version on a fixed hold-out.
 
     ``versions`` is a table (version, weights) of any length.  Its versions are taken in ranges
-    of at most ``max_weights`` numbers; a range's weight matrix is what the driver holds and
+    of at most ``max_weights`` numbers, stored in a folder each; a range's weight matrix is what the driver holds and
     broadcasts at one time.  Each hold-out partition scores a range with matrix
     products of at most ``max_cells`` cells (rows x versions) and sends one partial error count per
-    version, which Spark adds up.  The work is versions x hold-out rows by its nature;
-    the hold-out is read once and kept, and results of a range are stored before the next.
+    version, which Spark adds up.  The hold-out is read once and kept, and results of a range are stored before the
+    next.  The work is versions x hold-out rows; with ``pruned``, rows whose decision cannot
+    change over a range of versions are not scored again there, and the column ``scored`` tells how many cells were.
     """
     import numpy as np
     import pandas as pd
 
-    from kestrel.session import scratch_path
+    from kestrel.session import remove_scratch, scratch_path
 
     spark = holdout.sparkSession
-    schema = "version long, n_test long, n_err long, error_rate double"
+    schema = "version long, n_test long, n_err long, error_rate double, scored long"
+    out_cols = ["version", "n_test", "n_err", "error_rate"] + (["scored"] if pruned else [])
     low, high, dim = versions.agg(F.min("version"), F.max("version"), F.max(F.size("weights"))).first()
     if low is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).select(*out_cols)
     per_range = max(1, max_weights // max(dim, 1))
+    stage = scratch_path(spark, "trace-versions")
+    (versions.select("version", "weights", F.floor((F.col("version") - low) / per_range).cast("long").alias("_range"))
+     .write.partitionBy("_range").parquet(stage))
+    staged = spark.read.parquet(stage)
     hold = holdout.select(x, y).persist()
     out = scratch_path(spark, "error-trace")
-    for first in range(low, high + 1, per_range):
-        own = (versions.filter((F.col("version") >= first) & (F.col("version") < first + per_range))
-               .select("version", "weights").orderBy("version").toPandas())
+    count = _errors_pruned if pruned else _errors_full
+    for k in range((high - low) // per_range + 1):
+        own = staged.filter(F.col("_range") == k).select("version", "weights").orderBy("version").toPandas()
         if own.empty:
             continue
         shared = spark.sparkContext.broadcast((own["version"].to_numpy(), np.stack(own["weights"].to_numpy())))
 
         def score(batches, shared=shared):
             ids, weights = shared.value
-            miss, n = np.zeros(len(ids), dtype=np.int64), 0
+            miss, n, cells = np.zeros(len(ids), dtype=np.int64), 0, 0
             for pdf in batches:
                 if pdf.empty:
                     continue
-                rows, truth = np.stack(pdf[x].to_numpy()), pdf[y].to_numpy(dtype=float)
-                tile = max(1, max_cells // len(rows))
-                for k in range(0, len(ids), tile):
-                    pred = np.where(rows @ weights[k:k + tile].T > 0, 1.0, -1.0)
-                    miss[k:k + tile] += (pred != truth[:, None]).sum(axis=0)
-                n += len(pdf)
-            yield pd.DataFrame({"version": ids, "n_err": miss, "n_test": np.full(len(ids), n)})
-
-        (hold.mapInPandas(score, "version long, n_err long, n_test long").groupBy("version")
-         .agg(F.sum("n_test").alias("n_test"), F.sum("n_err").alias("n_err"))
-         .select("version", "n_test", "n_err", F.round(F.col("n_err") / F.col("n_test"), digits).alias("error_rate"))
+                found, scored = count(np.stack(pdf[x].to_numpy()), pdf[y].to_numpy(dtype=float), weights, max_cells)
+                miss, n, cells = miss + found, n + len(pdf), cells + scored
+            # a task's cells go with its first version
+            yield pd.DataFrame({"version": ids, "n_err": miss, "n_test": np.full(len(ids), n),
+                                "scored": np.r_[cells, np.zeros(len(ids) - 1, dtype=np.int64)]})
+
+        (hold.mapInPandas(score, "version long, n_err long, n_test long, scored long").groupBy("version")
+         .agg(F.sum("n_test").alias("n_test"), F.sum("n_err").alias("n_err"), F.sum("scored").alias("scored"))
+         .select("version", "n_test", "n_err", F.round(F.col("n_err") / F.col("n_test"), digits).alias("error_rate"),
+                 "scored")
          .write.mode("append").parquet(out))
         shared.unpersist()
     hold.unpersist()
-    return spark.read.schema(schema).parquet(out)
+    remove_scratch(spark, stage)
+    return spark.read.schema(schema).parquet(out).select(*out_cols)
+
+
+def distinct_growth(rows: DataFrame, interval: str, keys: list[str]) -> DataFrame:
+    """T10 with C2 / C3: per interval, and so far, how many values of each key were seen for the first time.
+
+    A value counts in its first interval (a minimum per value, combined before the shuffle), so cumulative
+    distinct counts are running totals over intervals and exact; no set of values is carried along.
+    """
+    out = rows.select(interval).distinct()
+    for key in keys:
+        first = rows.groupBy(key).agg(F.min(interval).alias(interval))
+        out = out.join(first.groupBy(interval).agg(F.count(F.lit(1)).alias(f"new_{key}s")), interval, "left").fillna(
+            0, [f"new_{key}s"])
+    for key in keys:
+        out = running_total(out, interval, f"new_{key}s", f"total_{key}s")
+    return out
 
 
 def running_total(per_interval: DataFrame, interval: str, count_col: str,

@@ -1,9 +1,8 @@
-"""Update rules: one window / micro-batch of sufficient statistics -> new weights.
+"""Update rules: one window / micro-batch -> new weights.
 
-These are the only sequential step of online training.  They touch
-``O(d^2)`` numbers per window (never rows), so they run on the driver while the
-data-sized work (sums of products) stays distributed.  One generic trainer
-takes any rule (the extension point of the reference's model/algorithm pair).
+These are the only sequential step of online training.  ``apply`` folds a window from its sums of products
+(``O(d^2)`` numbers), ``apply_rows`` from its rows; ``operators.relay`` runs count windows through them on the
+executors.  One generic trainer takes any rule (the extension point of the reference's model/algorithm pair).
 """
 
 from __future__ import annotations
@@ -12,6 +11,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from kestrel.functions.linalg import dot
 
 # Defaults of the reference's count-window jobs and streaming SGD.
 V1_STEP = 0.1
@@ -85,6 +88,38 @@ class NormalizedGD:
             w = w - (g / nrm) * step
         return w
 
+    def apply_rows(self, w, X: np.ndarray, y: np.ndarray):
+        """Fold one window from its rows (fewer rows than dimensions): no sums of products are formed.
+
+        Without a penalty or with l2, the weights stay ``a * w + X' b``; an iteration moves the scalar
+        ``a`` and the vector ``b`` by inner products of the rows with each other (rows x rows) and with ``w``.
+        The Huber penalty leaves that space, so its gradient is taken from the rows.
+        """
+        w = np.array(w, dtype=float)
+        n = float(len(y))
+        if self.penalty == "huber":
+            for _ in range(self.iterations):
+                pen = np.where(w > self.epsilon, 1.0, np.where(w < -self.epsilon, -1.0, w / self.epsilon))
+                g = X.T @ (X @ w - y) / n + self.reg * pen
+                nrm = math.sqrt(float(g @ g))
+                if nrm == 0.0:
+                    break
+                w = w - (g / nrm) * self.step
+            return w
+        reg = self.reg if self.penalty == "l2" else 0.0
+        inner, along, own = X @ X.T, X @ w, float(w @ w)
+        a, b = 1.0, np.zeros(len(y))
+        for _ in range(self.iterations):
+            # gradient = reg * a * w + X' beta
+            shadow = inner @ b
+            beta = (a * along + shadow - y) / n + reg * b
+            square = (reg * a) ** 2 * own + 2.0 * reg * a * float(along @ beta) + float(beta @ (inner @ beta))
+            if square <= 0.0:
+                break
+            length = self.step / math.sqrt(square)
+            a, b = a - length * reg * a, b - length * beta
+        return a * w + X.T @ b
+
 
 @dataclass(frozen=True)
 class SGD:
@@ -151,6 +186,11 @@ class LogisticGD:
         nrm = math.sqrt(float(g @ g))
         return (w, False) if nrm == 0.0 else (w - (g / nrm) * self.step, True)
 
+    def gradient_scale(self, w, x: Column, y: Column) -> Column:
+        """What a row's x is multiplied by in the data gradient, as a column."""
+        score = dot(x, F.lit([float(v) for v in w]))
+        return (F.lit(1.0) / (F.lit(1.0) + F.exp(-y * score)) - F.lit(1.0)) * y
+
     def apply_rows(self, w, X: np.ndarray, y: np.ndarray):
         w = np.array(w, dtype=float)
         n = float(len(y))

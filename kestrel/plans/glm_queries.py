@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.functions.linalg import dot
+from kestrel.operators.asof import last_at
 from kestrel.operators.glm import train_batches, train_count_windows, weights_long, window_grams
 from kestrel.operators.gram import gram_long
 from kestrel.operators.logistic import train_logistic_windows
@@ -71,6 +73,15 @@ def ridge_holdout_trace_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_trace(pts.filter(F.col("holdout")), _trained(store).select("version", "weights"))
 
 
+def ridge_holdout_trace_pruned_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trace, scoring only rows near the plane again; ``fewer``: less than versions x rows cells were scored."""
+    pts = events_points(spark, sf_dir)
+    store = train_count_windows(pts.filter(~F.col("holdout")), _ridge(), P.POINTS_DIM, P.WINDOW)
+    trace = error_trace(pts.filter(F.col("holdout")), _trained(store).select("version", "weights"), pruned=True)
+    cells = trace.agg((F.sum("scored") < F.sum("n_test")).alias("fewer"))
+    return trace.drop("scored").crossJoin(F.broadcast(cells))
+
+
 def latest_model_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = train_count_windows(_train_points(spark, sf_dir), _ridge(), P.POINTS_DIM, P.WINDOW)
     return weights_long(store.latest())
@@ -82,6 +93,14 @@ def online_logistic_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights_long(_trained(store))
 
 
+def online_logistic_shared_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 with windows that no single task holds: every iteration is a distributed sum."""
+    rule = LogisticGD(step=P.STEP, iterations=P.ITERATIONS, reg=P.LOGISTIC_REG)
+    store = train_logistic_windows(_train_points(spark, sf_dir), P.POINTS_DIM, P.LARGE_WINDOW, rule,
+                                   rows_per_task=P.LARGE_SHARE)
+    return weights_long(_trained(store))
+
+
 def _wide_store(spark, sf_dir):
     return train_count_windows(embedding_points(spark, sf_dir), _ridge(), P.WIDE_DIM, P.WINDOW)
 
@@ -96,6 +115,28 @@ def model_preview_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights_long(latest.select("version", F.slice("weights", 1, 100).alias("weights")))
 
 
+def model_preview_cut_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 with more than 100 weights: the newest model over the embeddings and their squares, cut."""
+    pts = embedding_points(spark, sf_dir)
+    both = F.concat(F.slice("x", 1, P.WIDE_DIM - 1), F.transform(F.slice("x", 1, P.WIDE_DIM - 1), lambda v: v * v),
+                    F.array(F.lit(1.0)))
+    store = train_count_windows(pts.withColumn("x", both), _ridge(), 2 * P.WIDE_DIM - 1, P.WINDOW)
+    return weights_long(store.latest().select("version", F.slice("weights", 1, 100).alias("weights")))
+
+
+def predict_other_stream_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: models trained on one half of the events score the other half, each row by the last model
+    whose window had ended at the row's time."""
+    pts = events_points(spark, sf_dir)
+    train = pts.where("seq % 2 = 0")
+    ended = (count_windows(train, "seq", P.WINDOW).where("closed").groupBy(F.col("block").alias("version"))
+             .agg(F.max("ts").alias("ended")))
+    versions = _trained(train_count_windows(train, _ridge(), P.POINTS_DIM, P.WINDOW)).select("version", "weights")
+    scored = last_at(pts.where("seq % 2 = 1").select("seq", "ts", "x"), "ts", versions.join(ended, "version"), "ended")
+    return scored.where("version IS NOT NULL").select(
+        "seq", "version", F.round(dot("x", "weights"), 6).alias("prediction"))
+
+
 # ---- V2: one update per day of ts (micro-batch stand-in) ----------------------
 
 def _sgd(updater: str, reg: float = 0.0, fraction: float = 1.0) -> SGD:

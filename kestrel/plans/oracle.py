@@ -185,11 +185,39 @@ SELECT version, count(*) AS n_test, sum(miss)::BIGINT AS n_err,
 FROM scored GROUP BY version"""
 
 
-def online_logistic_sql() -> str:
+def ridge_holdout_trace_pruned_sql() -> str:
+    return f"SELECT *, true AS fewer FROM ({ridge_holdout_trace_sql()})"
+
+
+def model_preview_cut_sql() -> str:
+    dim = 2 * P.WIDE_DIM - 1
+    squares = EMB.replace("[1.0::DOUBLE])", "list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE), [1.0::DOUBLE])")
+    q = _v1_query(dim, "l2", P.RIDGE_REG, source="embeddings", latest=True).replace(EMB, squares)
+    return q.replace(f"unnest(generate_series(0, {dim - 1})) AS idx,\n       round(unnest(w), 6)",
+                     "unnest(generate_series(0, 99)) AS idx,\n       round(unnest(w[1:100]), 6)")
+
+
+def predict_other_stream_sql() -> str:
+    T, base = P.ITERATIONS, _v1_query(P.POINTS_DIM, "l2", P.RIDGE_REG)
+    head = base[:base.rindex("SELECT (s //")].replace("WHERE NOT holdout", "WHERE seq % 2 = 0")
+    return head + f""",
+vers AS (SELECT (s // {T} - 1)::BIGINT AS version, w FROM it WHERE s % {T} = 0 AND s > 0),
+ended AS (SELECT block AS version, max(ts) AS ended FROM win GROUP BY block),
+-- of versions that ended at one time the largest counts
+last AS (SELECT max(version)::BIGINT AS version, ended FROM ended GROUP BY ended),
+hit AS (SELECT p.seq, p.x, e.version FROM pts p ASOF JOIN last e ON p.ts >= e.ended WHERE p.seq % 2 = 1)
+SELECT hit.seq, hit.version, round(list_inner_product(hit.x, vers.w), 6) AS prediction FROM hit JOIN vers USING (version)"""
+
+
+def online_logistic_shared_sql() -> str:
+    return online_logistic_sql(P.LARGE_WINDOW)
+
+
+def online_logistic_sql(window: int = P.WINDOW) -> str:
     T, dim = P.ITERATIONS, P.POINTS_DIM
     gs = ", ".join(f"sum(x[{i}] * sc)" for i in range(1, dim + 1))
     return f"""WITH RECURSIVE {PTS},
-{_windows(P.WINDOW)},
+{_windows(window)},
 it(s, w) AS (
   SELECT 0, {_zero(dim)}
   UNION ALL
@@ -294,6 +322,34 @@ def predict_prequential_sql() -> str:
     return _predict_sql(1)
 
 
+def stream_predict_while_training_sql() -> str:
+    return f"""SELECT *, (SELECT count(*) FROM events WHERE event_id % 10 = 0) AS n_scored, 0::BIGINT AS n_wrong
+FROM ({online_ridge_sql()})"""
+
+
+def stream_metrics_sql() -> str:
+    return f"""WITH {PTS},
+p AS ({predict_prequential_sql().replace("round(list_inner_product(train.x, vers.w), 6)", "list_inner_product(train.x, vers.w)")}),
+d AS (SELECT train.day, count(*) AS n, count(*) FILTER ((CASE WHEN p.prediction > 0 THEN 1.0 ELSE -1.0 END) <> train.y) AS n_err
+      FROM train JOIN p USING (seq) GROUP BY train.day)
+SELECT (row_number() OVER (ORDER BY day) - 1)::BIGINT AS version, (sum(n) OVER (ORDER BY day))::BIGINT AS n_seen, n_err
+FROM d"""
+
+
+def stream_sampled_sources_sql() -> str:
+    T, dim = P.SGD_ITERATIONS, P.POINTS_DIM
+    return f"""WITH RECURSIVE {PTS},
+ranked AS (SELECT *, CASE WHEN hour(ts) < 12 THEN 0 ELSE 1 END AS source_rank FROM train),
+days AS MATERIALIZED (SELECT day, source_rank, (dense_rank() OVER (ORDER BY day, source_rank) - 1) AS block
+                      FROM (SELECT DISTINCT day, source_rank FROM ranked)),
+src AS (SELECT days.block, t.t, ranked.x, ranked.y
+        FROM ranked JOIN days USING (day, source_rank), generate_series(1, {T}) t(t)
+        WHERE ((ranked.seq * {P.HASH_A} + t.t * {P.HASH_B}) % {P.HASH_M}) / {P.HASH_M} < {_f(P.SAMPLE_FRACTION)}),
+g AS MATERIALIZED ({_gram_narrow(dim, 'src', 'block, t')}),
+{_v2_fold("none", 0.0, sampled=True)}
+{_weights_out(T, dim)}"""
+
+
 def multi_stream_train_sql() -> str:
     return f"""WITH RECURSIVE {PTS},
 src AS (SELECT *, CASE WHEN hour(ts) < 12 THEN 0 ELSE 1 END AS source_rank FROM train),
@@ -374,6 +430,38 @@ SELECT (SELECT count(*) FROM test) AS n_test, (SELECT count(*) FROM scored) AS n
        (SELECT count(*) FROM scored s JOIN test t ON s."user" = t."user" AND s.item = t.item) AS n_joined"""
 
 
+def als_retrain_counts_sql() -> str:
+    return f"""WITH {RATINGS},
+m AS (SELECT month, count(*) AS n_new FROM train GROUP BY month),
+fu AS (SELECT "user", min(month) AS um FROM train GROUP BY 1), fi AS (SELECT item, min(month) AS im FROM train GROUP BY 1),
+k AS (SELECT "user", item, count(*) AS k FROM test GROUP BY ALL),
+warm AS (SELECT greatest(um, im) AS month, sum(k * k) AS n FROM k JOIN fu USING ("user") JOIN fi USING (item) GROUP BY 1)
+SELECT (year(month) * 100 + month(month))::BIGINT AS interval, n_new,
+       (sum(n_new) OVER (ORDER BY month))::BIGINT AS n_total,
+       (SELECT coalesce(sum(n), 0) FROM warm WHERE warm.month <= m.month)::BIGINT AS n_joined
+FROM m"""
+
+
+def als_normal_equations_sql() -> str:
+    return f"""WITH {RATINGS} SELECT count(DISTINCT "user") AS n_users, count(DISTINCT "user") AS n_solved FROM train"""
+
+
+def ratings_growth_distinct_sql() -> str:
+    return f"""WITH {RATINGS},
+m AS (SELECT DISTINCT month FROM train),
+c AS (SELECT m.month, (SELECT count(DISTINCT "user") FROM train t WHERE t.month <= m.month) AS total_users,
+             (SELECT count(DISTINCT item) FROM train t WHERE t.month <= m.month) AS total_items FROM m)
+SELECT month, total_users - coalesce(lag(total_users) OVER (ORDER BY month), 0) AS new_users,
+       total_items - coalesce(lag(total_items) OVER (ORDER BY month), 0) AS new_items, total_users, total_items
+FROM c"""
+
+
+def history_union_sql() -> str:
+    return f"""WITH {RATINGS},
+bag AS (SELECT * FROM train UNION ALL SELECT * FROM train WHERE year(month) = {P.UNION_YEAR})
+SELECT rating, count(*) AS n_ratings, count(DISTINCT ("user", item)) AS n_pairs FROM bag GROUP BY rating"""
+
+
 # ---- text parsing -------------------------------------------------------------
 
 POINT_LINES = """lines AS (
@@ -432,3 +520,36 @@ FROM sp
 WHERE len(p) >= 3 AND regexp_matches(p[1], '^[+-]?[0-9]+$') AND regexp_matches(p[2], '^[+-]?[0-9]+$')
   AND TRY_CAST(p[1] AS INTEGER) IS NOT NULL AND TRY_CAST(p[2] AS INTEGER) IS NOT NULL
   AND TRY_CAST(p[3] AS DOUBLE) IS NOT NULL"""
+
+
+def points_arity_sql() -> str:
+    d = P.TEXT_D
+    x = ", ".join(f"CASE WHEN outcome = 'ok' THEN coalesce(TRY_CAST(p[{i + 2}] AS DOUBLE), 0.0) END AS x{i + 1}" for i in range(d))
+    return f"""WITH e AS (
+  SELECT event_id, event_id % 8 AS kind, CASE WHEN event_type = 'purchase' THEN '1' ELSE '0' END AS lbl,
+         (user_id % 10)::VARCHAR AS a, value::VARCHAR AS b FROM events),
+lines AS (
+  SELECT event_id AS seq, CASE kind WHEN 1 THEN concat_ws(',', lbl, a) WHEN 2 THEN concat_ws(',', lbl, a, b, '7.5')
+    WHEN 3 THEN concat_ws(',', lbl, a, b, '7.5', '8.5') WHEN 4 THEN concat_ws(',', 'none', a, b)
+    WHEN 5 THEN concat_ws(',', lbl, 'n/a', b) WHEN 6 THEN lbl WHEN 7 THEN NULL ELSE concat_ws(',', lbl, a, b) END AS value FROM e),
+f AS (SELECT seq, value, string_split(value, ',') AS p FROM lines),
+o AS (
+  SELECT *, CASE WHEN value IS NULL THEN 'bad_format' WHEN length(value) < {P.ARITY_LENGTH} THEN 'short_line'
+    WHEN TRY_CAST(p[1] AS DOUBLE) IS NULL THEN 'bad_label' WHEN len(p) - 1 > {d + 1} THEN 'too_many_fields'
+    WHEN len(list_filter(p[2:], lambda s: TRY_CAST(s AS DOUBLE) IS NULL)) > 0 THEN 'bad_feature' ELSE 'ok' END AS outcome FROM f)
+SELECT seq, outcome,
+  CASE WHEN outcome = 'ok' THEN CASE WHEN trunc(TRY_CAST(p[1] AS DOUBLE))::BIGINT % 2 = 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END END AS y,
+  {x}, CASE WHEN outcome = 'ok' THEN 1.0::DOUBLE END AS x{d + 1}
+FROM o"""
+
+
+def ratings_rejects_sql() -> str:
+    return f"""WITH {RATINGS},
+l AS (SELECT CASE orderkey % 7 WHEN 1 THEN concat_ws('::', "user", item) WHEN 2 THEN concat_ws('::', "user", 'item', rating)
+    WHEN 3 THEN concat_ws('::', "user", item, 'five') WHEN 4 THEN substring(rating::VARCHAR, 1, 2)
+    WHEN 5 THEN concat_ws('::', "user", item, rating, '978300760') ELSE concat_ws('::', "user", item, rating) END AS value FROM r),
+o AS (SELECT value, string_split(value, '::') AS p FROM l),
+q AS (SELECT p, CASE WHEN length(value) < 5 THEN 'fragment' WHEN len(p) < 3 THEN 'arity'
+    WHEN TRY_CAST(p[1] AS INTEGER) IS NULL OR TRY_CAST(p[2] AS INTEGER) IS NULL OR TRY_CAST(p[3] AS DOUBLE) IS NULL THEN 'bad_field'
+    ELSE 'ok' END AS outcome FROM o)
+SELECT outcome, count(*) AS n_lines, sum(CASE WHEN outcome = 'ok' THEN p[3]::DOUBLE END) AS rating_sum FROM q GROUP BY outcome"""

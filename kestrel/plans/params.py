@@ -21,10 +21,12 @@ SAMPLE_FRACTION = 0.5
 # arithmetic row-hash for the sampled query: ((seq * A + t * B) mod M) / M < fraction
 HASH_A, HASH_B, HASH_M = 7919, 104729, 1000
 
-REPLAY_FILES = 4       # files (micro-batches) of a replayed table
+# windows that no single task holds: rows of one, and rows that a task may hold
+LARGE_WINDOW, LARGE_SHARE = 4000, 1000
 
 POINTS_DIM = 3         # two features + bias
 TEXT_D = 2             # features per text line
+ARITY_LENGTH = 3       # length guard of the arity query: a label alone is too short
 WIDE_DIM = 65          # 64 embedding values + bias
 
 # ALS settings of the registered queries (the operator defaults are the reference's
@@ -32,3 +34,6 @@ WIDE_DIM = 65          # 64 embedding values + bias
 ALS_RANK = 10
 ALS_ITER = 10
 ALS_REG = 0.1
+# a user's factor solves its equation when the relative residual (of single-precision factors) is below this
+ALS_RESIDUAL = 1e-5
+UNION_YEAR = 1997      # the history and the later interval of the union query meet here

@@ -1,11 +1,9 @@
-"""Text sources: bounded files (A1, A3), directory and socket streams (A2, A4),
-and replay of a stored table as an ordered stream (A5)."""
+"""Text sources: bounded files (A1, A3), directory and socket streams (A2, A4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kestrel.functions.parse import (
     parse_once, parse_point_fields, parse_ratings, parse_tuple_point, trim_controls)
@@ -124,45 +122,3 @@ def clean_rating_lines(lines: DataFrame, value: str = "value", min_length: int =
     exploded = lines.select(F.explode(F.split(F.col(value), "\n")).alias("raw"))
     trimmed = exploded.select(trim_controls(F.col("raw")).alias("line"))
     return parse_ratings(trimmed, "line", "::", min_length, keep=["line"])
-
-
-def replay(df: DataFrame, order_col: str, rows_per_file: int, path: str,
-           fmt: str = "parquet") -> int:
-    """A5: store a table as an ordered series of files of ``rows_per_file`` rows.
-
-    One partitioned write stages the numbered rows (``part`` = ordinal div size);
-    each part is then copied into ``path`` in order, reading only its own staging
-    directory (partition pruning), so file modification times follow the stored
-    order.  A file stream over ``path`` with ``maxFilesPerTrigger`` then replays the
-    table batch by batch, like the reference's rate-limited senders.  Returns the
-    number of files.
-    """
-    from kestrel.operators.ordinal import with_ordinal
-    from kestrel.session import scratch_path
-    spark = df.sparkSession
-    numbered = with_ordinal(df, [order_col], out="_ord")
-    parted = numbered.withColumn("part", (F.col("_ord") / F.lit(rows_per_file)).cast("long")) \
-        .drop("_ord")
-    stage = scratch_path(spark, "replay-stage")
-    # rows of a part are written by the tasks that hold them: no shuffle onto one task a part
-    parted.write.partitionBy("part").parquet(stage)
-    staged = spark.read.parquet(stage)
-    n_files = staged.agg(F.max("part")).first()[0]
-    n_files = 0 if n_files is None else int(n_files) + 1
-    for k in range(n_files):
-        (staged.filter(F.col("part") == k).coalesce(1)
-         .write.mode("append").format(fmt).save(path))
-    return n_files
-
-
-def replay_source(spark: SparkSession, path: str, schema: T.StructType,
-                  files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    """Stream the files written by :func:`replay`, ``files_per_trigger`` at a time.
-
-    Files are picked up oldest first, which is the stored order; every row
-    keeps its ``part`` number and its order column.
-    """
-    return (spark.readStream.format(fmt).schema(schema)
-            .option("maxFilesPerTrigger", files_per_trigger)
-            .option("latestFirst", "false")
-            .load(path))

@@ -6,53 +6,72 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kestrel.operators.glm import train_batches, train_count_windows
 from kestrel.operators.rules import SGD, NormalizedGD
 from kestrel.sources.tables import events_points, ratings_from_orders
-from kestrel.sources.text import read_lines_stream, read_points_stream, replay, replay_source
+from kestrel.sources.replay import replay_groups, replay_rows
+from kestrel.sources.text import read_lines_stream, read_points_stream
 from kestrel.streaming.als_stream import StreamingALS
 from kestrel.streaming.glm_stream import StreamingGLM
 from kestrel.streaming.modelstore import ModelStore, preview
 
 SF = "/root/testdata/sf0.001"
-POINT_SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("day", T.LongType()),
-                             T.StructField("y", T.DoubleType()),
-                             T.StructField("x", T.ArrayType(T.DoubleType())),
-                             T.StructField("part", T.LongType())])
-
 
 def _train(spark):
     return events_points(spark, SF).filter(~F.col("holdout")).select("seq", "day", "y", "x")
 
 
-def _replayed(spark, scratch, rows_per_file):
-    path = f"{scratch}/replay"
-    n = replay(_train(spark), "seq", rows_per_file, path)
-    return replay_source(spark, path, POINT_SCHEMA, files_per_trigger=1), n
+def _replayed(spark, scratch, rows_per_file, name="replay"):
+    """The training points as a stream of files, in order."""
+    path = f"{scratch}/{name}"
+    pts = _train(spark).orderBy("seq").toPandas()
+    for k in range(0, len(pts), rows_per_file):
+        one = spark.createDataFrame(pts[k:k + rows_per_file], "seq long, day long, y double, x array<double>")
+        one.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@pytest.mark.parametrize("rows_per_file", [120, 37])
-def test_count_window_stream_equals_batch(spark, scratch, rows_per_file):
+@pytest.mark.parametrize("per_batch", [120, 307])
+def test_count_window_stream_equals_batch(spark, scratch, per_batch):
     rule = NormalizedGD(step=0.05, iterations=50, reg=0.01)
     batch = train_count_windows(_train(spark), rule, 3, 50)
     want = [(r["version"], r["weights"]) for r in
             batch.versions().filter("version >= 0").orderBy("version").collect()]
-    stream, n_files = _replayed(spark, scratch, rows_per_file)
     store = ModelStore(spark, f"{scratch}/models", "stream")
     glm = StreamingGLM(store, rule, 3, w0=[0.0] * 3, window=50)
-    q = glm.train_on(stream, f"{scratch}/ckpt", available_now=True)
-    q.awaitTermination()
+    replay = replay_rows(_train(spark), "seq")
+    assert replay.units == 900
+    replay.start(glm.process_batch, f"{scratch}/ckpt", per_batch).awaitTermination()
     got = [(r["version"], r["weights"]) for r in
            store.versions().filter("version >= 0").orderBy("version").collect()]
-    assert [v for v, _ in got] == [v for v, _ in want]
-    for (_, a), (_, b) in zip(got, want):
-        assert a == b      # bit-identical: window sums are settled before folding
+    assert got == want      # bit-identical: window sums are settled before folding
     state = store.state()
     assert state.n_seen == 900 and state.open_n == 900 % 50
 
 
+def test_replay_by_row_and_group_gives_every_row_once_in_order(spark, scratch):
+    pts = _train(spark).where("seq < 300")
+    for name, replay, per in (("rows", replay_rows(pts, "seq"), 70), ("days", replay_groups(pts.withColumn("k", F.col("seq") % 7), "k"), 2)):
+        got = []
+        for units in (replay.units // 2, replay.units):     # stopped half way and started again
+            whole, replay.units = replay.units, units
+            replay.start(lambda rows, k, got=got: got.append((k, sorted(r["seq"] for r in rows.select("seq").collect()))),
+                         f"{scratch}/{name}", per).awaitTermination()
+            replay.units = max(whole, units)
+        by_batch = {}
+        for k, seqs in got:
+            by_batch.setdefault(k, []).extend(seqs)
+        order = [by_batch[k] for k in sorted(by_batch)]
+        all_rows = sorted(r["seq"] for r in pts.select("seq").collect())
+        assert sorted(set(x for b in order for x in b)) == all_rows
+        if name == "rows":
+            assert all(a[-1] < b[0] for a, b in zip(order, order[1:], strict=False))
+        else:
+            assert [sorted({x % 7 for x in b}) for b in order][:2] == [[0, 1], [2, 3]]
+        replay.remove()
+
+
 def test_replayed_batch_is_idempotent(spark, scratch):
     rule = SGD(step=0.1, iterations=5)
     store = ModelStore(spark, f"{scratch}/models", "m")
@@ -144,7 +163,7 @@ def test_streaming_als_retrains_on_history(spark, scratch):
 
 def test_builder_trains_and_predicts_on_streams(spark, scratch):
     from kestrel.streaming.builder import streaming_linear_regression
-    stream, _ = _replayed(spark, scratch, 300)
+    stream = _replayed(spark, scratch, 300)
     model = streaming_linear_regression(spark).set_step_size(0.1).set_num_iterations(5)
     with pytest.raises(ValueError):
         model.latest_model()
@@ -154,11 +173,11 @@ def test_builder_trains_and_predicts_on_streams(spark, scratch):
     w = model.latest_model()
     assert np.any(w != 0.0)
     n = model.store.state().n_seen
-    second, _ = _replayed(spark, f"{scratch}/second", 450)
+    second = _replayed(spark, scratch, 450, "second")
     model.train_on(second, f"{scratch}/ck1b", available_now=True).awaitTermination()
     assert model.store.state().n_seen == n + 900     # a second stream trains the same model
     assert sorted(model.store.state().committed.values()) == [1, 2]
-    stream2, _ = _replayed(spark, f"{scratch}/b", 450)
+    stream2 = _replayed(spark, scratch, 450, "third")
     q2 = model.predict_on(stream2, f"{scratch}/preds", f"{scratch}/ck2", available_now=True)
     q2.awaitTermination()
     assert spark.read.parquet(f"{scratch}/preds").count() == 900
