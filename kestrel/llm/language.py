@@ -9,12 +9,14 @@ share among all languages, by the mean log-probability a word.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every
 text when there is nothing to learn from; ties go to the first language by code point; rows
 that repeat are each scored; a null ``doc_id`` is never held out; an empty table gives an empty result; other columns are not
-read.  Words longer than ``RUN`` characters are scored in runs of that length.
+read.  A word of any length is summed over all its segmentations: the forward pass takes ``RUN`` characters at a
+time and carries its last sums on, rescaled, so memory does not grow with a word (a text without spaces).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import crc32_mod, per_batch, read_table
-from kestrel.llm.wordscores import WordValues, coded_words, text_sums
+from kestrel.llm.wordscores import coded_words, remembered, text_sums
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Documents with this remainder of crc32(doc_id) are held out of learning.
@@ -66,6 +68,7 @@ class Vocabulary:
                 self.bytes[int(piece[1:-1], 16)] = i
             elif not (self.processor.is_control(i) or self.processor.is_unknown(i)):
                 self.pieces[piece] = i
+        self.longest = max(map(len, self.pieces))
         self.steps = dict.fromkeys((p[:k] for p in self.pieces for k in range(1, len(p))), -1) | self.pieces
 
     def counts(self, words: list[str], times: np.ndarray) -> np.ndarray:
@@ -86,49 +89,63 @@ class Vocabulary:
         return out
 
     def _forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        length = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        out = np.zeros((len(words), p.shape[1]))
+        # sums at the last positions before the run; a word begins with 1 at its start
+        carried = np.zeros((len(words), self.longest, p.shape[1]))
+        carried[:, -1] = 1.0
+        for low in range(0, int(length.max(initial=0)), RUN):
+            own = np.flatnonzero(length > low)
+            carried, ends = self._run([words[k] for k in own], low, carried, p)
+            done = length[own] <= low + RUN
+            out[own[done]] += ends[done]
+            top = carried.max(axis=1)  # one scale a word and language
+            out[own[~done]] += np.log(np.maximum(top[~done], 1e-300))
+            carried = carried[~done] / np.maximum(top[~done], 1e-300)[:, None, :]
+        return out - LIFT * length[:, None]
+
+    def _run(self, words: list[str], low: int, carried: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(carried sums after characters low .. low + RUN, log sums at the words' ends)."""
         edges: list[tuple[int, int, int, int]] = []
         others: dict[str, int] = {}
-        runs: list[int] = []  # the word that each run belongs to
-        length: list[int] = []
-        step = self.steps.get
+        step, back, ends = self.steps.get, self.longest, []
         for k, word in enumerate(words):
-            whole = _SPACE + word
-            for first in range(0, len(whole), RUN):
-                s = whole[first:first + RUN]
-                r, n = len(runs), len(s)
-                runs.append(k)
-                length.append(n)
-                for i in range(n):
-                    if s[i] not in self.pieces:
-                        edges.append((r, i, i + 1, self.size + others.setdefault(s[i], len(others))))
-                    for j in range(i + 1, n + 1):
-                        piece = step(s[i:j])
-                        if piece is None:
-                            break
-                        if piece >= 0:
-                            edges.append((r, i, j, piece))
+            # the run and what pieces that end in it can begin with
+            first = max(0, low - back + 1)
+            s = (_SPACE + word[:low + RUN - 1])[first:] if first == 0 else word[first - 1:low + RUN - 1]
+            shift, n = first - low + back, len(s)
+            start = low - first
+            ends.append(min(n - start, RUN))
+            for i in range(n):
+                if i >= start and s[i] not in self.pieces:
+                    edges.append((k, i + shift, i + shift + 1, self.size + others.setdefault(s[i], len(others))))
+                for j in range(i + 1, n + 1):
+                    piece = step(s[i:j])
+                    if piece is None:
+                        break
+                    if piece >= 0 and j > start:
+                        edges.append((k, i + shift, j + shift, piece))
         if others:  # characters outside the vocabulary are spelt by its byte pieces
             spelt = [np.prod(p[[self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]], axis=0) for c in others]
             p = np.vstack([p, *spelt])
         run, start, end, piece = np.array(edges, np.int64).reshape(-1, 4).T
-        longest = max(length, default=0)
-        sums = np.zeros((len(runs), longest + 1, p.shape[1]))
-        sums[:, 0] = 1.0
+        longest = max(ends, default=0)
+        # column back - 1 + i holds the sums of the first low + i characters
+        sums = np.concatenate([carried, np.zeros((len(words), longest, p.shape[1]))], axis=1)
+        start, end = start - 1, end - 1
         order = np.lexsort((run, end))
         run, start, end, piece = run[order], start[order], end[order], piece[order]
-        at = np.searchsorted(end, np.arange(1, longest + 2))
-        for e in range(1, longest + 1):
-            own = slice(at[e - 1], at[e])
-            if at[e - 1] == at[e]:
+        at = np.searchsorted(end, np.arange(back, back + longest + 1))
+        for e in range(longest):
+            own = slice(at[e], at[e + 1])
+            if at[e] == at[e + 1]:
                 continue
-            part = sums[run[own], start[own]] * p[piece[own]] * np.exp(LIFT * (e - start[own]))[:, None]
+            part = sums[run[own], start[own]] * p[piece[own]] * np.exp(LIFT * (back + e - start[own]))[:, None]
             first = np.flatnonzero(np.r_[True, np.diff(run[own]) > 0])
-            sums[run[own][first], e] = np.add.reduceat(part, first, axis=0)
-        last = np.array(length, np.int64)
-        logs = np.log(np.maximum(sums[np.arange(len(runs)), last], 1e-300)) - LIFT * last[:, None]
-        out = np.zeros((len(words), p.shape[1]))
-        np.add.at(out, np.array(runs, np.int64), logs)
-        return out
+            sums[run[own][first], back + e] = np.add.reduceat(part, first, axis=0)
+        last = back - 1 + np.array(ends, np.int64)
+        logs = np.log(np.maximum(sums[np.arange(len(words)), last], 1e-300))
+        return sums[:, -back:], logs
 
 
 _VOCABULARIES: dict[int, Vocabulary] = {}
@@ -186,7 +203,7 @@ def identify(docs: DataFrame, learning: DataFrame, vocabulary_path: str | None =
     content = sc.broadcast(vocabulary_bytes(vocabulary_path))
     model = sc.broadcast(learn(learning.where("lang IS NOT NULL AND text IS NOT NULL"), content))
     schema = "doc_id long, lang_pred string, score double"
-    state: dict[str, WordValues] = {}
+    name = uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1)
@@ -194,11 +211,10 @@ def identify(docs: DataFrame, learning: DataFrame, vocabulary_path: str | None =
         pred, score = [UNKNOWN] * len(told), [0.0] * len(told)
         if model.value is not None and any(told):
             langs, p = model.value
-            if not state:
-                vocab = vocabulary(content.value)
-                state["values"] = WordValues(lambda w: vocab.forward(w, p), len(langs))
+            vocab = vocabulary(content.value)
+            values = remembered(name, lambda w: vocab.forward(w, p), len(langs))
             words, index, bounds = coded_words(pc.utf8_lower(texts))
-            sums = text_sums(state["values"](words), index, bounds)
+            sums = text_sums(values(words), index, bounds)
             mean = sums / np.maximum(1, np.diff(bounds))[:, None]
             for k in np.flatnonzero(told):
                 best = int(sums[k].argmax())

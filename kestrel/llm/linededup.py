@@ -13,9 +13,9 @@ A line is what stands between line feeds, without white space at its ends.  Line
 characters are copies only when equal; empty lines are no lines.  The first line of a component (by
 document and place) is kept.
 
-Defined cases: a null or empty text has no lines; rows with a null id sort last; rows that repeat an id
-and text have their lines kept once; an empty table gives an empty result; other columns are not
-read.  Lines are identified by 64-bit hashes (xxh3).
+Defined cases: a null or empty text has no lines; rows with a null id sort last; every input row is a document
+of its own, so of rows that repeat an id (a null id included) only the first, in the order they are read, can keep
+a line; an empty table gives an empty result; other columns are not read.  Lines are identified by 64-bit hashes (xxh3).
 """
 
 from __future__ import annotations
@@ -74,19 +74,22 @@ def probes(line: str, edits: int = MAX_EDITS) -> list[tuple[int, int, int, int]]
     return out
 
 
-_PLACES: dict[int, list] = {}
+_PLACES: dict[int, tuple[list, list]] = {}
 
 
-def line_keys(line: str) -> list[int]:
-    """Hashes of the keys that a line probes; its own segments are among them."""
+def line_keys(line: str) -> tuple[list[int], list[bool]]:
+    """(hashes of the keys that a line probes, whether a key is a segment of its own)."""
     n = len(line)
     if n not in _PLACES:
         if len(_PLACES) > 10_000:
             _PLACES.clear()
         # length and segment number go into the hash's seed
-        _PLACES[n] = [(length * (MAX_EDITS + 1) + i, start, start + size) for length, i, start, size in probes(line)]
+        own, found = segments(n), probes(line)
+        _PLACES[n] = ([(length * (MAX_EDITS + 1) + i, start, start + size) for length, i, start, size in found],
+                      [length == n and own[i] == (start, size) for length, i, start, size in found])
     data = line.encode("utf-32-le", "surrogatepass")
-    return [xxhash.xxh3_64_intdigest(data[4 * a:4 * b], seed) for seed, a, b in _PLACES[n]]
+    places, owned = _PLACES[n]
+    return [xxhash.xxh3_64_intdigest(data[4 * a:4 * b], seed) for seed, a, b in places], owned
 
 
 def common_prefix(p: str, t: str) -> int:
@@ -147,17 +150,22 @@ def banded(p: str, t: str, edits: int) -> bool:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, line) of all lines, identified by hash."""
+    """(row, doc_id, place, line) of all lines, identified by hash; a row at place -1 for every document.
+
+    ``row`` numbers the input rows as they are read; it is stored with the lines and used nowhere else.
+    """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, places, lines = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, line in lines_of(text):
-                ids.append(doc_id)
-                places.append(k)
-                lines.append(line_id(line))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(lines, pa.int64())],
-                                          names=["doc_id", "place", "line"])
-    return per_batch(docs, run, "doc_id long, place int, line long")
+        rows, ids, places, lines = [], [], [], []
+        for row, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            own = lines_of(text)
+            rows += [row] * (len(own) + 1)
+            ids += [doc_id] * (len(own) + 1)
+            places += [-1, *[k for k, _ in own]]
+            lines += [None, *[line_id(s) for _, s in own]]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()),
+                                           pa.array(lines, pa.int64())], names=["row", "doc_id", "place", "line"])
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return per_batch(numbered, run, "row long, doc_id long, place int, line long")
 
 
 def _distinct_long(batch: pa.RecordBatch) -> dict[str, int]:
@@ -165,14 +173,16 @@ def _distinct_long(batch: pa.RecordBatch) -> dict[str, int]:
 
 
 def key_rows(docs: DataFrame) -> DataFrame:
-    """(key, line) of all keys of the distinct lines; a batch's repeats are sent once."""
+    """(key, line, own) of all keys of the distinct lines; a batch's repeats are sent once."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines = _distinct_long(batch)
         keys = [line_keys(s) for s in lines]
-        flat = np.fromiter((k for x in keys for k in x), np.uint64)
-        line = np.repeat(np.fromiter(lines.values(), np.int64, len(lines)), [len(x) for x in keys])
-        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(line)], names=["key", "line"])
-    return per_batch(docs, run, "key long, line long")
+        flat = np.fromiter((k for x, _ in keys for k in x), np.uint64)
+        own = np.fromiter((o for _, x in keys for o in x), bool)
+        line = np.repeat(np.fromiter(lines.values(), np.int64, len(lines)), [len(x) for x, _ in keys])
+        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(line), pa.array(own)],
+                                          names=["key", "line", "own"])
+    return per_batch(docs, run, "key long, line long, own boolean")
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -197,8 +207,8 @@ def verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 def across(meeting: DataFrame, comps: DataFrame, contents: DataFrame) -> DataFrame:
     """Links between different components of keys that hold several, by blocks of lines.
 
-    Lines under one key are cut into blocks; a task compares two blocks and returns only
-    links that join two components.
+    Lines under one key are cut into blocks; a task compares the lines of one that own the key's segment with the
+    lines of another and returns only links that join two components.
     """
     member = (meeting.join(comps.withColumnRenamed("node", "line"), "line", "left")
               .withColumn("root", F.coalesce("root", "line")))
@@ -207,12 +217,12 @@ def across(meeting: DataFrame, comps: DataFrame, contents: DataFrame) -> DataFra
     placed = member.join(several, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     spread = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      "block", "line", "root"))
+                      "block", "line", "root", "own"))
     full = spread.join(contents, "line")
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "line", "root", "content")), strict=True))
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "line", "root", "content", "own")), strict=True))
         top: dict[int, int] = {}
 
         def find(r: int) -> int:
@@ -223,51 +233,57 @@ def across(meeting: DataFrame, comps: DataFrame, contents: DataFrame) -> DataFra
         left, right = ([r for r in rows if r[0] == b] for b in (i, j))
         right.sort(key=lambda r: len(r[3]))
         sizes = [len(r[3]) for r in right]
-        for _, a, ra, s in left:
+        for _, a, ra, s, mine in left:
             near = right[bisect_left(sizes, len(s) - MAX_EDITS):bisect_right(sizes, len(s) + MAX_EDITS)]
-            for _, b, rb, t in near:
-                if (i != j or a < b) and find(ra) != find(rb) and within(s, t):
+            for _, b, rb, t, theirs in near:
+                if (mine or theirs) and (i != j or a < b) and find(ra) != find(rb) and within(s, t):
                     top[max(find(ra), find(rb))] = min(find(ra), find(rb))
                     out.append((a, b))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
     return full.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """Per line: doc_id, place, class_doc, class_place (the component's first line), kept."""
+def classified_lines(docs: DataFrame) -> DataFrame:
+    """``line_classes``, and a row at place -1 for every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(line_rows(docs), "lines")
-    keys = key_rows(docs).distinct()
-    keys = stored(keys, "keys")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("hub")).where("n > 1")
-    meeting = stored(keys.join(shared, "key").select("key", "line", "hub"), "meeting")
+    keys = stored(key_rows(docs), "keys")
+    # keys that one line owns and another one probes; a line can come from several batches
+    shared = (keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"),
+                                      F.min(F.when(F.col("own"), F.col("line"))).alias("hub"))
+              .where("low != high AND hub IS NOT NULL").select("key", "hub"))
+    meeting = stored(keys.join(shared, "key").groupBy("key", "line", "hub").agg(F.max("own").alias("own")), "meeting")
     pairs = meeting.where("line != hub").select(F.col("hub").alias("a"), F.col("line").alias("b")).distinct()
     needed = meeting.select("line").distinct()
     contents = stored(line_texts(docs).join(needed, "line").dropDuplicates(["line"]), "contents")
     links = stored(verified(pairs, contents), "links")
     comps = stored(components(links), "components")
-    more = across(meeting.select("key", "line"), comps, contents)
+    more = across(meeting.select("key", "line", "own"), comps, contents)
     final = components(more.unionByName(comps.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     # sorting nulls last: the order key of a null id is after all others
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    firsts = rows.groupBy("line").agg(F.min(place).alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "place")
+    firsts = rows.where("line IS NOT NULL").groupBy("line").agg(F.min(place).alias("first"))
     nodes = firsts.join(final.withColumnRenamed("node", "line"), "line", "left").select(
         "line", F.coalesce("root", "line").alias("root"), "first")
     by_root = nodes.groupBy("root").agg(F.min("first").alias("first"))
     classes = nodes.select("line", "root").join(by_root, "root").select("line", "first")
-    return (rows.join(classes, "line")
-            .select("doc_id", "place", F.col("first.doc_id").alias("class_doc"), F.col("first.place").alias("class_place"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("place") == F.col("class_place"))))
+    lines = rows.join(classes, "line").select(
+        "row", "doc_id", "place", F.col("first.doc_id").alias("class_doc"), F.col("first.place").alias("class_place"),
+        ((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place"))).alias("kept"))
+    return lines.unionByName(rows.where("place < 0").select("row", "doc_id", "place"), allowMissingColumns=True)
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """Per line: row, doc_id, place, class_doc, class_place (the component's first line), kept."""
+    return classified_lines(docs).where("place >= 0")
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its numbers of lines and of lines that copy an earlier one, and the class of each
     line (the document and place of the class's first line, as ``doc:place``)."""
-    docs = read_table(spark, sf_dir, "documents")
     name = F.concat_ws(":", F.coalesce(F.col("class_doc").cast("string"), F.lit("null")), "class_place")
-    per_doc = line_classes(docs).groupBy(F.col("doc_id").alias("own")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum((~F.col("kept")).cast("int")).alias("n_dropped"),
-        F.array_sort(F.collect_list(F.struct("place", name.alias("class")))).alias("line_classes"))
-    return (docs.select("doc_id").join(per_doc, F.col("doc_id").eqNullSafe(F.col("own")), "left")
-            .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-                    F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "line_classes"))
+    line = F.col("place") >= 0
+    return (classified_lines(read_table(spark, sf_dir, "documents")).groupBy("row", "doc_id").agg(
+        F.count_if(line).alias("n_lines"), F.count_if(line & ~F.col("kept")).alias("n_dropped"),
+        F.array_sort(F.collect_list(F.when(line, F.struct("place", name.alias("class"))))).alias("line_classes"))
+        .drop("row"))

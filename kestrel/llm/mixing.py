@@ -5,12 +5,12 @@ all rows is one row per task after the combine).  Targets share ``budget`` times
 all words by the sources' weights; a target stops at ``max_rate`` times its
 source's words and what is over is shared again.  A source's repetition rate is
 target / words; every document is taken ``floor(rate)`` times, plus once more
-when its hash draw is below the fraction.  Draws depend on seed and ``doc_id``
+when its hash draw is below the fraction.  Draws depend on seed and ``doc_id`` (where it is null, on the text)
 only, so reruns and recomputed partitions agree.
 
 Defined cases: a null text has size 0; the null source is a source of its own,
 after all others; a source without words has target 0 and its documents are
-taken 0 times; rows that repeat a ``doc_id`` share its draw; an empty table
+taken 0 times; rows that repeat a ``doc_id`` share its draw, as do rows without one that repeat a text; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -33,8 +33,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def draw_key() -> Column:
+    """What a document's draw hangs on: its id, or else its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+
+
+def draw(name: Column, seed: str) -> Column:
+    key = F.concat(F.lit(seed + ":"), name)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(DRAW_RANGE)
 
 
@@ -68,7 +73,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
 
 
 def with_copies(rows: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add source_size, target, rate and copies to rows of (doc_id, source, ...).
+    """Add source_size, target, rate and copies to rows of (_draw: see ``draw_key``, source, ...).
 
     The join is left to Catalyst: it broadcasts the sources only when they are
     few, and splits a skewed source otherwise.
@@ -78,12 +83,13 @@ def with_copies(rows: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFr
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
     return (joined.withColumn("rate", rate)
-            .withColumn("copies", (whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole)
-                                   .cast("int")).cast("int")))
+            .withColumn("copies", (whole + (draw(F.col("_draw"), seed) < F.col("rate") - whole)
+                                   .cast("int")).cast("int"))
+            .drop("_draw"))
 
 
 def doc_sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), draw_key().alias("_draw"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE,
@@ -98,7 +104,8 @@ def emit_mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
                max_rate: float = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, columns as they came."""
     targets = source_targets(doc_sizes(docs), weights, budget, max_rate)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source",
+                      draw_key().alias("_draw"))
     return (with_copies(own, targets, seed)
             .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
             .select("row.*"))
@@ -112,7 +119,7 @@ def op10_mix(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS draw,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -138,7 +145,7 @@ t AS (
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)
+         CAST('0x' || substr(md5('{SEED}:' || d.draw), 1, 12) AS BIGINT)
            / {DRAW_RANGE:.1f}::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,

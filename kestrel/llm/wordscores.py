@@ -52,6 +52,17 @@ class WordValues:
         return out
 
 
+_REMEMBERED: dict[str, WordValues] = {}
+
+
+def remembered(model: str, compute: Callable[[list[str]], np.ndarray], width: int) -> WordValues:
+    """The worker's memory for the model of this name: it outlives a task, and goes when another model comes."""
+    if model not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[model] = WordValues(compute, width)
+    return _REMEMBERED[model]
+
+
 def text_sums(values: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the words' rows, one row a text; memory for one text at a time."""
     return np.stack([values[index[a:b]].sum(axis=0) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])

@@ -174,6 +174,13 @@ def test_targets_and_copies(make):
     assert emitted.columns == make(rows).columns and emitted.count() == out.copies.sum()
 
 
+def test_rows_without_an_id_are_drawn_one_by_one(make):
+    docs = make([(None, f"some words of text number {k}", None, "a") for k in range(1000)] + [(1, "x " * 4000, None, "b")])
+    out = mixing.mix(docs, budget=0.5).where("source = 'a'")
+    target, taken = out.select("target").first()[0], out.agg({"taken": "sum"}).first()[0]
+    assert 0 < target < 5900 and abs(taken - target) < 0.15 * target
+
+
 def test_mixing_odd_rows(odd, none):
     out = mixing.mix(odd)
     assert out.count() == odd.count()
