@@ -33,8 +33,8 @@ BROADCAST_SEEDS = 2_000_000
 SALTS = 16
 
 _BREAK = "[^\\p{L}\\p{N}]+"
-#: Scripts written without spaces between words.
-_UNSPACED = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}])"
+#: Blocks of scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = "([\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\x{20000}-\\x{3FFFF}])"
 #: What tells rows apart: the id and 128 bits of the text.
 KEY = ("doc_id", "text_a", "text_b")
 

@@ -248,11 +248,13 @@ def classified_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(line_rows(docs), "lines")
     keys = stored(key_rows(docs), "keys")
-    # keys that one line owns and another one probes; a line can come from several batches
-    shared = (keys.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"),
-                                      F.min(F.when(F.col("own"), F.col("line"))).alias("hub"))
-              .where("low != high AND hub IS NOT NULL").select("key", "hub"))
-    meeting = stored(keys.join(shared, "key").groupBy("key", "line", "hub").agg(F.max("own").alias("own")), "meeting")
+    # keys that come more than once and that a line owns; a few are one line's, met again in another batch
+    shared = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned"))
+              .where("n > 1 AND owned").select("key"))
+    met = stored(keys.join(shared, "key").groupBy("key", "line").agg(F.max("own").alias("own")), "met")
+    hubs = (met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("own"), F.col("line"))).alias("hub"))
+            .where("n > 1").select("key", "hub"))
+    meeting = stored(met.join(hubs, "key"), "meeting")
     pairs = meeting.where("line != hub").select(F.col("hub").alias("a"), F.col("line").alias("b")).distinct()
     needed = meeting.select("line").distinct()
     contents = stored(line_texts(docs).join(needed, "line").dropDuplicates(["line"]), "contents")
