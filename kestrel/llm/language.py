@@ -69,7 +69,16 @@ class Vocabulary:
             elif not (self.processor.is_control(i) or self.processor.is_unknown(i)):
                 self.pieces[piece] = i
         self.longest = max(map(len, self.pieces))
-        self.steps = dict.fromkeys((p[:k] for p in self.pieces for k in range(1, len(p))), -1) | self.pieces
+        # the prefixes as a trie in sorted arrays: (node, character) -> node, and a node's piece or -1
+        steps = dict.fromkeys((p[:k] for p in self.pieces for k in range(1, len(p))), -1) | self.pieces
+        nodes = {prefix: k for k, prefix in enumerate(["", *steps])}
+        self.chars = np.array(sorted({ord(prefix[-1]) for prefix in steps}), np.int64)
+        links = np.array([nodes[prefix[:-1]] for prefix in steps], np.int64) * len(self.chars) + np.searchsorted(
+            self.chars, [ord(prefix[-1]) for prefix in steps])
+        order = np.argsort(links)
+        self.links, self.children = links[order], np.arange(1, len(nodes))[order]
+        self.piece_at = np.array([-1, *steps.values()], np.int64)
+        self.single = np.array([self.pieces.get(chr(c), -1) for c in self.chars], np.int64)
 
     def counts(self, words: list[str], times: np.ndarray) -> np.ndarray:
         """Pieces of the words, each word as often as told."""
@@ -106,30 +115,17 @@ class Vocabulary:
 
     def _run(self, words: list[str], low: int, carried: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(carried sums after characters low .. low + RUN, log sums at the words' ends)."""
-        edges: list[tuple[int, int, int, int]] = []
-        others: dict[str, int] = {}
-        step, back, ends = self.steps.get, self.longest, []
-        for k, word in enumerate(words):
-            # the run and what pieces that end in it can begin with
-            first = max(0, low - back + 1)
-            s = (_SPACE + word[:low + RUN - 1])[first:] if first == 0 else word[first - 1:low + RUN - 1]
-            shift, n = first - low + back, len(s)
-            start = low - first
-            ends.append(min(n - start, RUN))
-            for i in range(n):
-                if i >= start and s[i] not in self.pieces:
-                    edges.append((k, i + shift, i + shift + 1, self.size + others.setdefault(s[i], len(others))))
-                for j in range(i + 1, n + 1):
-                    piece = step(s[i:j])
-                    if piece is None:
-                        break
-                    if piece >= 0 and j > start:
-                        edges.append((k, i + shift, j + shift, piece))
-        if others:  # characters outside the vocabulary are spelt by its byte pieces
-            spelt = [np.prod(p[[self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]], axis=0) for c in others]
+        back = self.longest
+        first = max(0, low - back + 1)  # the run, and what pieces that end in it can begin with
+        parts = [(_SPACE + w[:low + RUN - 1])[first:] if first == 0 else w[first - 1:low + RUN - 1] for w in words]
+        size, start, shift = np.fromiter(map(len, parts), np.int64, len(parts)), low - first, first - low + back
+        ends = size - start
+        run, start_at, end_at, piece, others = self._edges(parts, size, start)
+        if len(others):  # characters outside the vocabulary are spelt by its byte pieces
+            spelt = [np.prod(p[[self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")]], axis=0) for c in others]
             p = np.vstack([p, *spelt])
-        run, start, end, piece = np.array(edges, np.int64).reshape(-1, 4).T
-        longest = max(ends, default=0)
+        start, end = start_at + shift, end_at + shift
+        longest = int(ends.max(initial=0))
         # column back - 1 + i holds the sums of the first low + i characters
         sums = np.concatenate([carried, np.zeros((len(words), longest, p.shape[1]))], axis=1)
         start, end = start - 1, end - 1
@@ -143,10 +139,39 @@ class Vocabulary:
             part = sums[run[own], start[own]] * p[piece[own]] * np.exp(LIFT * (back + e - start[own]))[:, None]
             first = np.flatnonzero(np.r_[True, np.diff(run[own]) > 0])
             sums[run[own][first], back + e] = np.add.reduceat(part, first, axis=0)
-        last = back - 1 + np.array(ends, np.int64)
+        last = back - 1 + ends
         logs = np.log(np.maximum(sums[np.arange(len(words)), last], 1e-300))
         return sums[:, -back:], logs
 
+    def _edges(self, parts: list[str], size: np.ndarray, start: int) -> tuple:
+        """(word, begin, end, piece) of all pieces in the parts that end after ``start``, and the code points outside
+        the vocabulary, which stand for pieces from ``size`` on.  All places of all parts go down the trie together."""
+        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(parts)), size)
+        stop = np.repeat(np.cumsum(size), size)
+        place = np.arange(len(code)) - (stop - np.repeat(size, size))
+        known = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        inside = self.chars[known] == code
+        alone = np.flatnonzero((~inside | (self.single[known] < 0)) & (place >= start))
+        others, which = np.unique(code[alone], return_inverse=True)
+        found = [(word[alone], place[alone], place[alone] + 1, self.size + which)]
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+        for depth in range(self.longest):
+            on = at + depth < stop[at]
+            at, node = at[on], node[on]
+            on = inside[at + depth]
+            at, node = at[on], node[on]
+            link = node * len(self.chars) + known[at + depth]
+            k = np.minimum(np.searchsorted(self.links, link), len(self.links) - 1)
+            on = self.links[k] == link
+            at, node = at[on], self.children[k[on]]
+            if not len(at):
+                break
+            piece = self.piece_at[node]
+            hit = (piece >= 0) & (place[at] + depth >= start)
+            found.append((word[at[hit]], place[at[hit]], place[at[hit]] + depth + 1, piece[hit]))
+        return *(np.concatenate(c) for c in zip(*found, strict=True)), others
+
 
 _VOCABULARIES: dict[int, Vocabulary] = {}
 

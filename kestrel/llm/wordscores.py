@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 #: Memory that remembered values may take (the words themselves take about as much again).
 CACHE_BYTES = 32 << 20
-MAX_CACHED = 400_000
+MAX_CACHED = 800_000
 
 
 def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
