@@ -317,9 +317,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
-    order = F.struct(F.xxhash64("text"), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]))
     one = (named.join(kept, named["doc_id"] == kept["_kept"]).groupBy("_kept")
-           .agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*"))
+           .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*"))
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -114,3 +114,31 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(900, 901)], "a long, b long")
     out = dict(components(edges).collect())
     assert set(out) == set(range(201)) | {900, 901} and {out[k] for k in range(201)} == {0} and out[901] == 900
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    import random
+
+    from kestrel.llm.components import components
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, 500 + k) for k in range(1, 40)] + [(700, 700), (801, 800)]
+    edges += [(rng.randint(1000, 1200), rng.randint(1000, 1200)) for _ in range(150)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+    for a, b in edges:
+        if a != b:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_keep_one_with_a_dotted_column(spark):
+    from kestrel.llm.neardup import keep_one
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y")], "doc_id long, text string, `a.b` string")
+    assert [(r["doc_id"], r["a.b"]) for r in keep_one(docs).collect()] == [(1, "x")]
