@@ -1,18 +1,20 @@
-"""Toxicity by class-conditional Kneser-Ney models over the letters of words, and by whole words.
-
-Both classes have a model that predicts each letter of a word from the letters before it, back to
-the word's start (at most ORDER - 1).  A class's own counts stand at the longest context only, discounted;
-what the discount frees goes to shorter contexts, whose Kneser-Ney continuation counts (how many different
-letters an expression was seen to follow) are shared by both classes.  So an expression that is rare in
-either class is judged by the same counts in both and tells nothing, while frequent toxic ones stand out.  A
-document's log-likelihood difference is divided by its length in words (plus PRIOR_WORDS, which holds back
-texts of a few words).
-
-Whole words are counted too, each by itself: the number of documents of each class that hold it.  A word whose
-counts differ between the classes by more than chance (a likelihood ratio of at least MIN_G) adds its log ratio
-once to a document that holds it, whatever the document's length.  These words are a table that meets the
-documents' words by an equi-join.  Both sums are mapped to 0..1 by a logistic curve fitted on a part of the
-learning rows that the counts did not see.
+"""Toxicity by class-conditional Kneser-Ney models over words.
+
+A document is scored by the log-likelihood difference of its distinct words under a toxic and an ordinary model,
+divided by their number (plus PRIOR_WORDS, which holds back texts of a few words).  In the model of a class
+
+    P(word) = (own count - DISCOUNT, if the word is kept) / own total + freed share * shared(word)
+
+* an own count is the number of the class's documents that hold the word, at most the number of different words
+  seen before it there (the Kneser-Ney continuation count), so copies of one document do not add up;
+* ``shared`` are continuation counts over both classes, discounted down to equal parts for unknown words;
+* a word is kept if its documents differ between the classes by more than chance (likelihood ratio of at least
+  MIN_G).  The counts of all other words are discounted whole: both models then judge them by the same shared
+  counts, and they tell nothing but the classes' freed shares.  That constant, which an unknown word gets too,
+  is left out, so any spelling model below ``shared`` would cancel and there is none.
+
+The difference is mapped to 0..1 by a logistic curve fitted on a part of the learning rows that the counts did not
+see.  Word pairs are not modelled as expressions of their own: see README for the measurement.
 
 Defined cases: a null or empty text has no words and scores what the curve gives at zero; without
 learning rows of both classes every score is 0.5; a document labelled twice is learned twice; a null
@@ -22,37 +24,31 @@ not read.
 
 from __future__ import annotations
 
-import functools
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import crc32_mod, per_batch, read_table, stored
 from kestrel.llm.language import held_out
-from kestrel.llm.wordscores import WordValues, coded_words, text_sums
+from kestrel.llm.wordscores import coded_words
 
-ORDER = 4
 DISCOUNT = 0.75
-PRIOR_WORDS = 10.0
-#: Counts are kept in this many cells by the hash of the expression, so the model's size is fixed.
-CELLS = 1 << 20
+PRIOR_WORDS = 30.0
+#: 16 is exceeded by chance by one word in 16,000.
+MIN_G = 16.0
 HELD_OUT_MOD, HELD_OUT = 3, 1
 #: A fifth of the learning rows is kept from the counts, for the logistic curve.
 CURVE_MOD, CURVE = 5, 0
-#: The curve is fitted on a histogram of the scores with this many steps to a unit (of letters, of words).
-GRID = 200
-WORD_GRID = 2
-#: 16 is exceeded by chance by one word in 16,000.
-MIN_G = 16.0
-MAX_SCORE = 50.0
+#: The curve sees differences per hundred words, in a histogram with this many steps to a unit.
+PER_WORDS = 100.0
+GRID = 20
+MAX_SCORE = 500.0
 THRESHOLD = 0.7
 
-_SEED = 42  # the seed of Spark's xxhash64
+#: Stands before a text's first word; no word is empty.
+START = ""
 
 
 def clean(texts: pa.Array) -> pa.Array:
@@ -60,157 +56,119 @@ def clean(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN]+", " ")
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic): the documents of each class that hold a word, over all rows of (toxic, text).
+def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, document of every word in a row, index of every word)."""
+    words, index, bounds = coded_words(clean(texts))
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    real = np.array([w != "" for w in words], bool)[index] if words else np.zeros(0, bool)
+    return words, doc[real], index[real].astype(np.int64)
+
 
-    Documents are counted, not occurrences, so one that repeats a word tells no more about it than another.
-    The table grows with the learning texts.
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(before, word, ordinary, toxic) over all rows of (toxic, text): the documents of each class that hold the pair.
+
+    ``before`` is null for a word by itself and START for the word a text begins with.  Documents are counted, not
+    occurrences, so one that repeats a word tells no more about it than another.  The table grows with the learning texts.
     """
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, index, bounds = coded_words(clean(batch.column(1)))
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        doc, index = np.divmod(np.unique(doc * max(1, len(words)) + index), max(1, len(words)))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        words, doc, index = tokens(batch.column(1))
+        if not len(index):
+            return None
+        # places of ``before`` among words, then START, then none (the word by itself)
+        names, v = pa.array([*words, START, None], pa.string()), len(words) + 2
+        first = np.r_[True, doc[1:] != doc[:-1]]
+        before = np.where(first, v - 2, np.r_[0, index[:-1]])
+        keys = np.concatenate([before * v + index, (v - 1) * v + index])
+        of_doc = np.unique(np.concatenate([doc, doc]) * (v * v) + keys)
+        doc, key = np.divmod(of_doc, v * v)
+        key, place = np.unique(key, return_inverse=True)
         toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
-        n = [np.bincount(index[toxic == c], minlength=len(words)) for c in (False, True)]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())],
-                                          names=["word", "ordinary", "toxic"])
-    return (per_batch(rows.select("toxic", "text"), run, "word string, ordinary long, toxic long")
-            .where("word != ''").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+        n = [np.bincount(place[toxic == c], minlength=len(key)) for c in (False, True)]
+        return pa.RecordBatch.from_arrays(
+            [names.take(pa.array(key // v)), names.take(pa.array(key % v)), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())],
+            names=["before", "word", "ordinary", "toxic"])
+    return (per_batch(rows.select("toxic", "text"), run, "before string, word string, ordinary long, toxic long")
+            .groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
 
 
-def _cell(col: Column | str) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(CELLS)).cast("int")
+def word_counts(pairs: DataFrame) -> DataFrame:
+    """(word, ordinary, toxic, own0, own1, shared): documents by class, own counts by class, continuation count of both."""
+    def alone(c: str) -> Column:
+        return F.sum(F.when(F.col("before").isNull(), F.col(c)).otherwise(0))
 
+    def places(c: Column) -> Column:
+        return F.sum((F.col("before").isNotNull() & c).cast("long"))
+    of_word = pairs.groupBy("word").agg(
+        alone("ordinary").alias("ordinary"), alone("toxic").alias("toxic"), places(F.col("ordinary") > 0).alias("before0"),
+        places(F.col("toxic") > 0).alias("before1"), places(F.lit(True)).alias("shared"))
+    return of_word.select("word", "ordinary", "toxic", F.least("ordinary", "before0").alias("own0"),
+                          F.least("toxic", "before1").alias("own1"), "shared")
 
-def count_tables(words: DataFrame) -> dict[str, np.ndarray]:
-    """The counts of the models, as arrays of CELLS numbers.
 
-    ``own*``/``ctx*``/``kinds*``: per class, an expression's count, a context's count and how many letters
-    followed it.  ``cont``/``cont_ctx``/``cont_kinds``: the same of the shared continuation counts.
-    """
-    marked = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("w"), "ordinary", "toxic")
-    ends = F.explode(F.sequence(F.lit(2), F.length("w")))
-    grams = marked.select("w", "ordinary", "toxic", ends.alias("e")).select(
-        F.expr(f"substring(w, greatest(1, e - {ORDER - 1}), least(e, {ORDER}))").alias("g"), "ordinary", "toxic")
-    top = stored(grams.groupBy("g").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "grams")
-    context = F.expr("substring(g, 1, length(g) - 1)")
-    tables: dict[str, np.ndarray] = {}
-
-    def keep(df: DataFrame, key: Column, **sums: Column) -> None:
-        rows = df.groupBy(_cell(key).alias("cell")).agg(*[F.sum(v).alias(k) for k, v in sums.items()]).toPandas()
-        for name in sums:
-            tables[name] = np.zeros(CELLS, np.float32)
-            tables[name][rows["cell"]] = rows[name]
-    keep(top, F.col("g"), own0=F.col("ordinary"), own1=F.col("toxic"))
-    keep(top, context, ctx0=F.col("ordinary"), ctx1=F.col("toxic"),
-         kinds0=(F.col("ordinary") > 0).cast("int"), kinds1=(F.col("toxic") > 0).cast("int"))
-    # a level's expressions are the next level's without their first letter
-    level = top.where(f"length(g) = {ORDER}").select("g")
-    shared = None
-    for size in range(ORDER - 1, 0, -1):
-        lower = level.groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        shared = lower if shared is None else shared.unionByName(lower)
-        level = lower.select("g").unionByName(top.where(f"length(g) = {size}").select("g")).distinct()
-    shared = stored(shared.groupBy("g").agg(F.sum("n").alias("n")), "continuations")
-    keep(shared, F.col("g"), cont=F.col("n"))
-    keep(shared, context, cont_ctx=F.col("n"), cont_kinds=F.lit(1))
-    tables["letters"] = np.array([shared.where("length(g) = 1").count() + 1.0])
-    return tables
-
-
-class Model:
-    """Log-likelihood differences of words by the count tables."""
-
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.t = tables
-        self.gram = functools.lru_cache(maxsize=500_000)(self._gram)
-        self.shared = functools.lru_cache(maxsize=500_000)(self._shared)
-
-    @staticmethod
-    def _at(g: str) -> int:
-        return xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass"), _SEED) % CELLS
-
-    def _shared(self, g: str) -> float:
-        """Continuation probability of the last letter after the ones before it."""
-        if not g:
-            return 1.0 / float(self.t["letters"][0])
-        lower, c = self.shared(g[1:]), self._at(g[:-1])
-        total = float(self.t["cont_ctx"][c])
-        if not total:
-            return lower
-        return (max(float(self.t["cont"][self._at(g)]) - DISCOUNT, 0.0)
-                + DISCOUNT * float(self.t["cont_kinds"][c]) * lower) / total
-
-    def _gram(self, g: str) -> float:
-        lower, c, own = self.shared(g[1:]), self._at(g[:-1]), self._at(g)
-        logs = []
-        for k in "01":
-            total = float(self.t["ctx" + k][c])
-            p = lower if not total else (max(float(self.t["own" + k][own]) - DISCOUNT, 0.0)
-                                         + DISCOUNT * float(self.t["kinds" + k][c]) * lower) / total
-            logs.append(math.log(max(p, 1e-12)))
-        return logs[1] - logs[0]
-
-    def words(self, words: list[str]) -> np.ndarray:
-        out = []
-        for w in words:
-            s = "^" + w + "$"
-            out.append(sum([self.gram(s[max(0, e - ORDER):e]) for e in range(2, len(s) + 1)]))
-        return np.array(out).reshape(-1, 1)
+def differs(n0: int, n1: int) -> Column:
+    """Whether a word's documents differ between n0 ordinary and n1 toxic ones by more than chance."""
+    share = (F.col("ordinary") + F.col("toxic")) / (n0 + n1)
+
+    def part(k: Column, n: int) -> Column:
+        # a word's documents and those without it
+        return (F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
+                + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0))
+    return 2 * (part(F.col("ordinary"), n0) + part(F.col("toxic"), n1)) >= MIN_G
 
 
 def word_weights(words: DataFrame, n0: int, n1: int) -> DataFrame:
-    """(word, weight): log ratios of the words whose document counts differ between the classes by more than chance.
+    """(word, weight): log ratio of the kept words' probabilities in the two models, against an unknown word's.
 
     ``words``: rows of ``word_counts`` over ``n0`` ordinary and ``n1`` toxic documents.
     """
-    share = (F.col("ordinary") + F.col("toxic")) / (n0 + n1)
+    kept = differs(n0, n1)
 
-    def part(k: Column, n: int) -> Column:
-        # a word's documents and those without it
-        return (F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
-                + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0))
-    g = 2 * (part(F.col("ordinary"), n0) + part(F.col("toxic"), n1))
-    ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("ordinary") + 0.5) / (n0 + 1))
-    return words.where(g >= MIN_G).select("word", ratio.alias("weight"))
+    def left(c: str) -> Column:
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+    s = words.agg(*[F.sum(c).alias(c) for c in ("own0", "own1", "shared")], F.count(F.lit(1)).alias("kinds"),
+                  *[F.sum(F.when(kept, left(c)).otherwise(0.0)).alias("kept_" + c) for c in ("own0", "own1")]).first()
+    free = [1 - s["kept_own0"] / max(s["own0"], 1), 1 - s["kept_own1"] / max(s["own1"], 1)]
+    shared = (left("shared") + DISCOUNT * s["kinds"] / (s["kinds"] + 1)) / s["shared"]
+    p = [left(c) / max(s[c], 1) + f * shared for c, f in (("own0", free[0]), ("own1", free[1]))]
+    return words.where(kept).select("word", (F.log(p[1] / p[0]) - float(np.log(free[1] / free[0]))).alias("weight"))
 
 
-def differences(docs: DataFrame, tables, weights: DataFrame) -> DataFrame:
-    """Add x, the length-normalised log-likelihood difference, and y, the sum of the words' weights, in place of the text."""
-    state: dict[str, WordValues] = {}
+def differences(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Add x, the length-normalised log-likelihood difference per PER_WORDS words, in place of the text.
+
+    ``weights`` holds only words that differ by more than chance, so Catalyst broadcasts it by its stored size; were
+    it large, the join would shuffle.
+    """
     at, names = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state["values"] = WordValues(Model(tables.value).words, 1)
-        words, index, bounds = coded_words(clean(batch.column(at)))
-        empty = np.array([w == "" for w in words], bool)
-        n = text_sums((~empty).astype(float).reshape(-1, 1), index, bounds)[:, 0]
-        x = text_sums(state["values"](words), index, bounds)[:, 0] / (n + PRIOR_WORDS)
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-        doc, held = np.divmod(np.unique(doc * max(1, len(words)) + index), max(1, len(words)))
+        words, doc, index = tokens(batch.column(at))
+        v = max(1, len(words))
+        doc, index = np.divmod(np.unique(doc * v + index), v)
         places = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        held = pa.ListArray.from_arrays(pa.array(places), pa.array(words, pa.string()).take(pa.array(held)))
+        held = pa.ListArray.from_arrays(pa.array(places), pa.array(words, pa.string()).take(pa.array(index)))
         return pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(x), held], names=[*names, "x", "words"])
+            [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(np.diff(places).astype(np.int64)), held],
+            names=[*names, "n", "words"])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    rows = per_batch(docs, run, fields + ", x double, words array<string>").withColumn("_row", F.monotonically_increasing_id())
-    held = rows.select("_row", *names, "x", F.explode_outer("words").alias("word")).join(weights, "word", "left")
-    return (held.groupBy("_row", *names, "x").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("y")).drop("_row"))
+    rows = per_batch(docs, run, fields + ", n long, words array<string>").withColumn("_row", F.monotonically_increasing_id())
+    held = rows.select("_row", *names, "n", F.explode_outer("words").alias("word")).join(weights, "word", "left")
+    x = F.coalesce(F.sum("weight"), F.lit(0.0)) * PER_WORDS / (F.col("n") + PRIOR_WORDS)
+    return held.groupBy("_row", *names, "n").agg(x.alias("x")).drop("_row", "n")
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Logistic (slope of x, slope of y, offset) by Newton steps on histogram counts, with a small ridge."""
-    at, n = np.stack([x, y, np.ones_like(x)]), ordinary + toxic
+def fit_curve(x: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic (slope, offset) by Newton steps on histogram counts, with a small ridge."""
+    at, n = np.stack([x, np.ones_like(x)]), ordinary + toxic
 
     def loss(c: np.ndarray) -> float:
         z = c @ at
         return float((n * np.logaddexp(0, z) - toxic * z).sum() + 5e-4 * c @ c)
-    c = np.zeros(3)
+    c = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(c @ at, -30, 30)))
         g = at @ (toxic - n * p) - 1e-3 * c
-        step = np.linalg.solve((at * (n * p * (1 - p))) @ at.T + 1e-3 * np.eye(3), g)
+        step = np.linalg.solve((at * (n * p * (1 - p))) @ at.T + 1e-3 * np.eye(2), g)
         # a full step can overshoot where the curve is flat
         while loss(c + step) > loss(c) and np.abs(step).max() >= 1e-9:
             step = step / 2
@@ -222,30 +180,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ordinary: np.ndarray, toxic: np.ndar
 
 def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, score.  ``labelled``: rows of (doc_id, text, toxic)."""
-    sc = docs.sparkSession.sparkContext
     rows = stored(labelled.where("toxic IN (0, 1)").select("doc_id", "text", "toxic"), "labelled")
     for_curve = F.coalesce(crc32_mod("doc_id", CURVE_MOD) == CURVE, F.lit(False))
     learning = rows.where(~for_curve)
-    words = stored(word_counts(learning), "words")
-    seen = words.agg(F.sum("ordinary"), F.sum("toxic")).first()
+    sizes = learning.agg(F.sum((F.col("toxic") == 0).cast("long")).alias("n0"), F.sum((F.col("toxic") == 1).cast("long")).alias("n1")).first()
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if not seen[0] or not seen[1]:
+    if not sizes["n0"] or not sizes["n1"]:
+        return plain.select("doc_id", F.lit(0.5).alias("score"))
+    words = stored(word_counts(pair_counts(learning)), "words")
+    if words.isEmpty():
         return plain.select("doc_id", F.lit(0.5).alias("score"))
-    tables = sc.broadcast(count_tables(words))
-    sizes = learning.agg(F.sum((F.col("toxic") == 0).cast("long")).alias("n0"), F.sum((F.col("toxic") == 1).cast("long")).alias("n1")).first()
     weights = stored(word_weights(words, *sizes), "weights")
-    step = {c: F.round(F.least(F.greatest(c, F.lit(-MAX_SCORE)), F.lit(MAX_SCORE)) * n).cast("int").alias(c)
-            for c, n in (("x", GRID), ("y", WORD_GRID))}
-    hist = (differences(rows.where(for_curve).select("toxic", "text"), tables, weights)
-            .groupBy(*step.values()).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+    step = F.round(F.least(F.greatest("x", F.lit(-MAX_SCORE)), F.lit(MAX_SCORE)) * GRID).cast("int").alias("x")
+    hist = (differences(rows.where(for_curve).select("toxic", "text"), weights)
+            .groupBy(step).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
             .toPandas())
     if hist["toxic"].sum() == 0 or hist["ordinary"].sum() == 0:
-        of_x, of_y, offset = 1.0, 1.0, 0.0
+        slope, offset = 1.0, 0.0
     else:
-        of_x, of_y, offset = map(float, fit_curve(hist["x"].to_numpy() / GRID, hist["y"].to_numpy() / WORD_GRID,
-                                                  *(hist[c].to_numpy(float) for c in ("ordinary", "toxic"))))
-    z = F.col("x") * F.lit(of_x) + F.col("y") * F.lit(of_y) + F.lit(offset)
-    return differences(plain, tables, weights).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
+        slope, offset = map(float, fit_curve(hist["x"].to_numpy() / GRID, *(hist[c].to_numpy(float) for c in ("ordinary", "toxic"))))
+    z = F.col("x") * F.lit(slope) + F.lit(offset)
+    return differences(plain, weights).select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

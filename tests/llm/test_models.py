@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -76,62 +77,61 @@ def test_language_odd_rows(make, odd, none):
 
 # ---- toxicity -------------------------------------------------------------------------
 
-def test_letter_model_against_plain_counts(spark):
-    """Kneser-Ney over letters, written with dictionaries."""
-    words = [("idiot", 0, 5), ("the", 50, 9), ("then", 20, 3), ("id", 4, 0), ("clown", 0, 4), ("low", 7, 1)]
-    tables = X.count_tables(spark.createDataFrame(words, "word string, ordinary long, toxic long"))
-    n, d = X.ORDER, X.DISCOUNT
-    top = [{}, {}]
-    for w, *c in words:
-        s = "^" + w + "$"
-        for e in range(2, len(s) + 1):
-            g = s[max(0, e - n):e]
-            for k in (0, 1):
-                top[k][g] = top[k].get(g, 0) + c[k]
-    level, cont = {g for g in top[0] if len(g) == n}, {}
-    for m in range(n - 1, 0, -1):
-        for g in level:
-            cont[g[1:]] = cont.get(g[1:], 0) + 1
-        level = {g[1:] for g in level} | {g for g in top[0] if len(g) == m}
-
-    def shared(g):
-        if not g:
-            return 1 / (sum(len(x) == 1 for x in cont) + 1)
-        after = [v for x, v in cont.items() if len(x) == len(g) and x[:-1] == g[:-1]]
-        if not after:
-            return shared(g[1:])
-        return (max(cont.get(g, 0) - d, 0) + d * len(after) * shared(g[1:])) / sum(after)
-
-    def own(k, g):
-        after = [v for x, v in top[k].items() if len(x) == len(g) and x[:-1] == g[:-1] and v]
-        if not after:
-            return shared(g[1:])
-        return (max(top[k].get(g, 0) - d, 0) + d * len(after) * shared(g[1:])) / sum(after)
-    model = X.Model(tables)
-    for w in ("idiot", "the", "clowns", "zebra", "lo"):
-        s = "^" + w + "$"
-        want = sum(math.log(own(1, g) / own(0, g)) for g in (s[max(0, e - n):e] for e in range(2, len(s) + 1)))
-        assert abs(model.words([w])[0, 0] - want) < 1e-4
+def test_toxicity_against_plain_counts(make, spark):
+    """The same Kneser-Ney models, written with dictionaries."""
+    rng = random.Random(4)
+    calm = ["the", "house", "and", "tree", "quiet", "river", "stone", "of", "Über", "x1"]
+    rows = []
+    for k in range(120):
+        w = [rng.choice(calm) for _ in range(rng.randint(0, 12))]
+        if k % 3 == 0:
+            w.insert(rng.randint(0, len(w)), rng.choice(["idiot", "clown"]))
+        if k % 9 == 0:
+            w += "copied passage of ten".split()          # many documents, but one word before each
+        rows.append((k, ", ".join(w) if k != 5 else None, int(k % 3 == 0)))
+    docs, before, own = [{}, {}], [{}, {}], [{}, {}]
+    for _, text, c in rows:
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        for x in set(w):
+            docs[c][x] = docs[c].get(x, 0) + 1
+        for a, x in zip(["", *w], w, strict=False):
+            before[c].setdefault(x, set()).add(a)
+    for c in (0, 1):
+        own[c] = {x: min(n, len(before[c][x])) for x, n in docs[c].items()}
+    shared = {x: len(before[0].get(x, set()) | before[1].get(x, set())) for x in {*docs[0], *docs[1]}}
+    size = [80, 40]
+
+    def kept(x):
+        k, g = [docs[c].get(x, 0) for c in (0, 1)], 0.0
+        for c in (0, 1):
+            for seen, share in ((k[c], sum(k) / 120), (size[c] - k[c], 1 - sum(k) / 120)):
+                g += 2 * seen * math.log(seen / (size[c] * share)) if seen else 0
+        return g >= X.MIN_G
+    total, d = [sum(o.values()) for o in own], X.DISCOUNT
+    free = [1 - sum(max(n - d, 0) for x, n in own[c].items() if kept(x)) / total[c] for c in (0, 1)]
+
+    def p(c, x):
+        low = (max(shared[x] - d, 0) + d * len(shared) / (len(shared) + 1)) / sum(shared.values())
+        return max(own[c].get(x, 0) - d, 0) / total[c] + free[c] * low
+    want = {x: math.log(p(1, x) / p(0, x)) - math.log(free[1] / free[0]) for x in shared if kept(x)}
+    pairs = X.pair_counts(make(rows, "doc_id long, text string, toxic int").repartition(3))
+    weights = X.word_weights(X.word_counts(pairs), *size)
+    got = {r["word"]: r["weight"] for r in weights.collect()}
+    assert got.keys() == want.keys() and {"idiot", "clown", "passage"} <= got.keys()
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want) and got["idiot"] > 2 * got["passage"] > 0
+    out = {r["doc_id"]: r["x"] for r in X.differences(make(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), weights).collect()}
+    for k, text, _ in rows:
+        w = set(re.findall(r"[^\W_]+", (text or "").lower()))
+        assert abs(out[k] - 100 * sum(want.get(x, 0) for x in w) / (len(w) + X.PRIOR_WORDS)) < 1e-9
 
 
 def test_held_out_toxicity(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    out = X.op9_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").toPandas()
-    held = out[out.held_out]
-    rank = held.score.rank()
-    n1 = held.toxic.sum()
-    auc = (rank[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(held) - n1))
-    assert auc > 0.72  # two fifths of these few toxic documents use expressions rare even in their class
-    assert held[held.predicted == 1].toxic.mean() > 0.9
-    assert held[held.toxic == 1].predicted.mean() > 0.3
-
-
-def test_held_out_toxicity_by_whole_words(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     held = X.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(labels, "doc_id").toPandas()
     found = held[held.predicted == 1]
     print("recall", held[held.toxic == 1].predicted.mean(), "precision", found.toxic.mean(), "false", (found.toxic == 0).sum())
-    assert found.toxic.mean() > 0.95 and held[held.toxic == 1].predicted.mean() > 0.8
+    assert found.toxic.mean() > 0.97 and held[held.toxic == 1].predicted.mean() > 0.85
+    assert held.score.between(0, 1).all()
 
 
 def test_toxicity_odd_rows(make, odd, none):
