@@ -65,10 +65,11 @@ def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """(before, word, ordinary, toxic) over all rows of (toxic, text): the documents of each class that hold the pair.
+    """(expression, ordinary, toxic) over all rows of (toxic, text): the documents of each class that hold it.
 
-    ``before`` is null for a word by itself and START for the word a text begins with.  Documents are counted, not
-    occurrences, so one that repeats a word tells no more about it than another.  The table grows with the learning texts.
+    An expression is a word, or a word and the one before it (START for the word a text begins with) with a space
+    between.  Documents are counted, not occurrences, so one that repeats a word tells no more about it than another.
+    The table grows with the learning texts.
     """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         words, doc, index = tokens(batch.column(1))
@@ -84,21 +85,28 @@ def pair_counts(rows: DataFrame) -> DataFrame:
         key, place = np.unique(key, return_inverse=True)
         toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
         n = [np.bincount(place[toxic == c], minlength=len(key)) for c in (False, True)]
-        return pa.RecordBatch.from_arrays(
-            [names.take(pa.array(key // v)), names.take(pa.array(key % v)), pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())],
-            names=["before", "word", "ordinary", "toxic"])
-    return (per_batch(rows.select("toxic", "text"), run, "before string, word string, ordinary long, toxic long")
-            .groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+        both = pc.binary_join_element_wise(names.take(pa.array(key // v)), names.take(pa.array(key % v)), " ", null_handling="skip")
+        return pa.RecordBatch.from_arrays([both, pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())],
+                                          names=["expression", "ordinary", "toxic"])
+    # one string and one number a row: less to shuffle than two of each (a class has fewer than 2^31 documents)
+    both = F.col("ordinary") + F.col("toxic") * F.lit(1 << 31)
+    return (per_batch(rows.select("toxic", "text"), run, "expression string, ordinary long, toxic long")
+            .select("expression", both.alias("n")).groupBy("expression").agg(F.sum("n").alias("n"))
+            .select("expression", F.expr(f"n % {1 << 31}").alias("ordinary"), F.expr(f"n div {1 << 31}").alias("toxic")))
 
 
 def word_counts(pairs: DataFrame) -> DataFrame:
     """(word, ordinary, toxic, own0, own1, shared): documents by class, own counts by class, continuation count of both."""
+    paired = F.col("paired")
+
     def alone(c: str) -> Column:
-        return F.sum(F.when(F.col("before").isNull(), F.col(c)).otherwise(0))
+        return F.sum(F.when(paired, 0).otherwise(F.col(c)))
 
     def places(c: Column) -> Column:
-        return F.sum((F.col("before").isNotNull() & c).cast("long"))
-    of_word = pairs.groupBy("word").agg(
+        return F.sum((paired & c).cast("long"))
+    split = pairs.select(F.substring_index("expression", " ", -1).alias("word"), F.contains("expression", F.lit(" ")).alias("paired"),
+                         "ordinary", "toxic")
+    of_word = split.groupBy("word").agg(
         alone("ordinary").alias("ordinary"), alone("toxic").alias("toxic"), places(F.col("ordinary") > 0).alias("before0"),
         places(F.col("toxic") > 0).alias("before1"), places(F.lit(True)).alias("shared"))
     return of_word.select("word", "ordinary", "toxic", F.least("ordinary", "before0").alias("own0"),
