@@ -5,13 +5,14 @@ divided by their number (plus PRIOR_WORDS, which holds back texts of a few words
 
     P(word) = (own count - DISCOUNT, if the word is kept) / own total + freed share * shared(word)
 
-* an own count is the number of the class's documents that hold the word, at most the number of different words
-  seen before it there (the Kneser-Ney continuation count), so copies of one document do not add up;
-* ``shared`` are continuation counts over both classes, discounted down to equal parts for unknown words;
 * a word is kept if its documents differ between the classes by more than chance (likelihood ratio of at least
   MIN_G).  The counts of all other words are discounted whole: both models then judge them by the same shared
   counts, and they tell nothing but the classes' freed shares.  That constant, which an unknown word gets too,
-  is left out, so any spelling model below ``shared`` would cancel and there is none.
+  is left out, so any spelling model below ``shared`` would cancel and there is none;
+* the own count of a kept word is the number of the class's documents that hold it, at most the number of different
+  words seen before it there (the Kneser-Ney continuation count), so copies of one document do not add up; the total
+  is of documents, and what the copies lose is freed too;
+* ``shared`` has the same counts over both classes, discounted down to equal parts for unknown words.
 
 The difference is mapped to 0..1 by a logistic curve fitted on a part of the learning rows that the counts did not
 see.  Word pairs are not modelled as expressions of their own: see README for the measurement.
@@ -64,53 +65,42 @@ def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, doc[real], index[real].astype(np.int64)
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """(expression, ordinary, toxic) over all rows of (toxic, text): the documents of each class that hold it.
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, ordinary, toxic): the documents of each class that hold a word, over all rows of (toxic, text).
 
-    An expression is a word, or a word and the one before it (START for the word a text begins with) with a space
-    between.  Documents are counted, not occurrences, so one that repeats a word tells no more about it than another.
+    Documents are counted, not occurrences, so one that repeats a word tells no more about it than another.
     The table grows with the learning texts.
     """
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, doc, index = tokens(batch.column(1))
-        if not len(index):
-            return None
-        # places of ``before`` among words, then START, then none (the word by itself)
-        names, v = pa.array([*words, START, None], pa.string()), len(words) + 2
-        first = np.r_[True, doc[1:] != doc[:-1]]
-        before = np.where(first, v - 2, np.r_[0, index[:-1]])
-        keys = np.concatenate([before * v + index, (v - 1) * v + index])
-        of_doc = np.unique(np.concatenate([doc, doc]) * (v * v) + keys)
-        doc, key = np.divmod(of_doc, v * v)
-        key, place = np.unique(key, return_inverse=True)
+        v = max(1, len(words))
+        doc, index = np.divmod(np.unique(doc * v + index), v)
         toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)[doc]
-        n = [np.bincount(place[toxic == c], minlength=len(key)) for c in (False, True)]
-        both = pc.binary_join_element_wise(names.take(pa.array(key // v)), names.take(pa.array(key % v)), " ", null_handling="skip")
-        return pa.RecordBatch.from_arrays([both, pa.array(n[0], pa.int64()), pa.array(n[1], pa.int64())],
-                                          names=["expression", "ordinary", "toxic"])
-    # one string and one number a row: less to shuffle than two of each (a class has fewer than 2^31 documents)
-    both = F.col("ordinary") + F.col("toxic") * F.lit(1 << 31)
-    return (per_batch(rows.select("toxic", "text"), run, "expression string, ordinary long, toxic long")
-            .select("expression", both.alias("n")).groupBy("expression").agg(F.sum("n").alias("n"))
-            .select("expression", F.expr(f"n % {1 << 31}").alias("ordinary"), F.expr(f"n div {1 << 31}").alias("toxic")))
-
-
-def word_counts(pairs: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic, own0, own1, shared): documents by class, own counts by class, continuation count of both."""
-    paired = F.col("paired")
-
-    def alone(c: str) -> Column:
-        return F.sum(F.when(paired, 0).otherwise(F.col(c)))
-
-    def places(c: Column) -> Column:
-        return F.sum((paired & c).cast("long"))
-    split = pairs.select(F.substring_index("expression", " ", -1).alias("word"), F.contains("expression", F.lit(" ")).alias("paired"),
-                         "ordinary", "toxic")
-    of_word = split.groupBy("word").agg(
-        alone("ordinary").alias("ordinary"), alone("toxic").alias("toxic"), places(F.col("ordinary") > 0).alias("before0"),
-        places(F.col("toxic") > 0).alias("before1"), places(F.lit(True)).alias("shared"))
-    return of_word.select("word", "ordinary", "toxic", F.least("ordinary", "before0").alias("own0"),
-                          F.least("toxic", "before1").alias("own1"), "shared")
+        n = [pa.array(np.bincount(index[toxic == c], minlength=len(words)), pa.int64()) for c in (False, True)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *n], names=["word", "ordinary", "toxic"])
+    return (per_batch(rows.select("toxic", "text"), run, "word string, ordinary long, toxic long")
+            .where("word != ''").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+
+
+def continuation_counts(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """(word, before0, before1, before): different words that stand before a word of ``kept``, by class and in all.
+
+    The pairs meet ``kept`` (few words, broadcast by its stored size) before they are shuffled.
+    """
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, doc, index = tokens(batch.column(1))
+        names, v = pa.array([*words, START], pa.string()), len(words) + 1
+        first = np.r_[True, doc[1:] != doc[:-1]][:len(doc)]
+        before = np.where(first, v - 1, np.r_[0, index[:-1]][:len(doc)])
+        toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc]
+        key, toxic = np.divmod(np.unique((before * v + index) * 2 + toxic), 2)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(key // v)), names.take(pa.array(key % v)), pa.array(toxic)],
+                                          names=["before", "word", "toxic"])
+    pairs = (per_batch(rows.select("toxic", "text"), run, "before string, word string, toxic long")
+             .join(kept.select("word"), "word").groupBy("word", "before")
+             .agg(F.min("toxic").alias("least"), F.max("toxic").alias("most")))
+    return pairs.groupBy("word").agg(F.sum((F.col("least") == 0).cast("long")).alias("before0"),
+                                     F.sum("most").alias("before1"), F.count(F.lit(1)).alias("before"))
 
 
 def differs(n0: int, n1: int) -> Column:
@@ -124,21 +114,23 @@ def differs(n0: int, n1: int) -> Column:
     return 2 * (part(F.col("ordinary"), n0) + part(F.col("toxic"), n1)) >= MIN_G
 
 
-def word_weights(words: DataFrame, n0: int, n1: int) -> DataFrame:
+def word_weights(words: DataFrame, kept: DataFrame, n0: int, n1: int) -> DataFrame:
     """(word, weight): log ratio of the kept words' probabilities in the two models, against an unknown word's.
 
-    ``words``: rows of ``word_counts`` over ``n0`` ordinary and ``n1`` toxic documents.
+    ``words``: ``word_counts`` over ``n0`` ordinary and ``n1`` toxic documents; ``kept``: those that differ, with
+    their ``continuation_counts``.
     """
-    kept = differs(n0, n1)
-
-    def left(c: str) -> Column:
-        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
-    s = words.agg(*[F.sum(c).alias(c) for c in ("own0", "own1", "shared")], F.count(F.lit(1)).alias("kinds"),
-                  *[F.sum(F.when(kept, left(c)).otherwise(0.0)).alias("kept_" + c) for c in ("own0", "own1")]).first()
-    free = [1 - s["kept_own0"] / max(s["own0"], 1), 1 - s["kept_own1"] / max(s["own1"], 1)]
-    shared = (left("shared") + DISCOUNT * s["kinds"] / (s["kinds"] + 1)) / s["shared"]
-    p = [left(c) / max(s[c], 1) + f * shared for c, f in (("own0", free[0]), ("own1", free[1]))]
-    return words.where(kept).select("word", (F.log(p[1] / p[0]) - float(np.log(free[1] / free[0]))).alias("weight"))
+    own = {"own0": F.least("ordinary", "before0"), "own1": F.least("toxic", "before1")}
+    left = {k: F.greatest(v - DISCOUNT, F.lit(0.0)) for k, v in own.items()}
+    s = words.agg(F.sum("ordinary").alias("own0"), F.sum("toxic").alias("own1"), F.count(F.lit(1)).alias("kinds")).first()
+    both = F.least(F.col("ordinary") + F.col("toxic"), F.col("before"))
+    of_kept = kept.agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in left.items()],
+                       F.coalesce(F.sum(F.col("ordinary") + F.col("toxic") - both), F.lit(0)).alias("copies")).first()
+    free = {k: 1 - of_kept[k] / max(s[k], 1) for k in left}
+    shared = ((F.greatest(both - DISCOUNT, F.lit(0.0)) + DISCOUNT * s["kinds"] / (s["kinds"] + 1))
+              / (s["own0"] + s["own1"] - of_kept["copies"]))
+    p = {k: left[k] / max(s[k], 1) + free[k] * shared for k in left}
+    return kept.select("word", (F.log(p["own1"] / p["own0"]) - float(np.log(free["own1"] / free["own0"]))).alias("weight"))
 
 
 def differences(docs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -195,10 +187,12 @@ def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not sizes["n0"] or not sizes["n1"]:
         return plain.select("doc_id", F.lit(0.5).alias("score"))
-    words = stored(word_counts(pair_counts(learning)), "words")
+    words = stored(word_counts(learning), "words")
     if words.isEmpty():
         return plain.select("doc_id", F.lit(0.5).alias("score"))
-    weights = stored(word_weights(words, *sizes), "weights")
+    kept = stored(words.where(differs(*sizes)), "kept")
+    kept = stored(kept.join(continuation_counts(learning, kept), "word"), "counted")
+    weights = stored(word_weights(words, kept, *sizes), "weights")
     step = F.round(F.least(F.greatest("x", F.lit(-MAX_SCORE)), F.lit(MAX_SCORE)) * GRID).cast("int").alias("x")
     hist = (differences(rows.where(for_curve).select("toxic", "text"), weights)
             .groupBy(step).agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))

@@ -96,9 +96,6 @@ def test_toxicity_against_plain_counts(make, spark):
             docs[c][x] = docs[c].get(x, 0) + 1
         for a, x in zip(["", *w], w, strict=False):
             before[c].setdefault(x, set()).add(a)
-    for c in (0, 1):
-        own[c] = {x: min(n, len(before[c][x])) for x, n in docs[c].items()}
-    shared = {x: len(before[0].get(x, set()) | before[1].get(x, set())) for x in {*docs[0], *docs[1]}}
     size = [80, 40]
 
     def kept(x):
@@ -107,15 +104,22 @@ def test_toxicity_against_plain_counts(make, spark):
             for seen, share in ((k[c], sum(k) / 120), (size[c] - k[c], 1 - sum(k) / 120)):
                 g += 2 * seen * math.log(seen / (size[c] * share)) if seen else 0
         return g >= X.MIN_G
-    total, d = [sum(o.values()) for o in own], X.DISCOUNT
-    free = [1 - sum(max(n - d, 0) for x, n in own[c].items() if kept(x)) / total[c] for c in (0, 1)]
+    words, d, nothing = {*docs[0], *docs[1]}, X.DISCOUNT, set()
+    all_docs = {x: docs[0].get(x, 0) + docs[1].get(x, 0) for x in words}
+    shared = {x: min(n, len(before[0].get(x, nothing) | before[1].get(x, nothing))) if kept(x) else n for x, n in all_docs.items()}
+    for c in (0, 1):
+        own[c] = {x: min(docs[c].get(x, 0), len(before[c].get(x, nothing))) for x in words if kept(x)}
+    total = [sum(o.values()) for o in docs]
+    free = [1 - sum(max(n - d, 0) for n in own[c].values()) / total[c] for c in (0, 1)]
 
     def p(c, x):
-        low = (max(shared[x] - d, 0) + d * len(shared) / (len(shared) + 1)) / sum(shared.values())
-        return max(own[c].get(x, 0) - d, 0) / total[c] + free[c] * low
-    want = {x: math.log(p(1, x) / p(0, x)) - math.log(free[1] / free[0]) for x in shared if kept(x)}
-    pairs = X.pair_counts(make(rows, "doc_id long, text string, toxic int").repartition(3))
-    weights = X.word_weights(X.word_counts(pairs), *size)
+        low = (max(shared[x] - d, 0) + d * len(words) / (len(words) + 1)) / sum(shared.values())
+        return max(own[c][x] - d, 0) / total[c] + free[c] * low
+    want = {x: math.log(p(1, x) / p(0, x)) - math.log(free[1] / free[0]) for x in words if kept(x)}
+    learning = make(rows, "doc_id long, text string, toxic int").repartition(3)
+    counts = X.word_counts(learning)
+    different = counts.where(X.differs(*size))
+    weights = X.word_weights(counts, different.join(X.continuation_counts(learning, different), "word"), *size)
     got = {r["word"]: r["weight"] for r in weights.collect()}
     assert got.keys() == want.keys() and {"idiot", "clown", "passage"} <= got.keys()
     assert all(abs(got[x] - want[x]) < 1e-9 for x in want) and got["idiot"] > 2 * got["passage"] > 0
