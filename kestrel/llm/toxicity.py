@@ -6,7 +6,7 @@ divided by their number (plus PRIOR_WORDS, which holds back texts of a few words
     P(word) = (own count - DISCOUNT, if the word is kept) / own total + freed share * shared(word)
 
 * a word is kept if its documents differ between the classes by more than chance (likelihood ratio of at least
-  MIN_G).  The counts of all other words are discounted whole: both models then judge them by the same shared
+  MIN_G) and by a factor of MIN_RATIO.  The counts of all other words are discounted whole: both models then judge them by the same shared
   counts, and they tell nothing but the classes' freed shares.  That constant, which an unknown word gets too,
   is left out, so any spelling model below ``shared`` would cancel and there is none;
 * the own count of a kept word is the number of the class's documents that hold it, at most the number of different
@@ -39,6 +39,8 @@ DISCOUNT = 0.75
 PRIOR_WORDS = 30.0
 #: 16 is exceeded by chance by one word in 16,000.
 MIN_G = 16.0
+#: With enough documents every difference exceeds chance; a smaller one than this says nothing of a document.
+MIN_RATIO = 2.0
 HELD_OUT_MOD, HELD_OUT = 3, 1
 #: A fifth of the learning rows is kept from the counts, for the logistic curve.
 CURVE_MOD, CURVE = 5, 0
@@ -104,14 +106,17 @@ def continuation_counts(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def differs(n0: int, n1: int) -> Column:
-    """Whether a word's documents differ between n0 ordinary and n1 toxic ones by more than chance."""
+    """Whether a word's share of n0 ordinary documents differs from its share of n1 toxic ones by more than chance and
+    by a factor of MIN_RATIO or more."""
     share = (F.col("ordinary") + F.col("toxic")) / (n0 + n1)
 
     def part(k: Column, n: int) -> Column:
         # a word's documents and those without it
         return (F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
                 + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - share)))).otherwise(0.0))
-    return 2 * (part(F.col("ordinary"), n0) + part(F.col("toxic"), n1)) >= MIN_G
+    rates = F.col("ordinary") / n0, F.col("toxic") / n1
+    return ((2 * (part(F.col("ordinary"), n0) + part(F.col("toxic"), n1)) >= MIN_G)
+            & (F.greatest(*rates) >= MIN_RATIO * F.least(*rates)))
 
 
 def word_weights(words: DataFrame, kept: DataFrame, n0: int, n1: int) -> DataFrame:

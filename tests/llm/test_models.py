@@ -103,7 +103,8 @@ def test_toxicity_against_plain_counts(make, spark):
         for c in (0, 1):
             for seen, share in ((k[c], sum(k) / 120), (size[c] - k[c], 1 - sum(k) / 120)):
                 g += 2 * seen * math.log(seen / (size[c] * share)) if seen else 0
-        return g >= X.MIN_G
+        rates = sorted(k[c] / size[c] for c in (0, 1))
+        return g >= X.MIN_G and rates[1] >= X.MIN_RATIO * rates[0]
     words, d, nothing = {*docs[0], *docs[1]}, X.DISCOUNT, set()
     all_docs = {x: docs[0].get(x, 0) + docs[1].get(x, 0) for x in words}
     shared = {x: min(n, len(before[0].get(x, nothing) | before[1].get(x, nothing))) if kept(x) else n for x, n in all_docs.items()}
