@@ -49,12 +49,17 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def stored_at(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """``stored``, and the folder, for callers that remove it when nothing reads it any more."""
+    path = scratch_path(df.sparkSession, f"llm-{kind}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write a table to the shared checkpoint folder and read it back: cuts lineage, survives
     lost executors."""
-    path = scratch_path(df.sparkSession, f"llm-{kind}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_at(df, kind)[0]
 
 
 def crc32_mod(col: str, mod: int) -> Column:

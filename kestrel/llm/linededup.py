@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import per_batch, read_table, stored
+from kestrel.llm.common import per_batch, read_table, stored, stored_at
 from kestrel.llm.components import components
+from kestrel.session import remove_scratch
 
 MAX_EDITS = 2
 MIN_CHARS = 20
@@ -245,16 +246,19 @@ def across(meeting: DataFrame, comps: DataFrame, contents: DataFrame) -> DataFra
 
 def classified_lines(docs: DataFrame) -> DataFrame:
     """``line_classes``, and a row at place -1 for every document."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(line_rows(docs), "lines")
-    keys = stored(key_rows(docs), "keys")
+    keys, keys_path = stored_at(key_rows(docs), "keys")
     # keys that come more than once and that a line owns; a few are one line's, met again in another batch
     shared = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned"))
               .where("n > 1 AND owned").select("key"))
-    met = stored(keys.join(shared, "key").groupBy("key", "line").agg(F.max("own").alias("own")), "met")
+    met, met_path = stored_at(keys.join(shared, "key").groupBy("key", "line").agg(F.max("own").alias("own")), "met")
+    remove_scratch(spark, keys_path)
     hubs = (met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("own"), F.col("line"))).alias("hub"))
             .where("n > 1").select("key", "hub"))
     meeting = stored(met.join(hubs, "key"), "meeting")
+    remove_scratch(spark, met_path)
     pairs = meeting.where("line != hub").select(F.col("hub").alias("a"), F.col("line").alias("b")).distinct()
     needed = meeting.select("line").distinct()
     contents = stored(line_texts(docs).join(needed, "line").dropDuplicates(["line"]), "contents")
