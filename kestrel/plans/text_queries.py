@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.functions.parse import parse_once, parse_point_fields, parse_ratings
 from kestrel.plans import params as P
 from kestrel.session import remove_scratch, scratch_path
-from kestrel.sources.buffers import BUFFER_BYTES, BufferSource
+from kestrel.sources.buffers import BUFFER_BYTES, SLICE_BUFFERS, BufferSource
 from kestrel.sources.replay import batch_rows
 from kestrel.sources.tables import ratings_from_orders, read_table, text_point_lines, text_rating_lines
 from kestrel.sources.text import clean_rating_lines
@@ -98,11 +98,14 @@ def stream_lines_clean_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 through a stream that can be replayed: buffers of fixed size, cleaned batch by batch."""
     spark.dataSource.register(BufferSource)
     sent, out = scratch_path(spark, "buffers"), scratch_path(spark, "lines")
-    # a buffer: the packed lines and NULs up to its size; the separator is its last byte
-    packed_sends(spark, sf_dir).select(F.rpad("value", BUFFER_BYTES - 1, "\u0000")).write.text(sent)
-    total = spark.read.format("binaryFile").load(sent).agg(F.sum("length")).first()[0] or 0
+    # a buffer: the packed lines and NULs up to its size; the separator is its last byte.  Files are gzipped, as NULs are
+    # most of them, and hold what a task reads at a time
+    written = Observation()
+    (packed_sends(spark, sf_dir).select(F.rpad("value", BUFFER_BYTES - 1, "\u0000").alias("value"))
+     .observe(written, F.count(F.lit(1)).alias("n"))
+     .write.option("compression", "gzip").option("maxRecordsPerFile", SLICE_BUFFERS).text(sent))
     stream = (spark.readStream.format("buffers").option("path", sent)
-              .option("maxBuffersPerTrigger", batch_rows(total // BUFFER_BYTES)).load())
+              .option("maxBuffersPerTrigger", batch_rows(written.get["n"])).load())
 
     def clean(batch: DataFrame, batch_id: int) -> None:
         lines = clean_rating_lines(batch).filter(F.col("reject").isNull()).select("line")
