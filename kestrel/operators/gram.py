@@ -14,6 +14,9 @@ the packed arrays natively.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,12 +32,24 @@ def packed_len(p: int) -> int:
     return p * (p + 1) // 2
 
 
+@lru_cache
+def _triangle(p: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(p)
+
+
+@lru_cache
+def _places(p: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Where a packed triangle holds its diagonal, and the row and column of each of its numbers."""
+    pairs = [(int(i), int(j)) for i, j in zip(*_triangle(p))]
+    return [k for k, (i, j) in enumerate(pairs) if i == j], pairs
+
+
 def unpack(s, p: int):
     """Packed sums -> (G (p-1 x p-1), c (p-1), yy) as NumPy arrays."""
-    m = np.zeros((p, p))
-    iu = np.triu_indices(p)
-    m[iu] = s
-    m = m + np.triu(m, 1).T
+    m = np.empty((p, p))
+    i, j = _triangle(p)
+    m[i, j] = s
+    m[j, i] = s
     return m[:-1, :-1], m[:-1, -1], m[-1, -1]
 
 
@@ -47,14 +62,14 @@ def settled(s, p: int, digits: int):
     steps of the count-window rules would amplify; sums differ from the exact ones by
     less than one part in 10^(digits - 1) of their scale.
     """
-    m = np.zeros((p, p))
-    iu = np.triu_indices(p)
-    m[iu] = s
-    root = np.sqrt(np.diag(m))
-    scale = np.outer(root, root)[iu]
-    places = digits - 1 - np.floor(np.log10(np.where(scale > 0, scale, 1.0))).astype(int)
-    out = [round(float(v), int(k)) if z > 0 else 0.0
-           for v, k, z in zip(np.asarray(s, dtype=float), places, scale)]
+    s = np.asarray(s, dtype=float).tolist()
+    diagonal, pairs = _places(p)
+    root = [math.sqrt(s[k]) if s[k] > 0 else 0.0 for k in diagonal]
+    out = []
+    for v, (i, j) in zip(s, pairs, strict=True):
+        scale = root[i] * root[j]
+        # a number without a scale (0, or not a number) counts as 0, one beyond all scales stays
+        out.append(0.0 if not scale > 0 else v if scale == math.inf else round(v, digits - 1 - math.floor(math.log10(scale))))
     return unpack(out, p)
 
 

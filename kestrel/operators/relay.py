@@ -7,7 +7,8 @@ stage, as rows of a frame that can be written where they are.  It is one Spark j
 iterations there are; a lost executor makes Spark repeat the stage, with the same result.
 
 The weights change hands by ``allGather``, which takes a second whatever it carries (Spark's barrier looks for the
-answer once a second).  So there are no more runs than tasks, and none of fewer than ``LEAST_ROWS`` rows;
+answer once a second).  So there are no more runs than tasks, and none of fewer than ``LEAST_ROWS`` rows or ``LEAST_SUMS``
+sums, which one task sorts and reads in less time than two tasks take to speak (it streams them; Spark's sort spills);
 with one run there is no barrier at all.  For the same reason windows too large for a task (:func:`shared_windows`) are
 not gathered: every iteration is a distributed sum, a job of about a tenth of that time.
 """
@@ -27,7 +28,7 @@ from kestrel.operators.fold import window_sums
 from kestrel.session import remove_scratch, scratch_path
 
 #: Rows, and sums of windows, that a run has at least.
-LEAST_ROWS, LEAST_SUMS = 50_000, 2_000
+LEAST_ROWS, LEAST_SUMS = 1_000_000, 50_000
 #: Rows of one window that one task holds at most.
 ROWS_PER_TASK = 1_000_000
 FOLDED = "block long, n long, weights array<double>, sums array<double>"

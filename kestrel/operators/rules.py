@@ -28,6 +28,9 @@ SGD_ITERATIONS = 50
 SGD_FRACTION = 1.0
 SGD_LASSO_REG = 0.1
 
+#: Up to so many dimensions a window is folded in plain floats.
+NARROW = 6
+
 
 @dataclass(frozen=True)
 class NormalizedGD:
@@ -55,6 +58,8 @@ class NormalizedGD:
         not depend on the vector length or the machine's libraries.
         """
         d = len(w)
+        if d <= NARROW and n and (self.penalty != "huber" or self.epsilon):
+            return self._apply_narrow(w, G, c, n)
         Gs = np.asarray(G, dtype=float).reshape(d, d)
         cs = np.asarray(c, dtype=float).reshape(d)
         cols = [np.ascontiguousarray(Gs[:, j]) for j in range(d)]
@@ -88,6 +93,40 @@ class NormalizedGD:
             w = w - (g / nrm) * step
         return w
 
+    def _apply_narrow(self, w, G, c, n):
+        """:meth:`apply` in plain floats, the same operations in the same order: for a few dimensions, calls of
+        array functions would take longer than the arithmetic, and windows fold one after another."""
+        rows = np.asarray(G, dtype=float).reshape(len(w), len(w)).tolist()
+        cs, w = np.asarray(c, dtype=float).reshape(len(w)).tolist(), [float(v) for v in w]
+        n, eps, reg, step, penalty = float(n), self.epsilon, self.reg, self.step, self.penalty
+        if penalty not in ("l2", "huber", "none"):
+            raise ValueError(f"unknown penalty {penalty!r}")
+        terms = list(zip(rows, cs))
+        for _ in range(self.iterations):
+            if penalty == "l2":
+                pen = w
+            elif penalty == "huber":
+                pen = [1.0 if v > eps else -1.0 if v < -eps else v / eps for v in w]
+            else:
+                pen = [0.0] * len(w)
+            g, sq = [], 0.0
+            for (row, ci), pi in zip(terms, pen):
+                acc = 0.0
+                for a, b in zip(row, w):
+                    acc += a * b
+                v = (acc - ci) / n + reg * pi
+                g.append(v)
+                sq += v * v
+            nrm = math.sqrt(sq)
+            if nrm == 0.0:
+                top = max(map(abs, g))
+                if top == 0.0:
+                    break
+                g = [v / top for v in g]
+                nrm = math.sqrt(sum(v * v for v in g))
+            w = [a - (v / nrm) * step for a, v in zip(w, g)]
+        return np.array(w)
+
     def apply_rows(self, w, X: np.ndarray, y: np.ndarray):
         """Fold one window from its rows (fewer rows than dimensions): no sums of products are formed.
 
@@ -183,7 +222,7 @@ class LogisticGD:
     def step_along(self, w, mean_gradient: np.ndarray) -> tuple[np.ndarray, bool]:
         """One step from the mean data gradient; False when the gradient is zero."""
         g = mean_gradient + self.reg * w
-        nrm = math.sqrt(float(g @ g))
+        nrm = math.sqrt(float(g.dot(g)))
         return (w, False) if nrm == 0.0 else (w - (g / nrm) * self.step, True)
 
     def gradient_scale(self, w, x: Column, y: Column) -> Column:
@@ -194,9 +233,16 @@ class LogisticGD:
     def apply_rows(self, w, X: np.ndarray, y: np.ndarray):
         w = np.array(w, dtype=float)
         n = float(len(y))
+        # labels go into the rows once; every iteration then fills one array
+        own = X * y[:, None]
+        against, along, scale = -own, own.T, np.empty(len(y))
         for _ in range(self.iterations):
-            scale = (1.0 / (1.0 + np.exp(-y * (X @ w))) - 1.0) * y
-            w, moved = self.step_along(w, (X.T @ scale) / n)
+            np.dot(against, w, out=scale)
+            np.exp(scale, out=scale)
+            scale += 1.0
+            np.reciprocal(scale, out=scale)
+            scale -= 1.0
+            w, moved = self.step_along(w, along.dot(scale) / n)
             if not moved:
                 break
         return w

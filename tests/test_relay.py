@@ -153,3 +153,71 @@ def test_buffer_stream_restarts_at_its_offset(spark, scratch):
         f.write(b"-done".ljust(16, b"\0") + b"last".ljust(20, b"\0"))
     run()
     assert sorted(got)[5:] == [(100, "half-done"), (120, "last")] and len(got) == 7
+
+
+def test_buffer_stream_reads_gzipped_files(spark, scratch):
+    """Offsets count unpacked bytes: the same batches as from plain files, a buffer across two files among them."""
+    import gzip
+    import os
+
+    from kestrel.sources.buffers import BufferSource
+    spark.dataSource.register(BufferSource)
+    folder, got = f"{scratch}/packed", []
+    os.makedirs(folder)
+    sent = b"".join(f"{k}::2::3".encode().ljust(20, b"\0") for k in range(9))
+    for name, part in (("a.gz", sent[:70]), ("b.gz", sent[70:90]), ("c.gz", b""), ("d", sent[90:])):
+        with gzip.open(f"{folder}/{name}", "wb") if name.endswith("gz") else open(f"{folder}/{name}", "wb") as f:
+            f.write(part)
+    stream = spark.readStream.format("buffers").option("path", folder).option("bufferBytes", 20).option(
+        "maxBuffersPerTrigger", 2).load()
+    q = stream.writeStream.foreachBatch(lambda b, k: got.append([(r["offset"], r["value"].strip("\0")) for r in b.collect()])) \
+        .option("checkpointLocation", f"{scratch}/ck").trigger(processingTime="0 seconds").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [len(b) for b in got] == [2, 2, 2, 2, 1]
+    assert [r for b in got for r in b] == [(20 * k, f"{k}::2::3") for k in range(9)]
+
+
+def test_sent_buffers_take_little_disk(spark, monkeypatch):
+    """The stored buffers are mostly padding: packed, they take less than a tenth of the bytes that were sent."""
+    import __spark_entry__ as E
+    from kestrel.plans import text_queries as X
+    kept = []
+    monkeypatch.setattr(X, "remove_scratch", lambda spark, path: kept.append(path))
+    n = E.queries()["stream_lines_clean"](spark, "/root/testdata/sf0.001").count()
+    size = spark.read.format("binaryFile").load(kept[0]).agg(F.sum("length")).first()[0]
+    assert n > 0 and size < n * X.BUFFER_BYTES / 10
+
+
+def test_narrow_windows_fold_as_wide_ones_do(monkeypatch):
+    """Plain floats and arrays give the same weights, bit by bit."""
+    from kestrel.operators import rules
+    rng = np.random.default_rng(8)
+    for penalty in ("l2", "none", "huber"):
+        for unit in (1.0, 1e-200):
+            rule, X, y = NormalizedGD(penalty=penalty), rng.normal(size=(20, 3)) * unit, rng.normal(size=20)
+            G, c, w = X.T @ X, X.T @ y, rng.normal(size=3)
+            narrow = rule.apply(w, G, c, 20)
+            with monkeypatch.context() as m:
+                m.setattr(rules, "NARROW", 0)
+                assert narrow.tolist() == rule.apply(w, G, c, 20).tolist()
+
+
+def test_a_batch_of_a_stream_is_one_run(spark):
+    """Under a million rows, or 50,000 sums, are folded by one task: no barrier, whose tasks speak once a second."""
+    _, _, df = points(spark, 120, 3, 10)
+    rule = LogisticGD(step=0.05, iterations=2)
+    told = R.fold_points(df, np.zeros(3), rule, 3, 10, 99_000)._jdf.queryExecution().toString()
+    assert "MapInArrow" in told and "_run" in told and "SinglePartition" in told
+
+
+def test_pruned_trace_finds_like_versions_far_apart():
+    """Versions that come back to like weights: few cells are scored, however often; odd numbers count as before."""
+    rng = np.random.default_rng(11)
+    X, y = np.c_[rng.normal(size=(3000, 2)), np.ones(3000)], np.where(rng.random(3000) < 0.3, -1.0, 1.0)
+    W = rng.normal(scale=0.3, size=(2000, 3)) + [0.0, 0.0, -0.6]
+    full, cells = _errors_full(X, y, W, 1_000_000)
+    pruned, fewer = _errors_pruned(X, y, W, 1_000_000)
+    assert (full == pruned).all() and fewer < cells / 5
+    X[3, 0], X[5, 1], W[7, 0], y[9] = np.nan, np.inf, np.nan, 0.0
+    assert (_errors_full(X, y, W, 1_000_000)[0] == _errors_pruned(X, y, W, 1_000_000)[0]).all()
