@@ -92,8 +92,11 @@ def stream_predict_while_training_q(spark: SparkSession, sf_dir: str) -> DataFra
     for r in running:
         r.awaitTermination()
     versions = store.versions()
-    scored = (spark.read.parquet(sink).join(hold.select("seq", "x"), "seq")
-              .join(versions.select("version", "weights"), "version", "left"))
+    predictions = spark.read.parquet(sink)
+    # a version for each scored batch at most: few rows, which go to the predictions, so that none wait for one version's task
+    used = versions.join(F.broadcast(predictions.select("version").distinct()), "version", "left_semi")
+    scored = predictions.join(hold.select("seq", "x"), "seq").join(
+        F.broadcast(used.select("version", "weights")), "version", "left")
     right = F.coalesce(F.col("prediction") == dot(F.col("x"), F.col("weights")), F.lit(False))
     told = scored.agg(F.count_distinct("seq").alias("n_scored"),
                       (F.count(F.lit(1)) - F.count_distinct("seq") + F.count_if(~right)).alias("n_wrong"))
