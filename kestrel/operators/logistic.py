@@ -3,7 +3,7 @@
 The logistic gradient is not quadratic, so a window cannot be summarised by sums of products; each of its T
 iterations needs the window's rows.  Closed windows go through ``operators.relay``: they are folded on the executors in one
 job, and only weights leave it.  A window of more than ``rows_per_task`` rows never meets in one task; each of its iterations is
-a distributed sum.
+a distributed sum, and a job takes the sums of many iterations.
 """
 
 from __future__ import annotations

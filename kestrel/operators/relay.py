@@ -10,7 +10,7 @@ The weights change hands by ``allGather``, which takes a second whatever it carr
 answer once a second).  So there are no more runs than tasks, and none of fewer than ``LEAST_ROWS`` rows or ``LEAST_SUMS``
 sums, which one task sorts and reads in less time than two tasks take to speak (it streams them; Spark's sort spills);
 with one run there is no barrier at all.  For the same reason windows too large for a task (:func:`shared_windows`) are
-not gathered: every iteration is a distributed sum, a job of about a tenth of that time.
+not gathered: every iteration is a distributed sum, and a job takes the sums of many iterations.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from kestrel.session import remove_scratch, scratch_path
 LEAST_ROWS, LEAST_SUMS = 1_000_000, 50_000
 #: Rows of one window that one task holds at most.
 ROWS_PER_TASK = 1_000_000
+#: Sums of shares that a round of :func:`shared_windows` brings to the driver at most (8 bytes each).
+SUMS_PER_ROUND = 1_000_000
 FOLDED = "block long, n long, weights array<double>, sums array<double>"
 
 
@@ -136,31 +138,105 @@ def relay(windows: DataFrame, start, fold: Fold, n_blocks: int, least: int, orde
     return dealt.mapInArrow(task, FOLDED, barrier=several)
 
 
-def shared_windows(points: DataFrame, start, rule, dim: int) -> DataFrame:
+def in_shares(points: DataFrame, window: int, rows_per_task: int) -> DataFrame:
+    """Windows cut into shares of ``rows_per_task`` rows in order; no two shares of a window lie in one partition."""
+    shares = -(-window // rows_per_task)
+    tasks = max(shares, points.sparkSession.sparkContext.defaultParallelism)
+    share = F.floor(F.pmod("ordinal", F.lit(window)) / F.lit(rows_per_task)).cast("long")
+    at = F.pmod(F.col("block") * F.lit(shares) + share, F.lit(tasks)).cast("int")
+    return (points.withColumn("share", share).repartitionById(tasks, at)
+            .sortWithinPartitions("block", "ordinal"))
+
+
+def _expanded(held: DataFrame, rule, dim: int, at: dict[int, np.ndarray]) -> dict[int, tuple]:
+    """Per window (n, rows in its sums, longest row, sums of the gradient, sums of its derivative) at the weights
+    ``at[window]``: every share sums its own rows, the shares' sums are added in order."""
+    names = ["block", "share", "n", "used", "longest", "gradient", "slope"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feed = Windows(batches, "block")
+        while (block := feed.next()) is not None:
+            rows = feed.take()
+            x, y = points_of(rows.filter(rows.column("complete")), dim)
+            longest, gradient, slope = rule.expand(at[block], x, y)
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (
+                block, rows.column("share")[0].as_py(), rows.num_rows, len(y), longest, gradient.ravel(), slope.ravel()),
+                strict=True))], schema=pa.schema([(c, pa.int64()) for c in names[:4]] + [("longest", pa.float64())]
+                                                 + [(c, pa.list_(pa.float64())) for c in names[5:]]))
+
+    parts = held.where(F.col("block").between(min(at), max(at))).mapInArrow(
+        task, "block long, share long, n long, used long, longest double, gradient array<double>, slope array<double>")
+    out: dict[int, tuple] = {}
+    for r in sorted(parts.collect(), key=lambda r: (r["block"], r["share"])):
+        n, used, longest, gradient, slope = out.get(r["block"], (0, 0, 0.0, 0.0, 0.0))
+        out[r["block"]] = (n + r["n"], used + r["used"], max(longest, r["longest"]), gradient + np.array(r["gradient"]),
+                           slope + np.array(r["slope"]))
+    return out
+
+
+def _fold_shared(held: DataFrame, start: np.ndarray, rule, dim: int, blocks: list[int], ahead: int) -> list[tuple]:
+    """(block, n, weights after it, None) of consecutive windows in shares, by rounds of at most ``ahead`` iterations.
+
+    A round supposes the weights of many iterations to come, of this window and the next ones, and takes the sums of all of
+    them in one job, with their derivatives.  Then the chain is gone through from the last iteration that is settled.  An
+    iteration is settled if all before it are and its sums were taken at its own weights, but for a distance over
+    which sum and derivative give the gradient to the last bit (``rule.settles``).  The others' weights, now better
+    known, are supposed in the next round; each round settles one iteration at least.
+    """
+    span, out = rule.iterations, []
+    supposed, w, done = np.tile(start, (len(blocks) * span, 1)), start, 0
+    while done < len(supposed):
+        until, at = min(done + ahead, len(supposed)), {}
+        for k in range(done // span, (until - 1) // span + 1):
+            own = supposed[max(done, k * span):min(until, (k + 1) * span)]
+            at[blocks[k]] = own[:1] if (own == own[0]).all() else own
+        sums, settled, v = _expanded(held, rule, dim, at), True, w
+        for k in range(done // span, (until - 1) // span + 1):
+            low, high, block = max(done, k * span), min(until, (k + 1) * span), blocks[k]
+            n, used, longest, gradient, slope = sums.get(block, (0, 0, 0.0, 0.0, 0.0))
+            if used:
+                gradient, slope = gradient.reshape(-1, dim) / n, slope.reshape(-1, dim, dim) / n
+            else:
+                gradient, slope = np.full((1, dim), np.nan), np.zeros((1, dim, dim))
+            for i in range(low, high):
+                own, moved = i - low if len(gradient) > 1 else 0, v - supposed[i]
+                same = np.array_equal(v, supposed[i], equal_nan=True)
+                settled = settled and (same or rule.settles(longest, moved))
+                supposed[i] = v
+                v, _ = rule.step_along(v, gradient[own] if same else gradient[own] + slope[own] @ moved)
+                if settled:
+                    w, done = v, i + 1
+            if done == (k + 1) * span:
+                out.append((block, n, w.tolist(), None))
+        supposed[until:] = v
+    return out
+
+
+def shared_windows(points: DataFrame, start, rule, dim: int, window: int = ROWS_PER_TASK,
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``FOLDED``: windows of points (block, ordinal, x, y) that no single task holds.
 
-    ``rule`` gives the scale of a row's gradient as a column (``gradient_scale``) and ``step_along``; every iteration sums
-    ``x * scale`` over the window's rows.  The rows are stored once; a window reads the row groups that hold it.
+    ``rule`` gives gradient sums with derivatives (``expand``), ``settles`` and ``step_along``; every iteration sums over all
+    rows of its window, a share of the window in a task.  The rows are stored once and read by runs of windows; a run
+    takes a few jobs, not one an iteration (:func:`_fold_shared`).  A row with a null counts but adds nothing.
     """
     spark = points.sparkSession
     stage, out = scratch_path(spark, "shared-windows"), scratch_path(spark, "folded")
-    points.select("block", "x", "y").write.parquet(stage)
-    staged = spark.read.parquet(stage)
+    run = max(1, LEAST_ROWS // window)
+    ahead = max(1, SUMS_PER_ROUND // ((dim + dim * dim) * -(-window // rows_per_task)))
+    complete = F.col("x").isNotNull() & F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull())
+    rows = points.select("block", "ordinal", "x", "y", F.coalesce(complete, F.lit(False)).alias("complete"),
+                         F.floor(F.col("block") / F.lit(run)).cast("long").alias("run"))
+    rows.write.partitionBy("run").parquet(stage)
+    staged = spark.read.schema(rows.schema).parquet(stage)
     low, high = staged.agg(F.min("block"), F.max("block")).first()
-    w, done = np.asarray(start, dtype=float), []
-    for block in range(low, high + 1) if low is not None else ():
-        rows = staged.where(F.col("block") == block).select("x", "y").persist()
-        for _ in range(rule.iterations):
-            scaled = rows.withColumn("_s", rule.gradient_scale(w, F.col("x"), F.col("y")))
-            sums = scaled.agg(F.count(F.lit(1)), *[F.sum(F.col("x")[i] * F.col("_s")) for i in range(dim)]).first()
-            w, moved = rule.step_along(w, np.array(sums[1:], dtype=float) / sums[0])
-            if not moved:
-                break
-        rows.unpersist()
-        done.append((block, sums[0], w.tolist(), None))
-        if len(done) >= 1000 or block == high:
-            spark.createDataFrame(done, FOLDED).coalesce(1).write.mode("append").parquet(out)
-            done = []
+    w = np.asarray(start, dtype=float)
+    for first in range(low // run * run, high + 1, run) if low is not None else ():
+        held = in_shares(staged.where(F.col("run") == first // run).drop("run"), window, rows_per_task).persist()
+        done = _fold_shared(held, w, rule, dim, list(range(max(low, first), min(high + 1, first + run))), ahead)
+        held.unpersist()
+        w = np.array(done[-1][2])
+        spark.createDataFrame(done, FOLDED).coalesce(1).write.mode("append").parquet(out)
     remove_scratch(spark, stage)
     return spark.createDataFrame([], FOLDED) if low is None else spark.read.schema(FOLDED).parquet(out)
 
@@ -169,7 +245,7 @@ def fold_points(points: DataFrame, start, rule, dim: int, window: int, n_windows
                 rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Closed windows of points (block, ordinal, x, y) folded by ``rule.apply_rows``."""
     if window > rows_per_task:
-        return shared_windows(points, start, rule, dim)
+        return shared_windows(points, start, rule, dim, window, rows_per_task)
 
     def fold(w: np.ndarray, block: int, rows: pa.Table):
         x, y = points_of(rows, dim)

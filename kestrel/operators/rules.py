@@ -11,10 +11,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from kestrel.functions.linalg import dot
 
 # Defaults of the reference's count-window jobs and streaming SGD.
 V1_STEP = 0.1
@@ -30,6 +26,8 @@ SGD_LASSO_REG = 0.1
 
 #: Up to so many dimensions a window is folded in plain floats.
 NARROW = 6
+#: Numbers of a block of rows that are held at a time, to expand a gradient at several weights.
+EXPANDED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -225,10 +223,27 @@ class LogisticGD:
         nrm = math.sqrt(float(g.dot(g)))
         return (w, False) if nrm == 0.0 else (w - (g / nrm) * self.step, True)
 
-    def gradient_scale(self, w, x: Column, y: Column) -> Column:
-        """What a row's x is multiplied by in the data gradient, as a column."""
-        score = dot(x, F.lit([float(v) for v in w]))
-        return (F.lit(1.0) / (F.lit(1.0) + F.exp(-y * score)) - F.lit(1.0)) * y
+    def expand(self, at: np.ndarray, X: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(longest row, data gradients, their derivatives) summed over rows, at each of several weights."""
+        d = X.shape[1]
+        upper, lower = np.triu_indices(d)
+        longest, gradient, slope = 0.0, np.zeros((len(at), d)), np.zeros((len(at), len(upper)))
+        few = max(1, EXPANDED // max(len(at), len(upper)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(0, len(y), few):
+                own = X[i:i + few] * y[i:i + few, None]
+                longest = max(longest, math.sqrt(np.square(own).sum(axis=1).max()))
+                scale = 1.0 / (1.0 + np.exp(-(at @ own.T))) - 1.0
+                gradient += scale @ own
+                slope += (-scale * (1.0 + scale)) @ (own[:, upper] * own[:, lower])
+        full = np.empty((len(at), d, d))
+        full[:, upper, lower] = full[:, lower, upper] = slope
+        return longest, gradient, full
+
+    def settles(self, longest: float, moved: np.ndarray) -> bool:
+        """Whether a gradient and its derivative, ``moved`` away, give the gradient here to rounding: what they leave out is
+        at most 0.05 |x| (|x| |moved|)^2 a row, below 1e-17 of |x|."""
+        return bool(longest * math.sqrt(float(moved.dot(moved))) <= 1e-8)
 
     def apply_rows(self, w, X: np.ndarray, y: np.ndarray):
         w = np.array(w, dtype=float)

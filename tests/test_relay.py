@@ -52,6 +52,53 @@ def test_large_windows_are_distributed_sums(spark):
     assert np.allclose([r["weights"] for r in got], plain(rule, X, y, 30), atol=1e-12)
 
 
+def test_large_windows_take_fewer_jobs_than_iterations(spark):
+    X, y, df = points(spark, 240, 3, 40, seed=4)
+    rule, sc = LogisticGD(step=0.05, iterations=50), spark.sparkContext
+    sc.setJobGroup("shared windows", "")
+    try:
+        got = R.shared_windows(df, np.zeros(3), rule, 3, 40, 10).orderBy("block").collect()
+        jobs = len(sc.statusTracker().getJobIdsForGroup("shared windows"))
+    finally:
+        sc._jsc.clearJobGroup()
+    assert [(r["block"], r["n"]) for r in got] == [(k, 40) for k in range(6)]
+    assert np.allclose([r["weights"] for r in got], plain(rule, X, y, 40), atol=1e-10)
+    assert jobs < 50                                             # of 300 iterations
+
+
+@pytest.mark.parametrize("sums", [1, 500])
+def test_large_windows_by_short_rounds_and_runs(spark, sums, monkeypatch):
+    """One iteration or a few a round, one window a run, steps too long to be foreseen: the same weights."""
+    monkeypatch.setattr(R, "SUMS_PER_ROUND", sums)
+    monkeypatch.setattr(R, "LEAST_ROWS", 30)
+    X, y, df = points(spark, 60, 3, 30, seed=2)
+    rule = LogisticGD(step=1.5, iterations=5)
+    got = R.shared_windows(df, np.zeros(3), rule, 3, 30, 7).orderBy("block").collect()
+    assert np.allclose([r["weights"] for r in got], plain(rule, X, y, 30), atol=1e-10)
+
+
+def test_large_windows_with_nulls_and_no_gradient(spark):
+    """A row with a null counts but adds nothing; rows that cancel leave the weights as they are."""
+    X, y, _ = points(spark, 20, 3, 20)
+    rows = [(i, 0, X[i].tolist(), float(y[i])) for i in range(20)]
+    odd = [(20, 0, [1.0, None, 2.0], 1.0), (21, 0, None, 1.0), (22, 0, [1.0, 1.0, 1.0], None)]
+    schema = "ordinal long, block long, x array<double>, y double"
+    rule = LogisticGD(step=0.05, iterations=6)
+    got = R.shared_windows(spark.createDataFrame(rows + odd, schema), np.zeros(3), rule, 3, 23, 5).collect()
+    w = np.zeros(3)
+    for _ in range(6):
+        w, _ = rule.step_along(w, X.T @ ((1.0 / (1.0 + np.exp(-y * (X @ w))) - 1.0) * y) / 23)
+    assert got[0]["n"] == 23 and np.allclose(got[0]["weights"], w, atol=1e-12)
+    none = [(k, 0, [1.0, 2.0, 3.0], 1.0 if k % 2 else -1.0) for k in range(8)]
+    assert R.shared_windows(spark.createDataFrame(none, schema), np.zeros(3), rule, 3, 8, 2).first()["weights"] == [0.0] * 3
+
+
+def test_no_task_holds_more_of_a_window_than_its_share(spark):
+    _, _, df = points(spark, 90, 3, 30)
+    held = R.in_shares(df, 30, 7).groupBy("block", F.spark_partition_id()).agg(F.count("y").alias("n"))
+    assert held.agg(F.max("n"), F.sum("n")).first() == (7, 90)
+
+
 @pytest.mark.parametrize("penalty", ["l2", "none", "huber"])
 def test_rows_and_sums_of_a_window_give_the_same_weights(penalty):
     """Fewer rows than dimensions: the inner-product form against the sums of products."""
